@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from tabkit.lookups import JOIN_SEPARATOR, TEXT_MISSING, WHITESPACE, ZERO_WIDTH
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or blanks, for ``F.col``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def strip(text: Column) -> Column:
     """Cut Unicode white space from both ends; ``trim`` alone knows only U+0020."""
     return F.btrim(text, F.lit(WHITESPACE))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.amounts import parse_amount, round_half_up
-from tabkit.functions.text import join_separator, normalise_text
+from tabkit.functions.amounts import AMOUNT_TYPE, round_half_up, with_amounts
+from tabkit.functions.text import join_separator, normalise_text, quoted
 from tabkit.lookups import ROWS_COLUMN
 from tabkit.operators.ranking import order_key, with_position
 from tabkit.operators.validate import check_amounts
@@ -20,15 +20,21 @@ PART_BYTES = 8 << 20
 
 def group_count(df: DataFrame, key: str, name: str = ROWS_COLUMN) -> DataFrame:
     """Rows per key; the blank key is a group of its own."""
-    return df.groupBy(normalise_text(F.col(key)).alias(key)).agg(F.count("*").alias(name))
+    return df.groupBy(normalise_text(F.col(quoted(key))).alias(key)).agg(F.count("*").alias(name))
 
 
-def decimal_sum(raw: Column) -> Column:
-    """Exact sum of the valid amounts, 0 when there are none.
+def decimal_sum(df: DataFrame, key: str, columns: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Exact sum of the valid amounts per key, 0 when there are none.
 
     A plain ``sum``: it fails on overflow, where ``try_sum`` would give a silent 0.
+    ``rows`` names an optional row count from the same pass.
     """
-    return F.coalesce(F.sum(parse_amount(raw)), F.lit(0).cast("decimal(38,10)"))
+    narrow = df.select(normalise_text(F.col(quoted(key))).alias(key), *[quoted(c) for c in columns])
+    parsed = with_amounts(narrow, {f"{c} amount": c for c in columns}) if columns else narrow
+    zero = F.lit(0).cast(AMOUNT_TYPE)
+    count = [F.count("*").alias(rows)] if rows else []
+    sums = [F.coalesce(F.sum(quoted(f"{c} amount")), zero).alias(c) for c in columns]
+    return parsed.groupBy(quoted(key)).agg(*count, *sums)
 
 
 def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -38,9 +44,9 @@ def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: S
     key spreads over all tasks, and repeated values fold before the shuffle.
     """
     rows = df.select(
-        normalise_text(F.col(key)).alias("_key"),
+        normalise_text(F.col(quoted(key))).alias("_key"),
         order_key(order_by).alias("_first"),
-        *[normalise_text(F.col(c)).alias(str(i)) for i, c in enumerate(columns)],
+        *[normalise_text(F.col(quoted(c))).alias(str(i)) for i, c in enumerate(columns)],
     )
     return (
         rows.unpivot(["_key", "_first"], [str(i) for i in range(len(columns))], "_column", "_value")
@@ -74,7 +80,7 @@ def unique_join(
     cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Distinct non-blank values of one column per key, joined in first-seen order."""
-    return group_aggregate(df, key, [], order_by, sep, [column], cell_bytes).select(key, column)
+    return group_aggregate(df, key, [], order_by, sep, [column], cell_bytes).select(quoted(key), quoted(column))
 
 
 def group_aggregate(
@@ -109,10 +115,9 @@ def group_aggregate(
     sep = join_separator(sep)
     texts = [c for c in columns if c not in sum_cols]
 
-    totals = df.groupBy(normalise_text(F.col(key)).alias("_key")).agg(
-        F.count("*").alias("_rows"),
-        *[round_half_up(F.sum(parse_amount(F.col(c)))).alias(f"s{columns.index(c)}") for c in columns if c in sum_cols],
-    )
+    sums = {c: f"s{i}" for i, c in enumerate(columns) if c in sum_cols}
+    raw = df.select(F.col(quoted(key)).alias("_key"), *[F.col(quoted(c)).alias(s) for c, s in sums.items()])
+    totals = decimal_sum(raw, "_key", list(sums.values()), rows="_rows")
     result = totals
     if texts:
         values = distinct_values(df, key, texts, order_by)
@@ -133,9 +138,9 @@ def group_aggregate(
         )
         result = totals.join(cells, "_key", "left")
     outputs = []
-    for i, c in enumerate(columns):
-        if c in sum_cols:
-            outputs.append(F.col(f"s{i}").alias(c))
+    for c in columns:
+        if c in sums:
+            outputs.append(round_half_up(F.col(sums[c])).alias(c))
         else:
             cell = F.col(f"c{texts.index(c)}")
             outputs.append(F.when(F.col("_has_cells").isNull(), F.lit("")).otherwise(cell).alias(c))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabkit.functions.text import quoted
 from tabkit.session import stage
 
 
@@ -92,7 +93,8 @@ def first_seen_order(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFr
 def order_key(order_by: Sequence[str]):
     """One sortable column. A single column stays bare, so that min() of a number can
     use a hash aggregate."""
-    return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    names = [quoted(c) for c in order_by]
+    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:

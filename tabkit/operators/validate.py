@@ -7,29 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.amounts import clean_amount, is_bad_amount
-from tabkit.operators.ranking import first_n_per_group
+from tabkit.functions.amounts import is_bad_amount, with_tokens
+from tabkit.functions.text import quoted
+from tabkit.operators.ranking import first_n_per_group, order_key
 
 SAMPLES = 5
 
 
 def validate_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, bad_values, ok)`` per column, from one pass over the table."""
-    counts = df.agg(*[F.count_if(is_bad_amount(clean_amount(F.col(c)))).alias(c) for c in columns])
-    return counts.unpivot([], list(columns), "column", "bad_values").withColumn("ok", F.col("bad_values") == 0)
+    raw = df.select(*[F.col(quoted(c)).alias(str(i)) for i, c in enumerate(columns)])
+    tokens = with_tokens(raw, {f"token {i}": str(i) for i in range(len(columns))})
+    bad = [F.count_if(is_bad_amount(F.col(quoted(f"token {i}")))).alias(c) for i, c in enumerate(columns)]
+    counts = tokens.agg(*bad).unpivot([], [quoted(c) for c in columns], "column", "bad_values")
+    return counts.withColumn("ok", F.col("bad_values") == 0)
 
 
 def invalid_samples(
     df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int = SAMPLES
 ) -> DataFrame:
     """Up to ``n`` first bad values per column: ``(column, sample, raw, token)``."""
-    pairs = df.select(*order_by, *[F.col(c).cast("string").alias(f"raw {c}") for c in columns]).unpivot(
-        list(order_by), [f"raw {c}" for c in columns], "column", "raw"
+    raw = df.select(
+        order_key(order_by).alias("_order"),
+        *[F.col(quoted(c)).cast("string").alias(str(i)) for i, c in enumerate(columns)],
     )
-    bad = pairs.withColumn("token", clean_amount(F.col("raw"))).filter(is_bad_amount(F.col("token")))
-    first = first_n_per_group(bad, ["column"], [*order_by, "raw"], n)
+    pairs = raw.unpivot(["_order"], [str(i) for i in range(len(columns))], "_column", "raw")
+    bad = with_tokens(pairs, {"token": "raw"}).filter(is_bad_amount(F.col("token")))
+    first = first_n_per_group(bad, ["_column"], ["_order", "raw"], n)
+    names = F.array(*[F.lit(c) for c in columns])
     return first.select(
-        F.substring("column", 5, 1 << 30).alias("column"),
+        F.get(names, F.col("_column").cast("int")).alias("column"),
         F.col("row_in_group").alias("sample"),
         "raw",
         "token",

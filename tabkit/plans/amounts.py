@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 )
 def clean_amount(spark, sf_dir):
     df = derived(spark, sf_dir, "messy_amounts")
-    return df.select("ord", "k", "amt", amounts.clean_amount(F.col("amt")).alias("token"))
+    return amounts.with_tokens(df.select("ord", "k", "amt"), {"token": "amt"})
 
 
 @query(
@@ -57,7 +57,8 @@ def paren_negative(spark, sf_dir):
 )
 def is_amount(spark, sf_dir):
     df = derived(spark, sf_dir, "invalid_amounts")
-    return df.select("id", amounts.is_amount(amounts.clean_amount(F.col("price"))).alias("valid"))
+    tokens = amounts.with_tokens(df.select("id", "price"), {"token": "price"})
+    return tokens.select("id", amounts.is_amount(F.col("token")).alias("valid"))
 
 
 @query(
@@ -67,7 +68,7 @@ def is_amount(spark, sf_dir):
 )
 def parse_amount(spark, sf_dir):
     df = derived(spark, sf_dir, "invalid_amounts")
-    return df.select("id", amounts.parse_amount(F.col("price")).alias("amount"))
+    return amounts.with_amounts(df.select("id", "price"), {"amount": "price"}).select("id", "amount")
 
 
 EIGHTH = """CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.125 AS DECIMAL(4,3))
@@ -120,7 +121,7 @@ def group_count(spark, sf_dir):
 )
 def decimal_sum(spark, sf_dir):
     df = derived(spark, sf_dir, "messy_amounts")
-    return df.groupBy(F.col("k").cast("string").alias("k")).agg(group.decimal_sum(F.col("amt")).alias("total"))
+    return group.decimal_sum(df, "k", ["amt"]).withColumnRenamed("amt", "total")
 
 
 @query(
