@@ -59,12 +59,16 @@ def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: S
 def _long_groups(values: DataFrame, sep: str, cell_bytes: int) -> DataFrame:
     size = F.sum(F.octet_length("_value") + len(sep.encode()))
     # max(_first) is kept so that this branch shares the exchange of the main one.
-    return (
+    long = (
         values.groupBy("_key", "_column")
         .agg(size.alias("_bytes"), F.max("_first").alias("_last"))
         .filter((F.col("_bytes") > cell_bytes) & F.col("_last").isNotNull())
         .select("_key", "_column")
     )
+    # Every group here holds more than cell_bytes of distinct text, so 100 TB of it
+    # make at most 1.6 million rows at the default. Below that the size is not proven
+    # and Spark chooses the join.
+    return F.broadcast(long) if cell_bytes >= CELL_BYTES else long
 
 
 def _cell(values: Column, sep: str) -> Column:
@@ -122,15 +126,16 @@ def group_aggregate(
     if texts:
         values = distinct_values(df, key, texts, order_by)
         long = _long_groups(values, sep, cell_bytes)
-        # A group above the limit keeps one marker row, so that its cell becomes null.
-        marked = values.join(long, ["_key", "_column"], "left_anti").withColumn("_long", F.lit(False))
-        marked = marked.unionByName(long.withColumn("_long", F.lit(True)), allowMissingColumns=True)
+        # An outer join, because Spark would push an anti join below the grouping of
+        # `values` and so compute that twice.
+        marked = values.join(long.withColumn("_long", F.lit(True)), ["_key", "_column"], "left")
+        short = F.col("_long").isNull()
         entry = F.struct("_first", "_value")
         cells = marked.groupBy("_key").agg(
             *[
                 F.when(
-                    ~F.bool_or(F.col("_long") & (F.col("_column") == str(i))),
-                    _cell(F.when(F.col("_column") == str(i), entry), sep),
+                    ~F.bool_or(~short & (F.col("_column") == str(i))),
+                    _cell(F.when(short & (F.col("_column") == str(i)), entry), sep),
                 ).alias(f"c{i}")
                 for i in range(len(texts))
             ],

@@ -48,8 +48,7 @@ def with_position(
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *by,
-        "_slice",
+        *[F.col(c).alias(f"_run {c}") for c in [*by, "_slice"]],
         (F.col("_start") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - 1).alias("_shift"),
         F.sum("_n").over(whole).alias(group_size),
         *([F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w_before")] if weight else []),
@@ -62,13 +61,12 @@ def with_position(
         )
         rows = rows.withColumn("_w_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     # The group columns may hold null, which an ordinary equality would lose.
-    same = [rows[c].eqNullSafe(runs[c]) for c in [*by, "_slice"]]
-    joined = rows.join(runs, same)
-    return joined.select(
-        *[rows[c] for c in df.columns],
-        (rows["_at"] - runs["_shift"]).alias(position),
-        runs[group_size],
-        *([(rows["_w_inside"] + runs["_w_before"]).alias(weight_before)] if weight else []),
+    same = [F.col(c).eqNullSafe(F.col(f"`_run {c}`")) for c in [*by, "_slice"]]
+    return rows.join(runs, same).select(
+        *df.columns,
+        (F.col("_at") - F.col("_shift")).alias(position),
+        group_size,
+        *([(F.col("_w_inside") + F.col("_w_before")).alias(weight_before)] if weight else []),
     )
 
 

@@ -29,10 +29,26 @@ def invalid_samples(
     """Up to ``n`` first bad values per column: ``(column, sample, raw, token)``."""
     raw = df.select(
         order_key(order_by).alias("_order"),
-        *[F.col(quoted(c)).cast("string").alias(str(i)) for i, c in enumerate(columns)],
+        *[F.col(quoted(c)).cast("string").alias(f"raw {i}") for i, c in enumerate(columns)],
+    )
+    tokens = with_tokens(raw, {f"token {i}": f"raw {i}" for i in range(len(columns))})
+    # Marked before they become rows: a filter on the token itself would be pushed
+    # below the steps that make it, and repeat them all.
+    marked = tokens.select(
+        "_order",
+        *[
+            F.when(
+                is_bad_amount(F.col(f"`token {i}`")),
+                F.struct(F.col(f"`raw {i}`").alias("raw"), F.col(f"`token {i}`").alias("token")),
+            ).alias(str(i))
+            for i in range(len(columns))
+        ],
+    )
+    bad = (
+        marked.unpivot(["_order"], [str(i) for i in range(len(columns))], "_column", "_bad")
+        .filter(F.col("_bad").isNotNull())
+        .select("_order", "_column", "_bad.raw", "_bad.token")
     )
-    pairs = raw.unpivot(["_order"], [str(i) for i in range(len(columns))], "_column", "raw")
-    bad = with_tokens(pairs, {"token": "raw"}).filter(is_bad_amount(F.col("token")))
     first = first_n_per_group(bad, ["_column"], ["_order", "raw"], n)
     names = F.array(*[F.lit(c) for c in columns])
     return first.select(

@@ -1,8 +1,4 @@
 """The registered queries and, where SQL can state the result, their oracles."""
 
-from tabkit.plans import amounts
-
-_MODULES = (amounts,)
-
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+from tabkit.plans import amounts, delimited, inventory  # noqa: F401
+from tabkit.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,20 +7,7 @@ from pyspark.sql import functions as F
 from tabkit.functions import amounts, text
 from tabkit.operators import group, ranking, validate
 from tabkit.plans.inputs import FULLWIDTH, TOTAL, derived, derived_sql, table
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-
-    return register
-
+from tabkit.plans.registry import query
 
 @query(
     "clean_amount",
