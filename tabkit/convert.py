@@ -41,8 +41,8 @@ def parse_lines(lines: DataFrame, sep: Separator = AUTO) -> tuple[DataFrame, Dat
     def decode(df: DataFrame) -> DataFrame:
         return decode_lines(df, only_utf8)
 
-    files = stage(detect_separator(lines, files, sep, only_utf8, decode), "files")
-    # Staged, so Catalyst knows the size and broadcasts it only when it is small.
+    files = detect_separator(lines, files, sep, only_utf8, decode)
+    # Read from a staged table, so Catalyst knows the size and broadcasts it only when it is small.
     facts = files.filter(F.col("status") == "ok").drop("status", "note", "n_lines")
     return files, split_rows(decode(lines.join(facts, "uri")), sep)
 
