@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -55,10 +56,8 @@ def split_fields(line: Column, sep: Separator) -> Column:
     if sep.kind == "whitespace":
         # A line holds no line break, so one can stand for each run of white space.
         return F.split(F.regexp_replace(line, f"[{WHITESPACE}]+", "\n"), "\n", -1)
-    # Escaping a single character keeps Java's split off the pattern compiler.
-    mark = sep.text
-    plain = mark.isalnum() or ord(mark[0]) >= 128 or mark.isspace()
-    pattern = f"\\Q{mark}\\E" if len(mark) > 1 else mark if plain else f"\\{mark}"
+    # A single escaped character keeps Java's split off the pattern compiler.
+    pattern = "".join(f"\\{c}" if c in string.punctuation else c for c in sep.text)
     return F.split(line, pattern, -1)
 
 

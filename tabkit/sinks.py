@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.functions.files import file_link, relative_output_path, time_text
+from tabkit.functions.headers import repair_header
 from tabkit.functions.text import quoted
 from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN
-from tabkit.operators.delimited import DelimitedTree, name_fields
+from tabkit.operators.delimited import DelimitedTree, name_fields, pad_fields
 from tabkit.operators.parts import category_parts, row_limit
 
 MAX_HEADERS = 1000
@@ -93,8 +96,6 @@ def write_mirrored(tree: DelimitedTree, root: str, path: str) -> None:
     The header line stays where it was read, so lines are written by the tasks that
     read them: no shuffle, and a large file becomes several parts.
     """
-    from tabkit.operators.delimited import pad_fields
-
     names = tree.files.select("path", "names")
     lines = tree.split.filter(F.col("kind").isin("header", "row")).join(
         names, F.col("uri") == names["path"]
@@ -137,13 +138,28 @@ def write_tables(tree: DelimitedTree, root: str, path: str) -> list[tuple[str, l
     ids = headers.select("header", F.sha2(F.to_json(F.struct("header")), 256).alias("id")).collect()
     tables = []
     for header, header_id in ids:
-        rows = read_rows(spark, staged, keyed).filter(F.col("header_id") == header_id)
         target = f"{path}/{header_id}"
-        named = name_fields(rows, header, keep=["rel_path"])
-        named.write.partitionBy("rel_path").parquet(target)
-        tables.append((target, named.columns[1:]))
+        rows = spark.read.schema(keyed.schema).parquet(staged).filter(F.col("header_id") == header_id)
+        names = repair_header(header)
+        file_column = "rel_path"
+        while file_column in {n.lower() for n in names}:
+            file_column += "_"
+        ordered = rows.withColumnRenamed("rel_path", file_column).sortWithinPartitions(
+            file_column, "block", "line_id"
+        )
+        with _case_sensitive(spark, len({n.lower() for n in names}) < len(names)):
+            name_fields(ordered, header, keep=[file_column]).write.partitionBy(file_column).parquet(target)
+        tables.append((target, names))
     return tables
 
 
-def read_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path)
+@contextmanager
+def _case_sensitive(spark: SparkSession, needed: bool) -> Iterator[None]:
+    """Headers may hold names that differ only in case; their readers need the same setting."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    if needed:
+        spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
