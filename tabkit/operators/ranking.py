@@ -54,6 +54,8 @@ def with_position(
         *([F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w_before")] if weight else []),
     )
 
+    # Staged, so that Catalyst knows their size and need not shuffle the rows for them.
+    runs = stage(runs, "offsets")
     rows = numbered
     if weight:
         inside = (

@@ -28,6 +28,7 @@ WALK_ENTRIES = 20_000
 BATCH_ROWS = 5_000
 # Files whose first bytes are held at a time.
 HEAD_ROWS = 500
+TASK_FILES = 20_000
 
 
 def _name(path: str) -> str:
@@ -107,12 +108,14 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """
     root = root.removeprefix("file://").rstrip("/") or "/"
     pending = spark.createDataFrame([(root,)], "path string")
+    width = spark.sparkContext.defaultParallelism
     rounds = []
     while True:
         found = stage(pending.mapInPandas(_walk, LISTING), "listing")
         rounds.append(found.filter("NOT is_dir"))
-        # Spread the directories left over, however few tasks found them.
-        pending = found.filter("is_dir").select("path").repartition("path")
+        # Spread the directories left over. A fixed number of tasks, because adaptive
+        # execution would merge so little data into one.
+        pending = found.filter("is_dir").select("path").repartition(width)
         if pending.isEmpty():
             break
     files = rounds[0]
@@ -163,8 +166,11 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_heads(files: DataFrame) -> DataFrame:
     """Add ``head``, the first bytes of each file, and ``head_error``.
 
-    Spark's binary source would read every file whole for the same purpose.
+    Spark's binary source would read every file whole for the same purpose. A listing
+    is small for its number of files, so tasks are set by files, not by bytes.
     """
+    width = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(width, -(-files.count() // TASK_FILES))
     schema = T.StructType([*files.schema.fields])
     schema = schema.add("head", T.BinaryType()).add("head_error", T.StringType())
-    return files.mapInPandas(_read_heads, schema)
+    return files.repartition(tasks).mapInPandas(_read_heads, schema)

@@ -82,7 +82,7 @@ def decode_lines(lines: DataFrame, only_utf8: bool) -> DataFrame:
     if only_utf8:
         return lines
     raw = F.col("line").cast("binary")
+    is_gb = F.col("encoding") == "gb18030"
+    text = F.when(is_gb, gb18030_text(F.when(is_gb, raw))).otherwise(F.decode(raw, "ISO-8859-1"))
     utf8 = lines.filter(F.col("encoding") == "utf-8")
-    gb = lines.filter(F.col("encoding") == "gb18030").withColumn("line", gb18030_text(raw))
-    latin = lines.filter(F.col("encoding") == "latin1").withColumn("line", F.decode(raw, "ISO-8859-1"))
-    return utf8.unionByName(gb).unionByName(latin)
+    return utf8.unionByName(lines.filter(F.col("encoding") != "utf-8").withColumn("line", text))
