@@ -18,8 +18,10 @@ from tabkit.sources.file_tree import list_files
 from tabkit.sources.text_tree import (
     TEXT_FILES,
     decode_lines,
+    is_hidden,
     line_statistics,
     plain_path,
+    read_hidden_lines,
     read_lines,
     resolve_encodings,
 )
@@ -33,8 +35,11 @@ def resolve_files(lines: DataFrame) -> DataFrame:
     return stage(resolve_encodings(lines, statistics), "encodings")
 
 
-def parse_lines(lines: DataFrame, sep: Separator = AUTO) -> tuple[DataFrame, DataFrame]:
-    """Per-file facts (staged) and all lines split (lazy), for any frame of lines."""
+def parse_lines(lines: DataFrame, sep: Separator = AUTO, path_of=lambda uri: uri) -> tuple[DataFrame, DataFrame]:
+    """Per-file facts and all lines split (lazy), for any frame of lines.
+
+    ``path_of`` turns the ``uri`` of a file into the ``path`` of the results.
+    """
     files = resolve_files(lines)
     only_utf8 = files.filter("encoding <> 'utf-8'").isEmpty()
 
@@ -42,9 +47,12 @@ def parse_lines(lines: DataFrame, sep: Separator = AUTO) -> tuple[DataFrame, Dat
         return decode_lines(df, only_utf8)
 
     files = detect_separator(lines, files, sep, only_utf8, decode)
-    # Read from a staged table, so Catalyst knows the size and broadcasts it only when it is small.
+    files = files.withColumn("path", path_of(F.col("uri")))
+    # Read from a staged table, so Catalyst knows the size and broadcasts it only when
+    # it is small. Paths are worked out here, once per file and not per line.
     facts = files.filter(F.col("status") == "ok").drop("status", "note", "n_lines")
-    return files, split_rows(decode(lines.join(facts, "uri")), sep)
+    split = split_rows(decode(lines.join(facts, "uri").drop("uri")), sep)
+    return files.drop("uri"), split
 
 
 def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -> DelimitedTree:
@@ -54,8 +62,12 @@ def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -
     lines of each file; then all lines, split in one lazy plan.
     """
     listing = list_files(spark, root).filter(F.col("status") == "ok").filter(F.lower("path").endswith(".txt"))
-    listing = stage(listing.select("path", "length"), "listing")
-    files, split = parse_lines(read_lines(spark, root, TEXT_FILES), sep)
-    files = with_repaired_names(files.withColumn("path", plain_path(F.col("uri"))).drop("uri"))
-    split = split.withColumn("uri", plain_path(F.col("uri")))
+    hidden = is_hidden(F.col("path"), root)
+    listing = stage(listing.select("path", "length", hidden.alias("hidden")), "listing")
+    lines = read_lines(spark, root, TEXT_FILES)
+    unseen = listing.filter("hidden AND length > 0")
+    if not unseen.isEmpty():
+        lines = lines.unionByName(read_hidden_lines(unseen))
+    files, split = parse_lines(lines, sep, plain_path)
+    files = with_repaired_names(files)
     return DelimitedTree(files, split, conversion_status(listing, files))

@@ -23,7 +23,7 @@ from tabkit.functions.separators import (
     split_fields,
 )
 from tabkit.functions.text import blank_missing
-from tabkit.lookups import DETECTION_SAMPLE, TEXT_MISSING
+from tabkit.lookups import DETECTION_SAMPLE
 from tabkit.operators.ranking import first_n_per_group
 from tabkit.session import stage
 
@@ -220,24 +220,31 @@ def pad_fields(fields: Column, header: Column) -> Column:
     return F.transform(padded, blank_missing)
 
 
+def kept_rows(split: DataFrame) -> DataFrame:
+    """``(path, block, line_id, header, fields)`` of the data rows, fields as they came."""
+    return split.filter(F.col("kind") == "row").select("path", *ORDER, "header", "fields")
+
+
 def accepted_rows(split: DataFrame) -> DataFrame:
-    """``(uri, block, line_id, header, fields)`` with as many fields as the header has."""
-    rows = split.filter(F.col("kind") == "row")
-    return rows.select("uri", *ORDER, "header", pad_fields(F.col("fields"), F.col("header")).alias("fields"))
+    """The data rows with as many fields as their header has, missing tokens blanked."""
+    return kept_rows(split).withColumn("fields", pad_fields(F.col("fields"), F.col("header")))
 
 
 def rejected_rows(split: DataFrame) -> DataFrame:
-    """``(uri, block, line_id, line, n_fields, expected)`` of the over-long rows."""
+    """``(path, block, line_id, line, n_fields, expected)`` of the over-long rows."""
     rows = split.filter(F.col("kind") == "rejected")
     return rows.select(
-        "uri", *ORDER, "line", F.size("fields").alias("n_fields"), F.size("header").alias("expected")
+        "path", *ORDER, "line", F.size("fields").alias("n_fields"), F.size("header").alias("expected")
     )
 
 
 def name_fields(rows: DataFrame, header: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of one header as a table of text columns with repaired names."""
+    """Rows of one header as a table of text columns with repaired names.
+
+    Takes :func:`kept_rows` and finishes field by field, which stays in generated code.
+    """
     names = repair_header(header)
-    return rows.select(*keep, *[F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)])
+    return rows.select(*keep, *[blank_missing(F.get("fields", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def split_with_header(
@@ -245,12 +252,9 @@ def split_with_header(
 ) -> DataFrame:
     """Text columns of lines whose header is known; column by column, so that Spark
     prunes unused fields and keeps to generated code."""
-    names = repair_header(header)
-    fits = lines.filter(~is_blank_line(F.col("line"), sep)).withColumn("fields", split_fields(F.col("line"), sep))
-    fits = fits.filter(F.size("fields") <= len(names))
-    cells = [F.get("fields", F.lit(i)) for i in range(len(names))]
-    known = [F.when(~c.isin(*TEXT_MISSING), c) for c in cells]
-    return fits.select(*order_by, *[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(known, names)])
+    fits = lines.filter(~is_blank_line(F.col("line"), sep))
+    fits = fits.filter(count_fields(F.col("line"), sep) <= len(header))
+    return name_fields(fits.withColumn("fields", split_fields(F.col("line"), sep)), header, keep=order_by)
 
 
 def with_repaired_names(files: DataFrame) -> DataFrame:
@@ -262,10 +266,9 @@ def with_repaired_names(files: DataFrame) -> DataFrame:
 def conversion_status(listing: DataFrame, files: DataFrame) -> DataFrame:
     """Outcome of every listed file: ``(path, encoding, separator, status, note)``.
 
-    Empty files have no lines, so only the listing knows them; they fail. So do names
-    that Spark's readers take as hidden.
+    Empty files have no lines, so only the listing knows them; they fail.
     """
-    unread = F.when(F.col("length") == 0, "no lines").otherwise("hidden name, not read")
+    unread = F.lit("no lines")
     return listing.join(files, "path", "left").select(
         "path",
         "encoding",
@@ -297,6 +300,7 @@ class DelimitedTree:
     """A parsed tree. Every frame but ``files`` is lazy.
 
     files     one row per file with lines: encoding, separator, header, names, status
+    split     every line with its kind: header, blank, rejected or row
     rows      ``(path, block, line_id, header, fields)``
     rejected  ``(path, block, line_id, line, n_fields, expected)``
     status    one row per listed file, empty ones included
@@ -308,8 +312,13 @@ class DelimitedTree:
 
     @property
     def rows(self) -> DataFrame:
-        return accepted_rows(self.split).withColumnRenamed("uri", "path")
+        return accepted_rows(self.split)
 
     @property
     def rejected(self) -> DataFrame:
-        return rejected_rows(self.split).withColumnRenamed("uri", "path")
+        return rejected_rows(self.split)
+
+    def table(self, header: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+        """The rows of all files with this header, under its repaired names."""
+        same = F.col("header") == F.array(*[F.lit(name) for name in header])
+        return name_fields(kept_rows(self.split).filter(same), header, keep)

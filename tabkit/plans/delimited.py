@@ -40,7 +40,7 @@ def part_rows(spark, sf_dir):
 def _as_file(lines: DataFrame) -> DataFrame:
     """Lines of one file whose header is known and not among them."""
     return lines.select(
-        F.lit("part").alias("uri"),
+        F.lit("part").alias("path"),
         F.lit(0).cast("long").alias("block"),
         "line_id",
         "line",
@@ -106,7 +106,7 @@ def skip_bad_rows(spark, sf_dir):
 
 @query(
     "rejected_rows",
-    f"""SELECT 'part' AS uri, 0 AS block, line_id, line, CAST(6 AS INTEGER) AS n_fields, CAST(5 AS INTEGER) AS expected
+    f"""SELECT 'part' AS path, 0 AS block, line_id, line, CAST(6 AS INTEGER) AS n_fields, CAST(5 AS INTEGER) AS expected
         FROM {PART_LINES} WHERE line_id % 10 = 3""",
 )
 def rejected_rows(spark, sf_dir):
@@ -183,8 +183,7 @@ FILES = """(SELECT CAST(floor(p_partkey / 500) AS BIGINT) AS file, count(*) AS n
 def scan_delimited_tree(spark, sf_dir):
     root = scratch_path(spark, "tree")
     write_text_tree(separated_lines(spark, sf_dir), root)
-    tree = convert.read_delimited_tree(spark, root)
-    rows = delimited.name_fields(tree.rows, HEADER, keep=["path"])
+    rows = convert.read_delimited_tree(spark, root).table(HEADER, keep=["path"])
     return rows.withColumn("file", file_number(F.col("path"))).drop("path")
 
 
@@ -200,7 +199,7 @@ def detect_separator(spark, sf_dir):
     )
     files, _ = convert.parse_lines(lines)
     return files.select(
-        F.col("uri").cast("long").alias("file"),
+        F.col("path").cast("long").alias("file"),
         "separator",
         F.coalesce(F.size("header"), F.lit(-1)).alias("n_columns"),
         "status",

@@ -13,7 +13,7 @@ from tabkit.functions.files import file_link, relative_output_path, time_text
 from tabkit.functions.headers import repair_header
 from tabkit.functions.text import quoted
 from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN
-from tabkit.operators.delimited import DelimitedTree, name_fields, pad_fields
+from tabkit.operators.delimited import DelimitedTree, kept_rows, name_fields, pad_fields
 from tabkit.operators.parts import category_parts, row_limit
 
 MAX_HEADERS = 1000
@@ -97,15 +97,13 @@ def write_mirrored(tree: DelimitedTree, root: str, path: str) -> None:
     read them: no shuffle, and a large file becomes several parts.
     """
     names = tree.files.select("path", "names")
-    lines = tree.split.filter(F.col("kind").isin("header", "row")).join(
-        names, F.col("uri") == names["path"]
-    )
+    lines = tree.split.filter(F.col("kind").isin("header", "row")).join(names, "path")
     fields = F.when(F.col("kind") == "header", F.col("names")).otherwise(
         pad_fields(F.col("fields"), F.col("header"))
     )
     (
         lines.select(
-            relative_output_path(F.col("uri"), root).alias("rel_path"), "block", "line_id", _csv_line(fields).alias("value")
+            relative_output_path(F.col("path"), root).alias("rel_path"), "block", "line_id", _csv_line(fields).alias("value")
         )
         .sortWithinPartitions("rel_path", "block", "line_id")
         .select("rel_path", "value")
@@ -126,7 +124,7 @@ def write_tables(tree: DelimitedTree, root: str, path: str) -> list[tuple[str, l
     found = headers.limit(MAX_HEADERS + 1).collect()
     if len(found) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers; use write_mirrored")
-    keyed = tree.rows.select(
+    keyed = kept_rows(tree.split).select(
         F.sha2(F.to_json(F.struct("header")), 256).alias("header_id"),
         relative_output_path(F.col("path"), root).alias("rel_path"),
         "block",

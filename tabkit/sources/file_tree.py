@@ -141,15 +141,19 @@ def list_visible_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def open_file(path: str):
+    """A binary stream of a local or remote file."""
+    if _is_local(path):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
 def _head(path: str) -> tuple[bytes | None, str]:
     try:
-        if _is_local(path):
-            with open(path, "rb") as file:
-                return file.read(HEAD_BYTES), ""
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(name) as stream:
+        with open_file(path) as stream:
             return stream.read(HEAD_BYTES), ""
     except OSError as error:
         return None, str(error)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabkit.sources.file_tree import open_file
+
 TEXT_FILES = "*.[tT][xX][tT]"
+LINE_ROWS = 10_000
 
 
 def plain_path(uri: Column) -> Column:
@@ -35,6 +40,45 @@ def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> Dat
     )
 
 
+def is_hidden(path: Column, root: str) -> Column:
+    """Names that Spark's readers skip: a part below ``root`` begins with '.' or '_'."""
+    below = F.substring(path, F.lit(len(root.removeprefix("file://").rstrip("/")) + 1), F.char_length(path))
+    return below.rlike("/[._]")
+
+
+def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path in batch["path"]:
+            # Latin-1 maps bytes to characters one to one, so lines break as elsewhere.
+            with open_file(path) as stream, io.TextIOWrapper(stream, "latin-1") as text:
+                lines, first = [], 0
+                for number, line in enumerate(text):
+                    raw = line.removesuffix("\n").encode("latin-1")
+                    lines.append(raw.removeprefix(b"\xef\xbb\xbf") if number == 0 else raw)
+                    if len(lines) == LINE_ROWS:
+                        yield _line_frame(path, first, lines)
+                        lines, first = [], number + 1
+                if lines:
+                    yield _line_frame(path, first, lines)
+
+
+def _line_frame(path: str, first: int, lines: list[bytes]) -> pd.DataFrame:
+    ids = range(first, first + len(lines))
+    return pd.DataFrame({"uri": quote(path, safe="/:"), "block": 0, "line_id": ids, "line": lines})
+
+
+def read_hidden_lines(files: DataFrame) -> DataFrame:
+    """Lines of the listed files, for names Spark's text source skips.
+
+    Streamed in batches, one file after another; these are few and not split.
+    """
+    width = files.sparkSession.sparkContext.defaultParallelism
+    lines = files.select("path").repartition(width).mapInPandas(
+        _lines_of, "uri string, block bigint, line_id bigint, line binary"
+    )
+    return lines.withColumn("line", F.col("line").cast("string"))
+
+
 def _decode_gb18030(raw: bytes) -> str | None:
     try:
         return bytes(raw).decode("gb18030")

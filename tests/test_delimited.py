@@ -146,7 +146,7 @@ def test_tree_with_given_separator_is_pandas(spark, tmp_path, mark):
     for path, want in files.items():
         assert headers[path]["names"] == list(want.columns), path
         assert rows.get(path, []) == want.values.tolist(), path
-    counts = {(r["uri"], r["kind"]): r["count"] for r in tree.split.groupBy("uri", "kind").count().collect()}
+    counts = {(r["path"], r["kind"]): r["count"] for r in tree.split.groupBy("path", "kind").count().collect()}
     for path, file in headers.items():
         assert sum(n for (p, _), n in counts.items() if p == path) == file["n_lines"]
         assert counts[(path, "header")] == 1
@@ -221,6 +221,23 @@ def test_over_long_first_row_is_rejected_not_shifted(spark, tmp_path):
     assert [r["line"] for r in tree.rejected.collect()] == ["1|2|3"]
 
 
+def test_hidden_names_are_read_too(spark, tmp_path):
+    (tmp_path / "_sub %41").mkdir()
+    (tmp_path / "_sub %41" / ".h+.txt").write_bytes("\ufeff名|b\r\n1|中\r2|\n".encode())
+    (tmp_path / "_gb.txt").write_bytes("名|b\n丂|2\n".encode("gb18030"))
+    (tmp_path / "seen.txt").write_text("a|b\n1|2")
+    tree = convert.read_delimited_tree(spark, str(tmp_path))
+    headers, rows = by_path(tree)
+    assert rows == {
+        str(tmp_path / "_sub %41" / ".h+.txt"): [["1", "中"], ["2", ""]],
+        str(tmp_path / "_gb.txt"): [["丂", "2"]],
+        str(tmp_path / "seen.txt"): [["1", "2"]],
+    }
+    assert headers[str(tmp_path / "_gb.txt")]["names"] == ["名", "b"]
+    assert {r["status"] for r in tree.status.collect()} == {"ok"}
+    assert sorted(map(tuple, tree.table(["名", "b"]).collect())) == [("1", "中"), ("2", ""), ("丂", "2")]
+
+
 def test_large_file_is_read_in_blocks(spark, tmp_path):
     lines = ["id,v"] + [f"{i},{'x' * (i % 50)}" for i in range(20_000)]
     (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
