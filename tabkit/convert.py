@@ -62,8 +62,7 @@ def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -
     lines of each file; then all lines, split in one lazy plan.
     """
     listing = list_files(spark, root).filter(F.col("status") == "ok").filter(F.lower("path").endswith(".txt"))
-    hidden = is_hidden(F.col("path"), root)
-    listing = stage(listing.select("path", "length", hidden.alias("hidden")), "listing")
+    listing = listing.select("path", "length", is_hidden(F.col("path"), root).alias("hidden"))
     lines = read_lines(spark, root, TEXT_FILES)
     unseen = listing.filter("hidden AND length > 0")
     if not unseen.isEmpty():

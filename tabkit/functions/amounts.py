@@ -6,7 +6,6 @@ separators and inner white space and maps the Unicode minus in a single scan.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -30,30 +29,19 @@ AMOUNT_TYPE = "decimal(38,10)"
 _NUMBER = r"^[+-]?(\p{Nd}+(\.\p{Nd}+)?|\.\p{Nd}+)\z"
 
 
-def _frames(folds: Mapping[str, str]) -> dict[tuple[str, str], dict[str, str]]:
-    """Folds of several characters as ``(before, after) -> {character: core}``: all of
-    '⑴' … '⑼' become their digit framed by '(' and ')'."""
-    frames: dict[tuple[str, str], dict[str, str]] = defaultdict(dict)
-    for char, folded in folds.items():
-        core = max((i for i, c in enumerate(folded) if c.isalnum()), default=0)
-        frames[folded[:core], folded[core + 1 :]][char] = folded[core]
-    return frames
-
-
 def fold_fullwidth(text: Column) -> Column:
     """Compatibility fold of every character an amount or a missing token can use."""
     folds = compatibility_folds()
     single = {c: f for c, f in folds.items() if len(f) == 1}
     several = {c: f for c, f in folds.items() if len(f) > 1}
     folded = F.translate(text, "".join(single), "".join(single.values()))
-    # Frame each character first, then translate it: array functions would do the
-    # same, but outside generated code.
-    expanded, cores = folded, {}
-    for (before, after), chars in _frames(several).items():
-        expanded = F.regexp_replace(expanded, "([" + "".join(chars) + "])", before + "$1" + after)
-        cores |= chars
-    expanded = F.translate(expanded, "".join(cores), "".join(cores.values()))
+    table = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
+    expanded = F.array_join(
+        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+    )
     # A translate finds characters far faster than a pattern with as many alternatives.
+    # The array function ends the generated stage here, which pays: with a chain of
+    # replacements instead, stages grow past what the JVM compiles, at twice the time.
     return (
         F.when(~is_non_ascii(text), text)
         .when(F.translate(text, "".join(several), "") != text, expanded)

@@ -170,7 +170,8 @@ def long_cells(
     sep = join_separator(sep)
     values = distinct_values(df, key, columns, order_by)
     long = _long_groups(values, sep, cell_bytes)
-    values = values.join(long, ["_key", "_column"], "left_semi")
+    # An inner join, for the same reason: `long` holds each group once.
+    values = values.join(long, ["_key", "_column"])
     values = values.withColumn("_bytes", F.octet_length("_value").cast("long") + len(sep.encode()))
     placed = with_position(
         values, ["_key", "_column"], ["_first", "_value"], weight="_bytes", weight_before="_before"

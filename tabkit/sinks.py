@@ -15,6 +15,7 @@ from tabkit.functions.text import quoted
 from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN
 from tabkit.operators.delimited import DelimitedTree, kept_rows, name_fields, pad_fields
 from tabkit.operators.parts import category_parts, row_limit
+from tabkit.session import stage
 
 MAX_HEADERS = 1000
 
@@ -90,13 +91,21 @@ def _csv_line(fields: Column) -> Column:
     return F.array_join(F.transform(fields, cell), ",")
 
 
+def _header_ids(tree: DelimitedTree) -> DataFrame:
+    """``(path, header, names, header_id)`` per file; staged, so that its size is known
+    when it is joined to the lines."""
+    files = tree.files.filter(F.col("header").isNotNull())
+    header_id = F.sha2(F.to_json(F.struct("header")), 256)
+    return stage(files.select("path", "header", "names", header_id.alias("header_id")), "headers")
+
+
 def write_mirrored(tree: DelimitedTree, root: str, path: str) -> None:
     """Every file as CSV text below ``rel_path=<relative path>``, in one job.
 
     The header line stays where it was read, so lines are written by the tasks that
     read them: no shuffle, and a large file becomes several parts.
     """
-    names = tree.files.select("path", "names")
+    names = _header_ids(tree).select("path", "names")
     lines = tree.split.filter(F.col("kind").isin("header", "row")).join(names, "path")
     fields = F.when(F.col("kind") == "header", F.col("names")).otherwise(
         pad_fields(F.col("fields"), F.col("header"))
@@ -120,12 +129,12 @@ def write_tables(tree: DelimitedTree, root: str, path: str) -> list[tuple[str, l
     :func:`write_mirrored`, which has no such limit.
     """
     spark = tree.files.sparkSession
-    headers = tree.files.filter(F.col("header").isNotNull()).select("header").distinct()
-    found = headers.limit(MAX_HEADERS + 1).collect()
-    if len(found) > MAX_HEADERS:
+    ids = _header_ids(tree)
+    headers = ids.select("header", "header_id").distinct().limit(MAX_HEADERS + 1).collect()
+    if len(headers) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers; use write_mirrored")
-    keyed = kept_rows(tree.split).select(
-        F.sha2(F.to_json(F.struct("header")), 256).alias("header_id"),
+    keyed = kept_rows(tree.split).join(ids.select("path", "header_id"), "path").select(
+        "header_id",
         relative_output_path(F.col("path"), root).alias("rel_path"),
         "block",
         "line_id",
@@ -133,9 +142,8 @@ def write_tables(tree: DelimitedTree, root: str, path: str) -> list[tuple[str, l
     )
     staged = f"{path}/_rows"
     keyed.write.partitionBy("header_id").parquet(staged)
-    ids = headers.select("header", F.sha2(F.to_json(F.struct("header")), 256).alias("id")).collect()
     tables = []
-    for header, header_id in ids:
+    for header, header_id in headers:
         target = f"{path}/{header_id}"
         rows = spark.read.schema(keyed.schema).parquet(staged).filter(F.col("header_id") == header_id)
         names = repair_header(header)
