@@ -26,6 +26,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tabkit-bench")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")

@@ -14,7 +14,7 @@ from tabkit.operators.delimited import (
     with_repaired_names,
 )
 from tabkit.session import stage
-from tabkit.sources.file_tree import list_files
+from tabkit.sources.file_tree import list_files, tree_root
 from tabkit.sources.text_tree import (
     TEXT_FILES,
     decode_lines,
@@ -61,6 +61,7 @@ def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -
     Three passes: line counts and encodings; separators and headers from the first
     lines of each file; then all lines, split in one lazy plan.
     """
+    root = tree_root(spark, root)
     listing = list_files(spark, root).filter(F.col("status") == "ok").filter(F.lower("path").endswith(".txt"))
     listing = listing.select("path", "length", is_hidden(F.col("path"), root).alias("hidden"))
     lines = read_lines(spark, root, TEXT_FILES)

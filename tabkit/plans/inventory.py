@@ -22,12 +22,12 @@ BLOBS = "read_blob('/root/testdata/sf0.01/*.parquet')"
     "file_inventory",
     f"""SELECT regexp_extract(filename, '[^/]*$') AS name, '.parquet' AS ext,
         regexp_replace(filename, '/[^/]*$', '') AS folder, round_even(size / 1048576, 2) AS size_mb,
-        date_trunc('second', last_modified)::TIMESTAMP AS modified, '其他' AS category,
+        CAST(floor(epoch(last_modified)) AS BIGINT) AS modified, '其他' AS category,
         'application/vnd.apache.parquet (parquet)' AS detected FROM {BLOBS}""",
 )
 def file_inventory(spark, sf_dir):
     records, _ = inventory.scan_tree(spark, sf_dir)
-    seconds = F.date_trunc("second", "modified").cast("timestamp_ntz")
+    seconds = F.unix_seconds("modified")
     return records.select("name", "ext", "folder", "size_mb", seconds.alias("modified"), "category", "detected")
 
 

@@ -8,6 +8,7 @@ some directories and hands unvisited ones on to the next round.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,11 +51,18 @@ def _local_entries(folder: str):
                 yield entry.path, False, None, None, None, "failed", str(error)
 
 
+def _filesystem(path: str):
+    """``(file system, path in it)`` of a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
 def _remote_entries(folder: str):
     """Entries of a directory on HDFS or an object store; these keep no creation time."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = _filesystem(folder)
     prefix = folder[: len(folder) - len(path)]
     for info in system.get_file_info(fs.FileSelector(path)):
         if info.type == fs.FileType.Directory:
@@ -101,12 +109,23 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(rows)
 
 
+def tree_root(spark: SparkSession, root: str) -> str:
+    """A root as paths below it are listed: local without scheme, others with theirs."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    elif _is_local(root):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if not default.startswith("file:"):
+            root = default.rstrip("/") + root
+    return root.rstrip("/") or "/"
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """One record per file below ``root``: ``(path, length, created, modified, status, note)``.
 
     Links to directories are not followed. What cannot be read is listed as failed.
     """
-    root = root.removeprefix("file://").rstrip("/") or "/"
+    root = tree_root(spark, root)
     pending = spark.createDataFrame([(root,)], "path string")
     width = spark.sparkContext.defaultParallelism
     rounds = []
@@ -145,9 +164,7 @@ def open_file(path: str):
     """A binary stream of a local or remote file."""
     if _is_local(path):
         return open(path, "rb")
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = _filesystem(path)
     return system.open_input_stream(name)
 
 

@@ -42,7 +42,7 @@ def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> Dat
 
 def is_hidden(path: Column, root: str) -> Column:
     """Names that Spark's readers skip: a part below ``root`` begins with '.' or '_'."""
-    below = F.substring(path, F.lit(len(root.removeprefix("file://").rstrip("/")) + 1), F.char_length(path))
+    below = F.substring(path, F.lit(len(root.rstrip("/")) + 1), F.char_length(path))
     return below.rlike("/[._]")
 
 

@@ -286,6 +286,28 @@ def test_listing(spark, tmp_path):
     assert "/a b/x.txt" in visible and "/empty.bin" not in visible
 
 
+def test_remote_listing(tmp_path):
+    """The branch for URIs, tried on a local one."""
+    from tabkit.sources.file_tree import _remote_entries, open_file
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "x.txt").write_bytes(b"123")
+    root = f"file://{tmp_path}"
+    found = {e[0]: e for e in _remote_entries(root)}
+    assert found[f"{root}/sub"][1] is True
+    assert found[f"{root}/x.txt"][1:4] == (False, 3, None)
+    assert found[f"{root}/x.txt"][4] == (tmp_path / "x.txt").stat().st_mtime_ns
+    with open_file(f"{root}/x.txt") as stream:
+        assert stream.read(2) == b"12"
+
+
+def test_tree_root(spark):
+    from tabkit.sources.file_tree import tree_root
+
+    roots = ["/a/b/", "file:///a/b", "file:/a/b", "hdfs://n/a/"]
+    assert [tree_root(spark, r) for r in roots] == ["/a/b", "/a/b", "/a/b", "hdfs://n/a"]
+
+
 def test_listing_hands_directories_on(spark, tmp_path, monkeypatch):
     from tabkit.sources import file_tree
 
