@@ -155,7 +155,8 @@ def detect_separator(
     lines: DataFrame, files: DataFrame, sep: Separator = AUTO, only_utf8: bool = True, decode=None
 ) -> DataFrame:
     """Separator and header per file:
-    ``(uri, n_lines, encoding, separator, header, header_block, header_line_id, status, note)``.
+    ``(uri, n_lines, encoding, separator, header, header_line, header_block,
+    header_line_id, status, note)``.
 
     ``files`` gives ``(uri, n_lines, encoding)``. Each file is judged by its first
     lines. Only files these leave open are read as a whole, by a second job.
@@ -186,6 +187,7 @@ def detect_separator(
         "encoding",
         "separator",
         F.when(ok, fields).alias("header"),
+        F.col("header.line").alias("header_line"),
         F.col("header.block").alias("header_block"),
         F.col("header.line_id").alias("header_line_id"),
         F.when(ok, "ok").otherwise("failed").alias("status"),
@@ -204,8 +206,11 @@ def split_rows(lines: DataFrame, sep: Separator = AUTO) -> DataFrame:
     # Counting instead of the size of `fields`: a filter on `kind` moves down to the
     # scan, where it would split every line a second time.
     width = by_label(label, separators, lambda s: count_fields(F.col("line"), s))
+    at_header = (F.col("block") == F.col("header_block")) & (F.col("line_id") == F.col("header_line_id"))
+    moved = F.raise_error(F.concat(F.lit("lines were numbered anew while reading "), F.col("path")))
     kind = (
-        F.when((F.col("block") == F.col("header_block")) & (F.col("line_id") == F.col("header_line_id")), "header")
+        F.when(at_header & (F.col("line") == F.col("header_line")), "header")
+        .when(at_header, moved.cast("string"))
         .when(by_label(label, separators, lambda s: is_blank_line(F.col("line"), s)), "blank")
         .when(width > F.size("header"), "rejected")
         .otherwise("row")

@@ -46,6 +46,7 @@ def _as_file(lines: DataFrame) -> DataFrame:
         "line",
         F.lit("|").alias("separator"),
         F.array(*[F.lit(c) for c in HEADER]).alias("header"),
+        F.lit(PART_HEADER).alias("header_line"),
         F.lit(-1).cast("long").alias("header_block"),
         F.lit(-1).cast("long").alias("header_line_id"),
     )

@@ -24,6 +24,16 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix how files are cut into tasks for the rest of the session.
+
+    Spark cuts inputs up to some GB by the cores it has at the moment. Line numbers of
+    one pass must hold in the next, also when executors come and go in between.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> DataFrame:
     """Every line below ``root``: ``(uri, block, line_id, line)``.
 
@@ -31,6 +41,7 @@ def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> Dat
     in blocks by many tasks; ``(block, line_id)`` orders the lines of a file. ``line_id`` is
     taken right above the scan, so each use of this frame numbers alike.
     """
+    pin_splits(spark)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     return files.select(
         F.col("_metadata.file_path").alias("uri"),
