@@ -90,18 +90,37 @@ def read_hidden_lines(files: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.col("line").cast("string"))
 
 
-def _decode_gb18030(raw: bytes) -> str | None:
+def _decode_line(raw: bytes) -> str | None:
     try:
-        return bytes(raw).decode("gb18030")
+        return raw.decode("gb18030")
     except UnicodeDecodeError:
         return None
 
 
+def _decode_batch(batch: pd.Series) -> list[str | None]:
+    """Texts of a batch of lines, decoded in one go unless one of them is not valid.
+
+    No multi-byte character holds a line feed, so joined lines decode as single ones.
+    """
+    raw = [b"" if line is None else line for line in batch]
+    try:
+        texts = b"\n".join(raw).decode("gb18030").split("\n")
+    except UnicodeDecodeError:
+        texts = []
+    return texts if len(texts) == len(raw) else [_decode_line(line) for line in raw]
+
+
 @F.pandas_udf(T.StringType())
 def gb18030_text(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of GB18030 bytes, null where they are not valid."""
     for batch in lines:
-        yield batch.map(_decode_gb18030, na_action="ignore")
+        yield pd.Series(_decode_batch(batch), dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_gb18030(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in lines:
+        yield pd.Series([text is not None for text in _decode_batch(batch)])
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
@@ -122,8 +141,8 @@ def resolve_encodings(lines: DataFrame, statistics: DataFrame) -> DataFrame:
     suspects = statistics.filter(~F.col("utf8")).select("uri")
     ascii_line = F.is_valid_utf8("line") & (F.octet_length("line") == F.char_length("line"))
     high = lines.join(suspects, "uri", "left_semi").filter(~ascii_line)
-    text = gb18030_text(F.col("line").cast("binary"))
-    gb = high.select("uri", text.isNotNull().alias("valid")).groupBy("uri").agg(F.bool_and("valid").alias("gb"))
+    valid = is_gb18030(F.col("line").cast("binary"))
+    gb = high.select("uri", valid.alias("valid")).groupBy("uri").agg(F.bool_and("valid").alias("gb"))
     encoding = F.when(F.col("utf8"), "utf-8").when(F.col("gb"), "gb18030").otherwise("latin1")
     return statistics.join(gb, "uri", "left").select("uri", "n_lines", encoding.alias("encoding"))
 
