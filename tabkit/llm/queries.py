@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from tabkit.llm import bpe, exact_dedup, packing, sharding
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -21,3 +23,52 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+NORMAL_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op3_exact_dedup",
+    f"""
+    WITH n AS (SELECT doc_id, {NORMAL_TEXT} AS norm FROM documents)
+    SELECT doc_id,
+           max(doc_id) OVER same AS keep_id,
+           count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept,
+           sha256(norm) AS text_sha256
+    FROM n WINDOW same AS (PARTITION BY norm)
+    """,
+)
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight leaves of near equal bytes, split along language and size."""
+    text = F.coalesce("text", F.lit(""))
+    keys = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("lang").alias("_lang"),
+        (F.octet_length(text) + F.lit(1)).cast("long").alias("_size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("_text_hash"),
+    )
+    sharded = sharding.kd_shards(
+        keys,
+        size=F.col("_size"),
+        dimensions={"lang": sharding.text_coordinate(F.col("_lang")), "size": F.col("_size")},
+        tie=F.col("_text_hash"),
+        identity=F.col("doc_id"),
+        shards=8,
+    )
+    return sharded.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
