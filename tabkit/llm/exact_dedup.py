@@ -90,7 +90,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.unhex("text_sha256").alias("_sha")).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     sha = F.unhex(F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_dropped")) & (sha == F.col("_sha"))
+    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (sha == dropped["_sha"])
     return docs.join(dropped, same, "left_anti")
 
 
