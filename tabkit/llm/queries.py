@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, packing, sharding, substring_dedup, suffix_dedup
+from tabkit.llm import bpe, exact_dedup, nearest, packing, sharding, substring_dedup, suffix_dedup
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -89,3 +89,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"), window=13)
+
+
+@query("op6_nearest")
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), k=10)
