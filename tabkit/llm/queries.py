@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, nearest, packing, sharding, substring_dedup, suffix_dedup
+from tabkit.llm import bpe, exact_dedup, nearest, packing, sharding, substring_dedup, suffix_dedup, toxicity
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -94,3 +94,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nearest")
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), k=10)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("spans")
