@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, nearest, packing, sharding, substring_dedup, suffix_dedup, toxicity
+from tabkit.llm import bpe, exact_dedup, jaccard, nearest, packing, sharding, substring_dedup, suffix_dedup, toxicity
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -101,3 +101,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).drop("spans")
+
+
+@query("op5_jaccard")
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("tid")
