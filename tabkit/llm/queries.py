@@ -100,7 +100,7 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).drop("spans")
+    return toxicity.score(docs, model).drop("tid", "spans")
 
 
 @query("op5_jaccard")

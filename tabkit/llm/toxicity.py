@@ -287,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, spans)`` per document, whole texts.
+    """``(doc_id, tid, held_out, score, predicted, spans)`` per document, whole texts;
+    ``tid`` is a hash of the text.
 
     ``spans`` are the runs of tokens of marginal ``threshold`` or more as character
     offsets ``(start, end)`` in the text with their largest marginal. Null and empty
@@ -296,7 +297,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(span))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
     def spans_of(text_bytes, offset, starts, ends, marginal):
         likely = np.flatnonzero(np.diff(np.concatenate(([False], marginal >= threshold, [False])).astype(np.int8)))
@@ -319,13 +320,25 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 a, b = token_at[i], token_at[i + 1]
                 raw = data[text_at[i] : text_at[i + 1] - 1].tobytes()
                 spans[i] = spans_of(raw, text_at[i], starts[a:b], ends[a:b], marginal[a:b])
-            yield record_batch({"doc_id": batch.column("doc_id"), "score": scores, "spans": spans}, schema)
+            made = {"doc_id": batch.column("doc_id"), "tid": batch.column("tid"), "score": scores, "spans": spans}
+            yield record_batch(made, schema)
 
-    scored = texts_by_id(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long, score: double>>")
+    rows = texts_by_id(docs).withColumn("tid", F.xxhash64("text"))
+    scored = rows.mapInArrow(run, "doc_id long, tid long, score double, spans array<struct<start: long, end: long, score: double>>")
     return scored.select(
         "doc_id",
+        "tid",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "spans",
     )
+
+
+def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    toxic = score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_toxic"), F.col("tid").alias("_tid"))
+    toxic = toxic.distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].cast("long").eqNullSafe(toxic["_toxic"]) & (F.xxhash64(text) == toxic["_tid"])
+    return docs.join(toxic, same, "left_anti")
