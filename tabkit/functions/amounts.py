@@ -25,6 +25,8 @@ from tabkit.lookups import (
 
 # 28 integer digits and 10 decimals; Spark's sum of it keeps the same type.
 AMOUNT_TYPE = "decimal(38,10)"
+# What decimals beyond the tenth, up to the 28th, are worth.
+REST_TYPE = "decimal(38,28)"
 
 _NUMBER = r"^[+-]?(\p{Nd}+(\.\p{Nd}+)?|\.\p{Nd}+)\z"
 
@@ -103,11 +105,30 @@ def with_tokens(df: DataFrame, tokens: Mapping[str, str]) -> DataFrame:
     )
 
 
-def with_amounts(df: DataFrame, amounts: Mapping[str, str]) -> DataFrame:
-    """Add the decimal value of each raw column: ``{new column: raw column}``."""
+def with_amounts(df: DataFrame, amounts: Mapping[str, str], rests: bool = False) -> DataFrame:
+    """Add the decimal value of each raw column: ``{new column: raw column}``.
+
+    With ``rests`` the value is cut after the tenth decimal and a column ``<new> rest``
+    holds what was cut, so that sums of both are exact; else it is rounded half-up.
+    """
     keep = [F.col(quoted(c)) for c in df.columns]
     df = with_tokens(df, {f"{a} token": raw for a, raw in amounts.items()})
-    return df.select(*keep, *[amount_of(F.col(quoted(f"{a} token"))).alias(a) for a in amounts])
+    tokens = {a: ascii_digits(F.col(quoted(f"{a} token"))) for a in amounts}
+    if not rests:
+        return df.select(*keep, *[_value(t, amounts[a]).alias(a) for a, t in tokens.items()])
+    cut = {a: F.regexp_replace(t, r"^([^.]*[.][0-9]{10})[0-9]+$", "$1") for a, t in tokens.items()}
+    return df.select(
+        *keep,
+        *[_value(t, amounts[a]).alias(a) for a, t in cut.items()],
+        *[_rest(t).alias(f"{a} rest") for a, t in tokens.items()],
+    )
+
+
+def _rest(token: Column) -> Column:
+    """The value of the 11th to the 28th decimal of a number, null if it has none."""
+    far = F.regexp_extract(token, r"^[+-]?[0-9]*[.][0-9]{10}([0-9]{1,18})", 1)
+    text = F.concat(F.when(token.startswith("-"), F.lit("-")).otherwise(""), F.lit("0.0000000000"), far)
+    return F.when(is_amount(token) & (far != ""), text.cast(REST_TYPE))
 
 
 def is_amount(token: Column) -> Column:
@@ -116,22 +137,32 @@ def is_amount(token: Column) -> Column:
 
 
 def parse_amount(raw: Column) -> Column:
-    """Decimal value of a raw amount; null when missing, not a number or too wide."""
+    """Decimal value of a raw amount; null when missing or not a number. A number too
+    wide for the type, with more than 28 digits before the point, fails the job."""
     return amount_of(clean_amount(raw))
 
 
-def amount_of(token: Column) -> Column:
+def ascii_digits(token: Column) -> Column:
     digits = decimal_digits()
-    ascii_token = F.when(
-        is_non_ascii(token), F.translate(token, "".join(digits), "".join(digits.values()))
-    ).otherwise(token)
+    plain = F.translate(token, "".join(digits), "".join(digits.values()))
+    return F.when(is_non_ascii(token), plain).otherwise(token)
+
+
+def amount_of(token: Column, column: str = "") -> Column:
+    """The value of a cleaned token; ``column`` is named when it is too wide."""
+    return _value(ascii_digits(token), column)
+
+
+def _value(token: Column, column: str) -> Column:
+    value = token.try_cast(AMOUNT_TYPE)
+    message = F.concat(F.lit(f"an amount of column {column!r} has more than 28 digits before the point: "), token)
     # The pattern gates the cast: on its own the cast would take '5.' and '1e3'.
-    return F.when(is_amount(token), ascii_token.try_cast(AMOUNT_TYPE))
+    return F.when(is_amount(token), F.coalesce(value, F.raise_error(message).cast(AMOUNT_TYPE)))
 
 
 def is_bad_amount(token: Column) -> Column:
-    """A present token that contributes nothing to a sum: not a number, or too wide."""
-    return token.isNotNull() & amount_of(token).isNull()
+    """A present token that cannot count in a sum: not a number, or too wide."""
+    return token.isNotNull() & (~is_amount(token) | ascii_digits(token).try_cast(AMOUNT_TYPE).isNull())
 
 
 def round_half_up(amount: Column) -> Column:

@@ -9,7 +9,9 @@ from tabkit.lookups import CATEGORIES, OTHER_CATEGORY, SIGNATURES, TITLE_WIDTH,
 
 
 def folder_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    """Everything before the last slash; '/' for a file right below the root."""
+    folder = F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    return F.when((folder == "") & path.startswith("/"), "/").otherwise(folder)
 
 
 def name_of(path: Column) -> Column:
@@ -40,10 +42,17 @@ def part_title(category: Column, part: Column, parts: Column) -> Column:
     return F.substring(F.when(parts == 1, category).otherwise(numbered), 1, TITLE_WIDTH)
 
 
-def relative_output_path(path: Column, root: str) -> Column:
-    """Path below ``root`` without its extension."""
-    base = root.removeprefix("file://").rstrip("/") + "/"
+def relative_path(path: Column, root: str) -> Column:
+    """Path below a qualified root; a path elsewhere fails the job."""
+    base = root.rstrip("/") + "/"
     below = F.substring(path, F.lit(len(base) + 1), F.char_length(path))
+    elsewhere = F.raise_error(F.concat(path, F.lit(f" is not below {base}"))).cast("string")
+    return F.when(path.startswith(base), below).otherwise(elsewhere)
+
+
+def relative_output_path(path: Column, root: str) -> Column:
+    """Path below a qualified root without its extension."""
+    below = relative_path(path, root)
     suffix = suffix_of(name_of(path))
     return F.substring(below, F.lit(1), F.char_length(below) - F.char_length(suffix))
 

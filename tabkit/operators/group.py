@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.amounts import AMOUNT_TYPE, round_half_up, with_amounts
+from tabkit.functions.amounts import AMOUNT_TYPE, REST_TYPE, round_half_up, with_amounts
 from tabkit.functions.text import join_separator, normalise_text, quoted
 from tabkit.lookups import ROWS_COLUMN
 from tabkit.operators.ranking import order_key, with_position
 from tabkit.operators.validate import check_amounts
 
-# A joined text above this size is not built in one cell but given by `long_cells`.
-CELL_BYTES = 64 << 20
+# About how much text a part of `long_cells` holds.
 PART_BYTES = 8 << 20
 
 
@@ -23,22 +22,35 @@ def group_count(df: DataFrame, key: str, name: str = ROWS_COLUMN) -> DataFrame:
     return df.groupBy(normalise_text(F.col(quoted(key))).alias(key)).agg(F.count("*").alias(name))
 
 
-def decimal_sum(df: DataFrame, key: str, columns: Sequence[str], rows: str | None = None) -> DataFrame:
+def decimal_sum(
+    df: DataFrame, key: str, columns: Sequence[str], rows: str | None = None, first: Column | None = None
+) -> DataFrame:
     """Exact sum of the valid amounts per key, 0 when there are none.
 
-    A plain ``sum``: it fails on overflow, where ``try_sum`` would give a silent 0.
-    ``rows`` names an optional row count from the same pass.
+    Decimals beyond the tenth are summed apart and only the total is rounded. An amount
+    or a total too wide for the type fails the job; a plain ``sum`` is used, since
+    ``try_sum`` would give a silent 0. ``rows`` names an optional row count, and
+    ``first`` an expression whose least value per key is added as ``_first``, both from
+    the same pass.
     """
-    narrow = df.select(normalise_text(F.col(quoted(key))).alias(key), *[quoted(c) for c in columns])
-    parsed = with_amounts(narrow, {f"{c} amount": c for c in columns}) if columns else narrow
+    extra = [first.alias("_first")] if first is not None else []
+    narrow = df.select(normalise_text(F.col(quoted(key))).alias(key), *extra, *[quoted(c) for c in columns])
+    parsed = with_amounts(narrow, {f"{c} amount": c for c in columns}, rests=True) if columns else narrow
     zero = F.lit(0).cast(AMOUNT_TYPE)
-    count = [F.count("*").alias(rows)] if rows else []
-    sums = [F.coalesce(F.sum(quoted(f"{c} amount")), zero).alias(c) for c in columns]
-    return parsed.groupBy(quoted(key)).agg(*count, *sums)
+    measures = [F.count("*").alias(rows)] if rows else []
+    measures += [F.min("_first").alias("_first")] if extra else []
+    for c in columns:
+        whole = F.coalesce(F.sum(quoted(f"{c} amount")), zero)
+        rest = F.round(F.coalesce(F.sum(quoted(f"{c} amount rest")), F.lit(0).cast(REST_TYPE)), 10)
+        # One digit less on both sides, or Spark would give the sum fewer decimals.
+        both = (whole.cast("decimal(37,10)") + rest.cast("decimal(37,10)")).cast(AMOUNT_TYPE)
+        measures.append(F.when(rest == 0, whole).otherwise(both).alias(c))
+    return parsed.groupBy(quoted(key)).agg(*measures)
 
 
 def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Distinct non-blank values: ``(key, column, value, first)``, one row per value.
+    """Distinct values: ``(key, column, value, first)``, one row per value, blank ones
+    included, so that every key has a row.
 
     ``column`` is the position in ``columns``. Grouping includes the value, so a large
     key spreads over all tasks, and repeated values fold before the shuffle.
@@ -50,41 +62,23 @@ def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: S
     )
     return (
         rows.unpivot(["_key", "_first"], [str(i) for i in range(len(columns))], "_column", "_value")
-        .filter(F.col("_value") != "")
         .groupBy("_key", "_column", "_value")
         .agg(F.min("_first").alias("_first"))
     )
 
 
-def _long_groups(values: DataFrame, sep: str, cell_bytes: int) -> DataFrame:
-    size = F.sum(F.octet_length("_value") + len(sep.encode()))
-    # max(_first) is kept so that this branch shares the exchange of the main one.
-    long = (
-        values.groupBy("_key", "_column")
-        .agg(size.alias("_bytes"), F.max("_first").alias("_last"))
-        .filter((F.col("_bytes") > cell_bytes) & F.col("_last").isNotNull())
-        .select("_key", "_column")
-    )
-    # Every group here holds more than cell_bytes of distinct text, so 100 TB of it
-    # make at most 1.6 million rows at the default. Below that the size is not proven
-    # and Spark chooses the join.
-    return F.broadcast(long) if cell_bytes >= CELL_BYTES else long
-
-
-def _cell(values: Column, sep: str) -> Column:
-    return F.array_join(F.sort_array(F.collect_list(values))["_value"], sep)
+def _cell(sep: str) -> Column:
+    """The non-blank values of a group in first-seen order, ties by value."""
+    entry = F.when(F.col("_value") != "", F.struct("_first", "_value"))
+    return F.array_join(F.sort_array(F.collect_list(entry))["_value"], sep)
 
 
 def unique_join(
-    df: DataFrame,
-    key: str,
-    column: str,
-    order_by: Sequence[str],
-    sep: str | None = None,
-    cell_bytes: int = CELL_BYTES,
+    df: DataFrame, key: str, column: str, order_by: Sequence[str], sep: str | None = None
 ) -> DataFrame:
     """Distinct non-blank values of one column per key, joined in first-seen order."""
-    return group_aggregate(df, key, [], order_by, sep, [column], cell_bytes).select(quoted(key), quoted(column))
+    cells = distinct_values(df, key, [column], order_by).groupBy("_key").agg(_cell(join_separator(sep)).alias("_cell"))
+    return cells.select(F.col("_key").alias(key), F.col("_cell").alias(column))
 
 
 def group_aggregate(
@@ -94,17 +88,20 @@ def group_aggregate(
     order_by: Sequence[str],
     sep: str | None = None,
     columns: Sequence[str] | None = None,
-    cell_bytes: int = CELL_BYTES,
     strict: bool = False,
+    first: str | None = None,
 ) -> DataFrame:
     """One row per key: count, key, then ``columns`` in their order.
 
     Columns in ``sum_cols`` are summed exactly and rounded to two places; the others
     join their distinct non-blank values in the order given by ``order_by``, ties by
-    value. ``columns`` defaults to all but the key and the order columns.
+    value. ``columns`` defaults to all but the key and the order columns. ``first``
+    names an added column with the order of the key's first row, by which
+    ``sinks.write_grouped`` writes groups in first-seen order.
 
-    A joined text larger than ``cell_bytes`` is left null here, which no other cell
-    is, and comes whole from :func:`long_cells` as a sequence of bounded parts.
+    Every cell is whole. Each is joined in a task of its own, and a row that Spark
+    cannot hold (2 GB) fails the job; :func:`long_cells` gives the same cells in bounded
+    parts.
 
     ``strict`` first checks the sum columns in a job of its own and raises if any
     holds a value that is not an amount; otherwise such values count as nothing.
@@ -120,36 +117,21 @@ def group_aggregate(
     texts = [c for c in columns if c not in sum_cols]
 
     sums = {c: f"s{i}" for i, c in enumerate(columns) if c in sum_cols}
-    raw = df.select(F.col(quoted(key)).alias("_key"), *[F.col(quoted(c)).alias(s) for c, s in sums.items()])
-    totals = decimal_sum(raw, "_key", list(sums.values()), rows="_rows")
-    result = totals
+    raw = df.select(
+        F.col(quoted(key)).alias("_key"),
+        *([order_key(order_by).alias("_order")] if first else []),
+        *[F.col(quoted(c)).alias(s) for c, s in sums.items()],
+    )
+    result = decimal_sum(raw, "_key", list(sums.values()), rows="_rows", first=F.col("_order") if first else None)
     if texts:
-        values = distinct_values(df, key, texts, order_by)
-        long = _long_groups(values, sep, cell_bytes)
-        # An outer join, because Spark would push an anti join below the grouping of
-        # `values` and so compute that twice.
-        marked = values.join(long.withColumn("_long", F.lit(True)), ["_key", "_column"], "left")
-        short = F.col("_long").isNull()
-        entry = F.struct("_first", "_value")
-        cells = marked.groupBy("_key").agg(
-            *[
-                F.when(
-                    ~F.bool_or(~short & (F.col("_column") == str(i))),
-                    _cell(F.when(short & (F.col("_column") == str(i)), entry), sep),
-                ).alias(f"c{i}")
-                for i in range(len(texts))
-            ],
-            F.lit(True).alias("_has_cells"),
-        )
-        result = totals.join(cells, "_key", "left")
-    outputs = []
-    for c in columns:
-        if c in sums:
-            outputs.append(round_half_up(F.col(sums[c])).alias(c))
-        else:
-            cell = F.col(f"c{texts.index(c)}")
-            outputs.append(F.when(F.col("_has_cells").isNull(), F.lit("")).otherwise(cell).alias(c))
-    return result.select(F.col("_rows").alias(ROWS_COLUMN), F.col("_key").alias(key), *outputs)
+        cells = distinct_values(df, key, texts, order_by).groupBy("_key", "_column").agg(_cell(sep).alias("_cell"))
+        wide = [F.max(F.when(F.col("_column") == str(i), F.col("_cell"))).alias(f"c{i}") for i in range(len(texts))]
+        result = result.join(cells.groupBy("_key").agg(*wide), "_key")
+    outputs = [
+        round_half_up(F.col(sums[c])).alias(c) if c in sums else F.col(f"c{texts.index(c)}").alias(c) for c in columns
+    ]
+    firsts = [F.col("_first").alias(first)] if first else []
+    return result.select(F.col("_rows").alias(ROWS_COLUMN), F.col("_key").alias(key), *outputs, *firsts)
 
 
 def long_cells(
@@ -158,29 +140,23 @@ def long_cells(
     columns: Sequence[str],
     order_by: Sequence[str],
     sep: str | None = None,
-    cell_bytes: int = CELL_BYTES,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """The joined texts above ``cell_bytes``: ``(key, column, part, text)``.
+    """All non-empty joined texts in parts: ``(key, column, part, text)``.
 
     Joining the parts of a cell with the separator gives its whole text. A part holds
     about ``part_bytes`` and at least one value, so no task holds a whole cell. Part
     numbers rise, and skip where one value is larger than a part.
     """
     sep = join_separator(sep)
-    values = distinct_values(df, key, columns, order_by)
-    long = _long_groups(values, sep, cell_bytes)
-    # An inner join, for the same reason: `long` holds each group once.
-    values = values.join(long, ["_key", "_column"])
+    values = distinct_values(df, key, columns, order_by).filter(F.col("_value") != "")
     values = values.withColumn("_bytes", F.octet_length("_value").cast("long") + len(sep.encode()))
     placed = with_position(
         values, ["_key", "_column"], ["_first", "_value"], weight="_bytes", weight_before="_before"
     )
     part = F.floor(F.col("_before") / part_bytes) + 1
     names = F.array(*[F.lit(c) for c in columns])
-    parts = placed.groupBy("_key", "_column", part.alias("_part")).agg(
-        _cell(F.struct("_first", "_value"), sep).alias("text")
-    )
+    parts = placed.groupBy("_key", "_column", part.alias("_part")).agg(_cell(sep).alias("text"))
     return parts.select(
         F.col("_key").alias(key),
         F.get(names, F.col("_column").cast("int")).alias("column"),

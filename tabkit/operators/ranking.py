@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.text import quoted
+from tabkit.functions.text import normalise_text, quoted
 from tabkit.session import stage
 
 
+# Up to this many rows Spark limits groups before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def with_position(
     df: DataFrame,
     by: Sequence[str],
@@ -32,7 +37,7 @@ def with_position(
 
     With ``weight``, also the total weight of the rows before each row in its group.
     """
-    by = list(by)
+    names, by, order_by = list(by), [quoted(c) for c in by], [quoted(c) for c in order_by]
     numbered = (
         df.repartitionByRange(*by, *order_by)
         .sortWithinPartitions(*by, *order_by)
@@ -43,12 +48,12 @@ def with_position(
 
     measures = [F.min("_at").alias("_start"), F.count("*").alias("_n")]
     if weight:
-        measures.append(F.sum(weight).alias("_w"))
+        measures.append(F.sum(quoted(weight)).alias("_w"))
     runs = numbered.groupBy(*by, "_slice").agg(*measures)
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *[F.col(c).alias(f"_run {c}") for c in [*by, "_slice"]],
+        *[F.col(quoted(c)).alias(f"_run {c}") for c in [*names, "_slice"]],
         (F.col("_start") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - 1).alias("_shift"),
         F.sum("_n").over(whole).alias(group_size),
         *([F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w_before")] if weight else []),
@@ -61,11 +66,11 @@ def with_position(
         inside = (
             Window.partitionBy(*by, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         )
-        rows = rows.withColumn("_w_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        rows = rows.withColumn("_w_inside", F.coalesce(F.sum(quoted(weight)).over(inside), F.lit(0)))
     # The group columns may hold null, which an ordinary equality would lose.
-    same = [F.col(c).eqNullSafe(F.col(f"`_run {c}`")) for c in [*by, "_slice"]]
+    same = [F.col(quoted(c)).eqNullSafe(F.col(quoted(f"_run {c}"))) for c in [*names, "_slice"]]
     return rows.join(runs, same).select(
-        *df.columns,
+        *[quoted(c) for c in df.columns],
         (F.col("_at") - F.col("_shift")).alias(position),
         group_size,
         *([(F.col("_w_inside") + F.col("_w_before")).alias(weight_before)] if weight else []),
@@ -73,21 +78,26 @@ def with_position(
 
 
 def first_n_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each group, numbered in ``row_in_group``.
+    """The first ``n`` rows of each group, numbered in ``row_in_group``; 0 keeps all rows.
 
     Spark turns the filter into a window group limit that runs before the shuffle, so
-    a task passes on at most ``n`` rows per group however large the group is.
+    a task passes on at most ``n`` rows per group however large the group is. It does so
+    for small ``n`` only; above, rows get their positions by slices.
     """
-    if n > 1000:
-        raise ValueError("Spark limits groups before the shuffle only up to 1000 rows")
-    order = Window.partitionBy(*by).orderBy(*order_by)
+    if not 0 < n <= GROUP_LIMIT:
+        placed = with_position(df, by, order_by, "row_in_group").drop("group_size")
+        return placed.filter(F.col("row_in_group") <= n) if n else placed
+    order = Window.partitionBy(*[quoted(c) for c in by]).orderBy(*[quoted(c) for c in order_by])
     return df.withColumn("row_in_group", F.row_number().over(order)).filter(F.col("row_in_group") <= n)
 
 
 def first_seen_order(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """Keys in the order of their first row: ``(key, first_seen, position)``."""
-    first = df.groupBy(key).agg(F.min(order_key(order_by)).alias("first_seen"))
-    return with_position(first, [], ["first_seen", key]).drop("group_size")
+    """Keys, as groups have them, in the order of their first row:
+    ``(key, first_seen, position)``."""
+    names = normalise_text(F.col(quoted(key))).alias("_key")
+    first = df.groupBy(names).agg(F.min(order_key(order_by)).alias("first_seen"))
+    placed = with_position(first, [], ["first_seen", "_key"])
+    return placed.select(F.col("_key").alias(key), "first_seen", "position")
 
 
 def order_key(order_by: Sequence[str]):
@@ -99,4 +109,4 @@ def order_key(order_by: Sequence[str]):
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows; 0 keeps all rows."""
-    return df.orderBy(*order_by).limit(n) if n > 0 else df
+    return df.orderBy(*[quoted(c) for c in order_by]).limit(n) if n > 0 else df

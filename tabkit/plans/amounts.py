@@ -48,14 +48,18 @@ def is_amount(spark, sf_dir):
     return tokens.select("id", amounts.is_amount(F.col("token")).alias("valid"))
 
 
+# Some rows as wide as amounts may be, and some with more decimals than their type has.
 @query(
     "parse_amount",
-    f"""SELECT id, CASE WHEN id % 50 NOT IN (1, 2, 3, 4, 6) THEN CAST(price AS DECIMAL(38,10)) END AS amount
+    f"""SELECT id, CASE WHEN id % 50 IN (7, 8) THEN CAST(CASE id % 50 WHEN 7 THEN '1234567890123456789012345678.' || id % 10
+                ELSE '-0.00000000005' END AS DECIMAL(38,10))
+            WHEN id % 50 NOT IN (1, 2, 3, 4, 6) THEN CAST(price AS DECIMAL(38,10)) END AS amount
         FROM {derived_sql('invalid_amounts')}""",
 )
 def parse_amount(spark, sf_dir):
-    df = derived(spark, sf_dir, "invalid_amounts")
-    return amounts.with_amounts(df.select("id", "price"), {"amount": "price"}).select("id", "amount")
+    wide = "CASE id % 50 WHEN 7 THEN '1234567890123456789012345678.' || id % 10 WHEN 8 THEN '(0.00000000005)' ELSE price END"
+    df = derived(spark, sf_dir, "invalid_amounts").select("id", F.expr(wide).alias("price"))
+    return amounts.with_amounts(df, {"amount": "price"}).select("id", "amount")
 
 
 EIGHTH = """CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.125 AS DECIMAL(4,3))
@@ -102,13 +106,21 @@ def group_count(spark, sf_dir):
     return group.group_count(padded, "k")
 
 
+# Beside the messy amounts, a column of wide values and one of 13 decimals, which only
+# the total may round: 1000 times the sum fits the type of either side.
 @query(
     "decimal_sum",
-    f"SELECT k, CAST(coalesce(sum(want), 0) AS DECIMAL(38,10)) AS total FROM {CLEAN} GROUP BY k",
+    f"""SELECT k, CAST(coalesce(sum(want), 0) AS DECIMAL(38,10)) AS total,
+            CAST(sum(CAST('1234567890123456789012' AS DECIMAL(38,10)) + ord) AS DECIMAL(38,10)) AS wide,
+            CAST(sum(CAST('0.0000000000004' AS DECIMAL(28,13)) * (1 + ord % 2)) AS DECIMAL(38,10)) AS fine
+        FROM {CLEAN} GROUP BY k""",
 )
 def decimal_sum(spark, sf_dir):
     df = derived(spark, sf_dir, "messy_amounts")
-    return group.decimal_sum(df, "k", ["amt"]).withColumnRenamed("amt", "total")
+    wide = F.concat(F.lit("¥"), (F.lit("1234567890123456789012").cast("decimal(38,0)") + F.col("ord")).cast("string"))
+    fine = F.when(F.col("ord") % 2 == 0, "0.0000000000004").otherwise("０.0000000000008")
+    sums = group.decimal_sum(df.withColumn("wide", wide).withColumn("fine", fine), "k", ["amt", "wide", "fine"])
+    return sums.withColumnRenamed("amt", "total")
 
 
 @query(
@@ -147,17 +159,17 @@ def group_aggregate_text_only(spark, sf_dir):
 
 @query(
     "long_cells",
-    f"""WITH seen AS (SELECT rf, sm, min(ord) AS first, strlen(sm) + 3 AS bytes FROM {CLEAN} WHERE sm <> '' GROUP BY ALL),
-        placed AS (SELECT *, sum(bytes) OVER (PARTITION BY rf) AS total,
-            coalesce(sum(bytes) OVER (PARTITION BY rf ORDER BY first, sm
+    f"""WITH cells AS (SELECT 'ls' AS c, rf, ls AS v, ord FROM {CLEAN} UNION ALL SELECT 'sm', rf, sm, ord FROM {CLEAN}),
+        seen AS (SELECT c, rf, v, min(ord) AS first, strlen(v) + 3 AS bytes FROM cells WHERE v <> '' GROUP BY ALL),
+        placed AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY c, rf ORDER BY first, v
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seen)
-        SELECT rf, 'sm' AS "column", CAST(before // 100 + 1 AS BIGINT) AS part,
-            string_agg(sm, '；' ORDER BY first, sm) AS text
-        FROM placed WHERE total > 200 GROUP BY ALL""",
+        SELECT rf, c AS "column", CAST(before // 100 + 1 AS BIGINT) AS part,
+            string_agg(v, '；' ORDER BY first, v) AS text
+        FROM placed GROUP BY ALL""",
 )
 def long_cells(spark, sf_dir):
     df = derived(spark, sf_dir, "messy_amounts")
-    return group.long_cells(df, "rf", ["ls", "sm"], ["ord"], cell_bytes=200, part_bytes=100)
+    return group.long_cells(df, "rf", ["ls", "sm"], ["ord"], part_bytes=100)
 
 
 @query(
@@ -166,7 +178,10 @@ def long_cells(spark, sf_dir):
         FROM (SELECT k, min(ord) AS first_seen FROM {MESSY} GROUP BY k)""",
 )
 def first_seen_order(spark, sf_dir):
-    return ranking.first_seen_order(derived(spark, sf_dir, "messy_amounts"), "k", ["ord"])
+    df = derived(spark, sf_dir, "messy_amounts")
+    pad = F.when(F.col("ord") % 2 == 0, F.lit("　 ")).otherwise("")
+    padded = df.select(F.concat(pad, F.col("k").cast("string"), pad).alias("k"), "ord")
+    return ranking.first_seen_order(padded, "k", ["ord"]).withColumn("k", F.col("k").cast("long"))
 
 
 @query(

@@ -68,9 +68,17 @@ def write_category_parts(records: DataFrame, path: str, link_folder: bool = Fals
     return parts
 
 
-def write_grouped(result: DataFrame, sum_cols: list[str], path: str) -> None:
-    """Typed output of a group aggregate: count bigint, sums double, the rest text."""
+def write_grouped(result: DataFrame, sum_cols: list[str], path: str, first: str | None = None) -> None:
+    """Typed output of a group aggregate: count bigint, sums double, the rest text.
+
+    ``first`` names the column that ``group_aggregate`` added under that option: the
+    files, in the order of their names, then hold the groups in first-seen order, and
+    the column itself is left out. Rows are range partitioned for it.
+    """
     types = {ROWS_COLUMN: "bigint"} | dict.fromkeys(sum_cols, "double")
+    if first:
+        key = result.columns[1]
+        result = result.orderBy(quoted(first), quoted(key)).drop(first)
     result.select(
         *[F.col(quoted(c)).cast(types.get(c, "string")).alias(c) for c in result.columns]
     ).write.parquet(path)

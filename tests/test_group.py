@@ -59,21 +59,54 @@ def test_group_aggregate_equals_brute_force(spark, rows, partitions):
     assert {r[1]: (r[0], r[2], r[3]) for r in got.collect()} == brute_force(rows, "|")
 
 
-def test_long_cells_are_null_and_come_whole_in_parts(spark, rows):
+def test_parts_join_to_the_whole_cell_of_every_key(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    want = brute_force(rows, "|")
-    wide = group.group_aggregate(df, "key col", ["amt.x"], ["ord"], sep="|", cell_bytes=100)
-    cells = {r[1]: r[3] for r in wide.collect()}
-    long = {k for k, v in cells.items() if v is None}
-    assert "hot" in long
-    assert all(len(want[k][2]) + 1 > 100 for k in long)
-    assert all(cells[k] == want[k][2] for k in cells.keys() - long)
-    parts = group.long_cells(df, "key col", ["txt"], ["ord"], sep="|", cell_bytes=100, part_bytes=30)
+    want = {k: v[2] for k, v in brute_force(rows, "|").items() if v[2]}
+    parts = group.long_cells(df, "key col", ["txt"], ["ord"], sep="|", part_bytes=30)
     joined = {}
     for r in sorted(parts.collect(), key=lambda r: r["part"]):
         assert r["column"] == "txt" and len(r["text"]) < 40
         joined.setdefault(r["key col"], []).append(r["text"])
-    assert {k: "|".join(v) for k, v in joined.items()} == {k: want[k][2] for k in long}
+    assert {k: "|".join(v) for k, v in joined.items()} == want
+    assert max(map(len, joined.values())) > 3
+
+
+def test_unique_join_keeps_keys_without_values(spark):
+    df = spark.createDataFrame([("a", 1, " "), ("a", 2, None), ("b", 3, "x"), (None, 4, "y")], "k string, o int, v string")
+    assert {r["k"]: r["v"] for r in group.unique_join(df, "k", "v", ["o"]).collect()} == {"a": "", "b": "x", "": "y"}
+
+
+def test_wide_amounts_are_summed_or_refused(spark):
+    rows = [("a", "9" * 27), ("a", "2"), ("b", "0.00000000004"), ("b", "0.00000000004"), ("b", "-0.000000000000001")]
+    df = spark.createDataFrame(rows, "k string, `a.b` string")
+    sums = group.decimal_sum(df, "k", ["a.b"])
+    assert sums.schema["a.b"].dataType.simpleString() == "decimal(38,10)"
+    got = {r["k"]: r["a.b"] for r in sums.collect()}
+    assert got == {"a": decimal.Decimal("1" + "0" * 26 + "1"), "b": decimal.Decimal("1E-10")}
+    with pytest.raises(Exception, match="a.b.*more than 28 digits"):
+        group.decimal_sum(spark.createDataFrame([("a", "1" * 29)], "k string, `a.b` string"), "k", ["a.b"]).collect()
+
+
+def test_first_seen_order_of_groups_is_written(spark, tmp_path):
+    from tabkit import sinks
+
+    rows = [(" k", 5, "1"), ("z", 2, "2"), ("k", 3, "3"), ("b.x", 9, "4")]
+    df = spark.createDataFrame(rows, "`key.x` string, `o.x` int, amt string")
+    result = group.group_aggregate(df, "key.x", ["amt"], ["o.x"], first="seen")
+    sinks.write_grouped(result, ["amt"], str(tmp_path / "g"), first="seen")
+    names = sorted(str(f) for f in (tmp_path / "g").glob("*.parquet"))
+    written = [r["key.x"] for f in names for r in spark.read.parquet(f).collect()]
+    order = ranking.first_seen_order(df, "key.x", ["o.x"]).orderBy("position").collect()
+    assert written == [r["key.x"] for r in order] == ["z", "k", "b.x"]
+    assert "seen" not in spark.read.parquet(names[0]).columns
+
+
+def test_first_rows_of_any_number(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g.x"), F.col("id").alias("i.x"))
+    got = ranking.first_n_per_group(df, ["g.x"], ["i.x"], 1500)
+    assert got.columns == ["g.x", "i.x", "row_in_group"]
+    assert sorted(tuple(r) for r in got.collect()) == [(g, 2 * i + g, i + 1) for g in (0, 1) for i in range(1500)]
+    assert ranking.first_n_per_group(df, ["g.x"], ["i.x"], 0).count() == 5000
 
 
 def test_composite_order(spark):
