@@ -18,35 +18,47 @@ from tabkit.sources.file_tree import list_files, tree_root
 from tabkit.sources.text_tree import (
     TEXT_FILES,
     decode_lines,
-    is_hidden,
     line_statistics,
     plain_path,
-    read_hidden_lines,
+    read_first_lines,
     read_lines,
+    read_unseen_lines,
+    reading_session,
     resolve_encodings,
 )
 
 
-def resolve_files(lines: DataFrame) -> DataFrame:
-    """Staged ``(uri, n_lines, encoding)`` of every file that has lines."""
-    statistics = stage(line_statistics(lines), "statistics")
+def resolve_files(lines: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+    """Staged ``(uri, n_lines, first_id, encoding)`` of every file that has lines."""
+    if statistics is None:
+        statistics = stage(line_statistics(lines), "statistics")
     if statistics.filter("NOT utf8").isEmpty():
-        return statistics.select("uri", "n_lines", F.lit("utf-8").alias("encoding"))
-    return stage(resolve_encodings(lines, statistics), "encodings")
+        return statistics.select("uri", "n_lines", "first_id", F.lit("utf-8").alias("encoding"))
+    encodings = resolve_encodings(lines, statistics).select("uri", "encoding")
+    return stage(statistics.select("uri", "n_lines", "first_id").join(encodings, "uri"), "encodings")
 
 
-def parse_lines(lines: DataFrame, sep: Separator = AUTO, path_of=lambda uri: uri) -> tuple[DataFrame, DataFrame]:
+def parse_lines(
+    lines: DataFrame,
+    sep: Separator = AUTO,
+    path_of=lambda uri: uri,
+    statistics: DataFrame | None = None,
+    first_lines=None,
+) -> tuple[DataFrame, DataFrame]:
     """Per-file facts and all lines split (lazy), for any frame of lines.
 
     ``path_of`` turns the ``uri`` of a file into the ``path`` of the results.
+    ``first_lines`` reads the first lines of files by their facts, where that is
+    cheaper than a pass over all lines.
     """
-    files = resolve_files(lines)
+    files = resolve_files(lines, statistics)
     only_utf8 = files.filter("encoding <> 'utf-8'").isEmpty()
 
     def decode(df: DataFrame) -> DataFrame:
         return decode_lines(df, only_utf8)
 
-    files = detect_separator(lines, files, sep, only_utf8, decode)
+    sample = first_lines(files) if first_lines else None
+    files = detect_separator(lines, files, sep, only_utf8, decode, sample)
     files = files.withColumn("path", path_of(F.col("uri")))
     # Read from a staged table, so Catalyst knows the size and broadcasts it only when
     # it is small. Paths are worked out here, once per file and not per line.
@@ -58,16 +70,25 @@ def parse_lines(lines: DataFrame, sep: Separator = AUTO, path_of=lambda uri: uri
 def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -> DelimitedTree:
     """Read every ``.txt`` file below ``root``, whatever its encoding and separator.
 
-    Three passes: line counts and encodings; separators and headers from the first
-    lines of each file; then all lines, split in one lazy plan.
+    Two passes over the text: line counts and encodings, then, after the first bytes of
+    each file gave its separator and header, all lines, split in one lazy plan. The
+    frames belong to a session of their own, in which files are always cut alike.
     """
+    spark = reading_session(spark)
     root = tree_root(spark, root)
-    listing = list_files(spark, root).filter(F.col("status") == "ok").filter(F.lower("path").endswith(".txt"))
-    listing = listing.select("path", "length", is_hidden(F.col("path"), root).alias("hidden"))
+    listing = list_files(spark, root)
+    # What could not be listed may be a file of any name or a folder.
+    listing = listing.filter((F.col("status") == "failed") | F.lower("path").endswith(".txt"))
     lines = read_lines(spark, root, TEXT_FILES)
-    unseen = listing.filter("hidden AND length > 0")
+    statistics = stage(line_statistics(lines), "statistics")
+    # Spark skips some names; which ones, the statistics tell.
+    seen = statistics.select(plain_path(F.col("uri")).alias("path"))
+    unseen = listing.filter("status = 'ok' AND length > 0").join(seen, "path", "left_anti")
+    unseen = stage(unseen.select("path"), "unseen")
     if not unseen.isEmpty():
-        lines = lines.unionByName(read_hidden_lines(unseen))
-    files, split = parse_lines(lines, sep, plain_path)
+        more = read_unseen_lines(unseen)
+        lines = lines.unionByName(more)
+        statistics = stage(statistics.unionByName(line_statistics(more)), "statistics")
+    files, split = parse_lines(lines, sep, plain_path, statistics, read_first_lines)
     files = with_repaired_names(files)
-    return DelimitedTree(files, split, conversion_status(listing, files))
+    return DelimitedTree(files, split, conversion_status(listing, files), root)

@@ -152,24 +152,35 @@ def _choose(
 
 
 def detect_separator(
-    lines: DataFrame, files: DataFrame, sep: Separator = AUTO, only_utf8: bool = True, decode=None
+    lines: DataFrame,
+    files: DataFrame,
+    sep: Separator = AUTO,
+    only_utf8: bool = True,
+    decode=None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Separator and header per file:
     ``(uri, n_lines, encoding, separator, header, header_line, header_block,
     header_line_id, status, note)``.
 
     ``files`` gives ``(uri, n_lines, encoding)``. Each file is judged by its first
-    lines. Only files these leave open are read as a whole, by a second job.
+    lines, given as ``sample`` or else taken from the first block. Only files these
+    leave open are read as a whole, by a second job.
     """
     decode = decode or (lambda df: df)
     separators = output_separators(sep)
     auto = sep.kind == "auto"
-    first_block = lines.filter(F.col("block") == 0)
-    sample = first_n_per_group(first_block, ["uri"], ORDER, SAMPLE_LINES).drop("row_in_group")
+    if sample is None:
+        sample = first_n_per_group(lines.filter(F.col("block") == 0), ["uri"], ORDER, SAMPLE_LINES).drop("row_in_group")
+    # Staged, for the count below and the tallies must be over the same lines.
+    sample = stage(sample, "sample")
+    sampled = sample.groupBy("uri").agg(F.count("*").alias("n_sampled"))
+    judged = files.select("uri", "n_lines", "encoding").join(sampled, "uri", "left")
+    judged = judged.withColumn("complete", F.coalesce(F.col("n_sampled") == F.col("n_lines"), F.lit(False)))
     if not only_utf8:
         sample = decode(sample.join(files.select("uri", "encoding"), "uri"))
-    complete = F.col("n_lines") <= SAMPLE_LINES
-    chosen = stage(_choose(_sample_tallies(sample, separators), files, separators, auto, complete), "separators")
+    complete = F.col("complete")
+    chosen = stage(_choose(_sample_tallies(sample, separators), judged, separators, auto, complete), "separators")
 
     open_files = chosen.filter("undecided").select("uri", "n_lines", "encoding")
     if not open_files.isEmpty():
@@ -206,11 +217,14 @@ def split_rows(lines: DataFrame, sep: Separator = AUTO) -> DataFrame:
     # Counting instead of the size of `fields`: a filter on `kind` moves down to the
     # scan, where it would split every line a second time.
     width = by_label(label, separators, lambda s: count_fields(F.col("line"), s))
-    at_header = (F.col("block") == F.col("header_block")) & (F.col("line_id") == F.col("header_line_id"))
+    same_block = F.col("block") == F.col("header_block")
+    at_header = same_block & (F.col("line_id") == F.col("header_line_id"))
     moved = F.raise_error(F.concat(F.lit("lines were numbered anew while reading "), F.col("path")))
+    # All lines of a block are numbered by one task.
+    other_task = same_block & (F.shiftright("line_id", 33) != F.shiftright("header_line_id", 33))
     kind = (
         F.when(at_header & (F.col("line") == F.col("header_line")), "header")
-        .when(at_header, moved.cast("string"))
+        .when(at_header | other_task, moved.cast("string"))
         .when(by_label(label, separators, lambda s: is_blank_line(F.col("line"), s)), "blank")
         .when(width > F.size("header"), "rejected")
         .otherwise("row")
@@ -271,9 +285,11 @@ def with_repaired_names(files: DataFrame) -> DataFrame:
 def conversion_status(listing: DataFrame, files: DataFrame) -> DataFrame:
     """Outcome of every listed file: ``(path, encoding, separator, status, note)``.
 
-    Empty files have no lines, so only the listing knows them; they fail.
+    Only the listing knows files without lines and what could not be listed; these
+    fail, the latter with the listing's note.
     """
-    unread = F.lit("no lines")
+    listing = listing.select("path", F.col("status").alias("_listed"), F.col("note").alias("_listing_note"))
+    unread = F.when(F.col("_listed") == "failed", F.col("_listing_note")).otherwise("no lines")
     return listing.join(files, "path", "left").select(
         "path",
         "encoding",
@@ -308,17 +324,23 @@ class DelimitedTree:
     split     every line with its kind: header, blank, rejected or row
     rows      ``(path, block, line_id, header, fields)``
     rejected  ``(path, block, line_id, line, n_fields, expected)``
-    status    one row per listed file, empty ones included
+    status    one row per listed file, empty ones and failures included
+    root      the tree's root as paths begin with it
     """
 
     files: DataFrame
     split: DataFrame
     status: DataFrame
+    root: str
 
     @property
     def rows(self) -> DataFrame:
         return accepted_rows(self.split)
 
+    def preview(self, n: int) -> DataFrame:
+        """The first ``n`` data rows of every file; 0 gives all."""
+        return first_n_per_group(self.rows, ["path"], ORDER, n).drop("row_in_group")
+
     @property
     def rejected(self) -> DataFrame:
         return rejected_rows(self.split)

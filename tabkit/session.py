@@ -1,25 +1,40 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables go, and how long they stay."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths handed out, the innermost open scope last.
+_SCOPES: list[list[str]] = []
+
+
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="tabkit-")
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a session whose executors are threads of this process gets a temporary folder
+    of its own without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tabkit-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tabkit-{name}-{uuid.uuid4().hex}"
+        base = _local_base()
+    path = f"{base.rstrip('/')}/tabkit-{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +46,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what was staged inside the block when it ends.
+
+    Results read staged tables, so write or collect them inside it. Without such a block
+    staged tables stay, by the policy of that folder.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _SCOPES.pop():
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def private_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session on the same cluster with the settings of ``spark`` and these, which
+    later changes to ``spark`` do not reach."""
+    private = spark.newSession()
+    for row in spark.sql("SET").collect():
+        if private.conf.isModifiable(row["key"]):
+            private.conf.set(row["key"], row["value"])
+    for key, value in settings.items():
+        private.conf.set(key, value)
+    return private

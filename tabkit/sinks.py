@@ -9,15 +9,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.functions.files import file_link, relative_output_path, time_text
+from tabkit.functions.files import file_link, relative_output_path, relative_path, time_text
 from tabkit.functions.headers import repair_header
 from tabkit.functions.text import quoted
 from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN
 from tabkit.operators.delimited import DelimitedTree, kept_rows, name_fields, pad_fields
 from tabkit.operators.parts import category_parts, row_limit
-from tabkit.session import stage
-
-MAX_HEADERS = 1000
+from tabkit.session import scratch_path, stage, staging
 
 
 def run_path(base: str, name: str, moment: datetime) -> str:
@@ -99,29 +97,40 @@ def _csv_line(fields: Column) -> Column:
     return F.array_join(F.transform(fields, cell), ",")
 
 
-def _header_ids(tree: DelimitedTree) -> DataFrame:
-    """``(path, header, names, header_id)`` per file; staged, so that its size is known
-    when it is joined to the lines."""
-    files = tree.files.filter(F.col("header").isNotNull())
+def _output_files(tree: DelimitedTree) -> DataFrame:
+    """``(path, rel_path, header, names, header_id)`` per file; staged, so that its size
+    is known when it is joined to the lines.
+
+    ``rel_path`` is the path below the root without its extension, with it where two
+    files differ in nothing else.
+    """
+    files = tree.files.filter(F.col("header").isNotNull()).select("path", "header", "names")
+    stem = relative_output_path(F.col("path"), tree.root)
+    files = files.withColumn("stem", stem)
+    shared = files.groupBy("stem").agg((F.count("*") > 1).alias("shared"))
+    rel_path = F.when(F.col("shared"), relative_path(F.col("path"), tree.root)).otherwise(F.col("stem"))
     header_id = F.sha2(F.to_json(F.struct("header")), 256)
-    return stage(files.select("path", "header", "names", header_id.alias("header_id")), "headers")
+    return stage(
+        files.join(shared, "stem").select("path", rel_path.alias("rel_path"), "header", "names", header_id.alias("header_id")),
+        "headers",
+    )
 
 
-def write_mirrored(tree: DelimitedTree, root: str, path: str) -> None:
-    """Every file as CSV text below ``rel_path=<relative path>``, in one job.
+def write_mirrored(tree: DelimitedTree, path: str) -> None:
+    """Every file as CSV text, in one job, partitioned by a column ``rel_path``.
 
-    The header line stays where it was read, so lines are written by the tasks that
-    read them: no shuffle, and a large file becomes several parts.
+    The column holds the whole relative path, which Spark's readers give back; its
+    folders are one level deep, with the slashes escaped. The header line stays where it
+    was read, so lines are written by the tasks that read them: no shuffle, and a large
+    file becomes several parts.
     """
-    names = _header_ids(tree).select("path", "names")
+    names = _output_files(tree).select("path", "rel_path", "names")
     lines = tree.split.filter(F.col("kind").isin("header", "row")).join(names, "path")
     fields = F.when(F.col("kind") == "header", F.col("names")).otherwise(
         pad_fields(F.col("fields"), F.col("header"))
     )
     (
-        lines.select(
-            relative_output_path(F.col("path"), root).alias("rel_path"), "block", "line_id", _csv_line(fields).alias("value")
-        )
+        lines.select("rel_path", "block", "line_id", _csv_line(fields).alias("value"))
         .sortWithinPartitions("rel_path", "block", "line_id")
         .select("rel_path", "value")
         .write.partitionBy("rel_path")
@@ -129,41 +138,35 @@ def write_mirrored(tree: DelimitedTree, root: str, path: str) -> None:
     )
 
 
-def write_tables(tree: DelimitedTree, root: str, path: str) -> list[tuple[str, list[str]]]:
+def write_tables(tree: DelimitedTree, path: str) -> list[tuple[str, list[str]]]:
     """Parquet tables, one write per distinct header; returns ``(table path, names)``.
 
-    Rows are first written once, partitioned by header, so that each table reads only
-    its own. The headers pass through the driver; above ``MAX_HEADERS`` of them use
-    :func:`write_mirrored`, which has no such limit.
+    Rows are first staged once, partitioned by header, so that each table reads only
+    its own; that copy is deleted at the end. For a great many headers
+    :func:`write_mirrored` does with one job.
     """
     spark = tree.files.sparkSession
-    ids = _header_ids(tree)
-    headers = ids.select("header", "header_id").distinct().limit(MAX_HEADERS + 1).collect()
-    if len(headers) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers; use write_mirrored")
-    keyed = kept_rows(tree.split).join(ids.select("path", "header_id"), "path").select(
-        "header_id",
-        relative_output_path(F.col("path"), root).alias("rel_path"),
-        "block",
-        "line_id",
-        "fields",
-    )
-    staged = f"{path}/_rows"
-    keyed.write.partitionBy("header_id").parquet(staged)
     tables = []
-    for header, header_id in headers:
-        target = f"{path}/{header_id}"
-        rows = spark.read.schema(keyed.schema).parquet(staged).filter(F.col("header_id") == header_id)
-        names = repair_header(header)
-        file_column = "rel_path"
-        while file_column in {n.lower() for n in names}:
-            file_column += "_"
-        ordered = rows.withColumnRenamed("rel_path", file_column).sortWithinPartitions(
-            file_column, "block", "line_id"
+    with staging(spark):
+        ids = _output_files(tree)
+        keyed = kept_rows(tree.split).join(ids.select("path", "rel_path", "header_id"), "path").select(
+            "header_id", "rel_path", "block", "line_id", "fields"
         )
-        with _case_sensitive(spark, len({n.lower() for n in names}) < len(names)):
-            name_fields(ordered, header, keep=[file_column]).write.partitionBy(file_column).parquet(target)
-        tables.append((target, names))
+        staged = scratch_path(spark, "rows")
+        keyed.write.partitionBy("header_id").parquet(staged)
+        for header, header_id in ids.select("header", "header_id").distinct().toLocalIterator():
+            target = f"{path}/{header_id}"
+            rows = spark.read.schema(keyed.schema).parquet(staged).filter(F.col("header_id") == header_id)
+            names = repair_header(header)
+            file_column = "rel_path"
+            while file_column in {n.lower() for n in names}:
+                file_column += "_"
+            ordered = rows.withColumnRenamed("rel_path", file_column).sortWithinPartitions(
+                file_column, "block", "line_id"
+            )
+            with _case_sensitive(spark, len({n.lower() for n in names}) < len(names)):
+                name_fields(ordered, header, keep=[file_column]).write.partitionBy(file_column).parquet(target)
+            tables.append((target, names))
     return tables
 
 

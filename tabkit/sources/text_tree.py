@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabkit.session import private_session
 from tabkit.sources.file_tree import open_file
 
 TEXT_FILES = "*.[tT][xX][tT]"
 LINE_ROWS = 10_000
+# What is read of a file before its separator is judged.
+SAMPLE_LINES, SAMPLE_BYTES = 200, 1 << 16
 
 
 def plain_path(uri: Column) -> Column:
@@ -24,14 +27,21 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Fix how files are cut into tasks for the rest of the session.
+def reading_session(spark: SparkSession) -> SparkSession:
+    """A session in which files are always cut alike.
 
-    Spark cuts inputs up to some GB by the cores it has at the moment. Line numbers of
-    one pass must hold in the next, also when executors come and go in between.
+    Spark cuts inputs by its settings and, up to some GB, by the cores it has at the
+    moment. Line numbers of one pass must hold in the next, also when executors come
+    and go or the user's settings change in between.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    names = ["maxPartitionBytes", "openCostInBytes"]
+    cuts = {f"spark.sql.files.{n}": spark.conf.get(f"spark.sql.files.{n}") for n in names}
+    least = spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)
+    cuts["spark.sql.files.minPartitionNum"] = least
+    most = spark.conf.get("spark.sql.files.maxPartitionNum", None)
+    # Without a largest number Spark sets none; one that is never reached pins that.
+    cuts["spark.sql.files.maxPartitionNum"] = most or str(2**31 - 1)
+    return private_session(spark, **cuts)
 
 
 def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> DataFrame:
@@ -39,9 +49,9 @@ def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> Dat
 
     ``line`` keeps the raw bytes, less a UTF-8 byte order mark. Large files are read
     in blocks by many tasks; ``(block, line_id)`` orders the lines of a file. ``line_id`` is
-    taken right above the scan, so each use of this frame numbers alike.
+    taken right above the scan, so each use of this frame numbers alike as long as files
+    are cut alike: give a :func:`reading_session`.
     """
-    pin_splits(spark)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     return files.select(
         F.col("_metadata.file_path").alias("uri"),
@@ -51,21 +61,23 @@ def read_lines(spark: SparkSession, root: str, pattern: str = TEXT_FILES) -> Dat
     )
 
 
-def is_hidden(path: Column, root: str) -> Column:
-    """Names that Spark's readers skip: a part below ``root`` begins with '.' or '_'."""
-    below = F.substring(path, F.lit(len(root.rstrip("/")) + 1), F.char_length(path))
-    return below.rlike("/[._]")
+def _lines(stream) -> Iterator[bytes]:
+    """Raw lines of a binary stream, broken at LF, CR and CR LF as Spark breaks them,
+    less a byte order mark."""
+    # Latin-1 maps bytes to characters one to one.
+    with io.TextIOWrapper(stream, "latin-1") as text:
+        for number, line in enumerate(text):
+            raw = line.removesuffix("\n").encode("latin-1")
+            yield raw.removeprefix(b"\xef\xbb\xbf") if number == 0 else raw
 
 
 def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
-            # Latin-1 maps bytes to characters one to one, so lines break as elsewhere.
-            with open_file(path) as stream, io.TextIOWrapper(stream, "latin-1") as text:
+            with open_file(path) as stream:
                 lines, first = [], 0
-                for number, line in enumerate(text):
-                    raw = line.removesuffix("\n").encode("latin-1")
-                    lines.append(raw.removeprefix(b"\xef\xbb\xbf") if number == 0 else raw)
+                for number, raw in enumerate(_lines(stream)):
+                    lines.append(raw)
                     if len(lines) == LINE_ROWS:
                         yield _line_frame(path, first, lines)
                         lines, first = [], number + 1
@@ -78,8 +90,8 @@ def _line_frame(path: str, first: int, lines: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"uri": quote(path, safe="/:"), "block": 0, "line_id": ids, "line": lines})
 
 
-def read_hidden_lines(files: DataFrame) -> DataFrame:
-    """Lines of the listed files, for names Spark's text source skips.
+def read_unseen_lines(files: DataFrame) -> DataFrame:
+    """Lines of the listed files, for those that Spark's text source skips.
 
     Streamed in batches, one file after another; these are few and not split.
     """
@@ -90,6 +102,27 @@ def read_hidden_lines(files: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.col("line").cast("string"))
 
 
+def _heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, uri, first_id in zip(batch["path"], batch["uri"], batch["first_id"]):
+            with open_file(path) as stream:
+                head = stream.read(SAMPLE_BYTES + 1)
+            lines = list(_lines(io.BytesIO(head[:SAMPLE_BYTES])))
+            if len(head) > SAMPLE_BYTES:
+                lines.pop()  # cut off in the middle
+            frame = _line_frame(path, 0, lines[:SAMPLE_LINES])
+            yield frame.assign(uri=uri, line_id=frame["line_id"] + first_id)
+
+
+def read_first_lines(statistics: DataFrame) -> DataFrame:
+    """The first whole lines of each file, as ``read_lines`` numbers them, from its first
+    bytes: ``SAMPLE_LINES`` lines and ``SAMPLE_BYTES`` bytes at most."""
+    files = statistics.select(plain_path(F.col("uri")).alias("path"), "uri", "first_id")
+    width = files.sparkSession.sparkContext.defaultParallelism
+    lines = files.repartition(width).mapInPandas(_heads_of, "uri string, block bigint, line_id bigint, line binary")
+    return lines.withColumn("line", F.col("line").cast("string"))
+
+
 def _decode_line(raw: bytes) -> str | None:
     try:
         return raw.decode("gb18030")
@@ -124,9 +157,12 @@ def is_gb18030(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
-    """``(uri, utf8, n_lines)`` per file; folds to one row per file in each task."""
+    """``(uri, utf8, n_lines, first_id)`` per file; folds to one row per file in each
+    task. ``first_id`` is the number of the file's first line."""
     return lines.groupBy("uri").agg(
-        F.bool_and(F.is_valid_utf8("line")).alias("utf8"), F.count("*").alias("n_lines")
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
+        F.count("*").alias("n_lines"),
+        F.min(F.when(F.col("block") == 0, F.col("line_id"))).alias("first_id"),
     )
 
 

@@ -329,7 +329,7 @@ def test_write_tables_and_mirrored(spark, tmp_path):
     (source / "three.TXT").write_text("p;p;\n1;2;NA\n")
     (source / "case.txt").write_text("A|a|rel_path\nx|y|z\n")
     tree = convert.read_delimited_tree(spark, str(source))
-    tables = sinks.write_tables(tree, str(source), str(tmp_path / "tables"))
+    tables = sinks.write_tables(tree, str(tmp_path / "tables"))
     assert sorted(names for _, names in tables) == [["A", "a", "rel_path"], ["a", "b"], ["p", "p.1", "Unnamed: 2"]]
     got = {}
     for path, names in tables:
@@ -341,7 +341,7 @@ def test_write_tables_and_mirrored(spark, tmp_path):
         for row in spark.read.parquet(path).collect():
             got.setdefault(row["rel_path"], []).append([row[n] for n in names])
     assert got == {"one": [["1", '"x'], ["3", "4"]], "sub dir/two": [["5", "6,7"], ["8", ""]], "three": [["1", "2", ""]]}
-    sinks.write_mirrored(tree, str(source), str(tmp_path / "mirror"))
+    sinks.write_mirrored(tree, str(tmp_path / "mirror"))
     texts = {
         r["rel_path"]: r["value"]
         for r in spark.read.text(str(tmp_path / "mirror"), wholetext=True).collect()
@@ -352,3 +352,111 @@ def test_write_tables_and_mirrored(spark, tmp_path):
         "sub dir/two": 'a,b\n5,"6,7"\n8,\n',
         "three": "p,p.1,Unnamed: 2\n1,2,\n",
     }
+
+
+def test_partition_folders_are_read_once(spark, tmp_path):
+    (tmp_path / "_p=1").mkdir()
+    (tmp_path / "_p=1" / "a.txt").write_text("a|b\n1|2\n3|4\n")
+    (tmp_path / "dead.txt").symlink_to(tmp_path / "nowhere")
+    tree = convert.read_delimited_tree(spark, str(tmp_path))
+    kinds = {r["kind"]: r["count"] for r in tree.split.groupBy("kind").count().collect()}
+    assert kinds == {"header": 1, "row": 2}
+    status = {r["path"].removeprefix(str(tmp_path)): r for r in tree.status.collect()}
+    assert {p: r["status"] for p, r in status.items()} == {"/_p=1/a.txt": "ok", "/dead.txt": "failed"}
+    assert "No such file" in status["/dead.txt"]["note"]
+
+
+def test_split_settings_may_change_before_the_action(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.txt").write_text(f"a|b\n{i}|1\n{i}|2\n{i}|3\n")
+    tree = convert.read_delimited_tree(spark, str(tmp_path))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, value in zip(names, ("64", "1", "50")):
+            spark.conf.set(n, value)
+        kinds = {r["kind"]: r["count"] for r in tree.split.groupBy("kind").count().collect()}
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+    assert kinds == {"header": 12, "row": 36}
+
+
+def test_detection_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "few.txt").write_text("a,b\n" + "1,2,3\n" * 5 + "4,5\n" * 100)
+    (tmp_path / "wide.txt").write_text("a;b\n" + "x" * 70_000 + ";y\n1;2\n")
+    (tmp_path / "wider.txt").write_text("h" * 70_000 + "|b\n1|2\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    results = []
+    try:
+        for size in (before, "32"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            tree = convert.read_delimited_tree(spark, str(tmp_path))
+            results.append((
+                sorted((r["path"], r["separator"], r["status"]) for r in tree.files.collect()),
+                {r["kind"]: r["count"] for r in tree.split.groupBy("kind").count().collect()},
+            ))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert results[0] == results[1]
+    assert results[0][1] == {"header": 3, "row": 103, "rejected": 5}
+
+
+def test_outputs_do_not_merge_inputs(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "a" / "b").mkdir(parents=True)
+    (source / "same.txt").write_text("x|y\n1|2\n")
+    (source / "same.TXT").write_text("x|y\n3|4\n")
+    (source / "a" / "b" / "n.txt").write_text("x|y\n5|6\n")
+    tree = convert.read_delimited_tree(spark, f"file:{source}")
+    sinks.write_mirrored(tree, str(tmp_path / "mirror"))
+    texts = {r["rel_path"]: r["value"] for r in spark.read.text(str(tmp_path / "mirror"), wholetext=True).collect()}
+    assert texts == {"same.txt": "x,y\n1,2\n", "same.TXT": "x,y\n3,4\n", "a/b/n": "x,y\n5,6\n"}
+    [(path, _)] = sinks.write_tables(tree, str(tmp_path / "tables"))
+    assert {r["rel_path"]: r["x"] for r in spark.read.parquet(path).collect()} == {"same.txt": "1", "same.TXT": "3", "a/b/n": "5"}
+    assert [f.name for f in (tmp_path / "tables").iterdir()] == [path.rsplit("/", 1)[1]]
+
+
+def test_paths_outside_the_root_are_refused(spark):
+    from tabkit.functions.files import relative_output_path
+
+    df = spark.createDataFrame([("hdfs://nn:8020/data/sub/a.txt",)], "p string")
+    assert df.select(relative_output_path(F.col("p"), "hdfs://nn:8020/data")).first()[0] == "sub/a"
+    with pytest.raises(Exception, match="is not below /data/"):
+        df.select(relative_output_path(F.col("p"), "/data")).collect()
+
+
+def test_preview_of_each_file(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("a|b\n" + "".join(f"{j}|{i}\n" for j in range(20)))
+    rows = convert.read_delimited_tree(spark, str(tmp_path)).preview(2).collect()
+    assert sorted(r["fields"] for r in rows) == sorted([str(j), str(i)] for i in range(3) for j in range(2))
+
+
+def test_staged_tables_go_with_their_scope(spark, tmp_path):
+    from pathlib import Path
+
+    from tabkit.session import staging
+
+    (tmp_path / "a.txt").write_text("a|b\n1|2\n")
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(base.iterdir())
+    with staging(spark):
+        assert convert.read_delimited_tree(spark, str(tmp_path)).rows.count() == 1
+        assert set(base.iterdir()) > before
+    assert set(base.iterdir()) == before
+
+
+def test_only_local_threads_get_a_folder_of_their_own():
+    from types import SimpleNamespace
+
+    from tabkit.session import scratch_path
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    for master, fits in (("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fits:
+            assert "tabkit-" in scratch_path(session, "x")
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                scratch_path(session, "x")
