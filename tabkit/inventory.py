@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,22 @@ def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     listing = list_files(spark, root)
     good = listing.filter(F.col("status") == "ok").select("path", "length", "created", "modified")
     records = stage(file_records(read_heads(good), detection(F.col("head"))), "records")
-    return records, audit_rows(listing, records)
+    # Staged, so that every use of the audit has the same times.
+    return records, stage(audit_rows(listing, records), "audit")
+
+
+def audit_event(spark: SparkSession, event: str, where: str, remark: str = "") -> DataFrame:
+    """One audit row for something done now, such as a saved output."""
+    time, action, path, note = AUDIT_COLUMNS
+    moment = datetime.now(timezone.utc)
+    return spark.createDataFrame(
+        [(moment, event, where, remark)], f"`{time}` timestamp, `{action}` string, `{path}` string, `{note}` string"
+    )
 
 
 def audit_rows(listing: DataFrame, records: DataFrame) -> DataFrame:
-    """One audit row per scanned file: time, action, path, note."""
+    """One audit row per scanned file: time, action, path, note. The time is that of the
+    action that runs this; :func:`scan_tree` stages it."""
     time, action, path, note = AUDIT_COLUMNS
     now = F.current_timestamp()
     done = records.select(

@@ -97,6 +97,8 @@ TOTAL_LABEL = "总计"
 AUDIT_COLUMNS = ("时间", "操作", "文件路径", "备注")
 SCAN_OK = "扫描完成"
 SCAN_FAILED = "扫描失败"
+SAVED_TABLES = "保存工作簿"
+SAVED_CSV = "保存CSV"
 
 # File signatures as (mime, extension, ((offset, bytes), ...)), first
 # match wins. The names are those of public MIME registries.

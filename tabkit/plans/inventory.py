@@ -8,27 +8,41 @@ from tabkit import inventory, sinks
 from tabkit.functions import files
 from tabkit.lookups import AUDIT_COLUMNS, INVENTORY_COLUMNS, SCAN_OK, SUMMARY_COLUMNS, TOTAL_LABEL
 from tabkit.operators import parts
+from tabkit.plans.delimited import file_number, write_text_tree
 from tabkit.plans.inputs import derived, derived_sql, table
 from tabkit.plans.registry import query
+from tabkit.session import scratch_path
 from tabkit.sources.file_tree import list_files, read_heads
 
 WANTS = derived_sql("file_wants")
 LIMIT = 20
 SIZE = "CAST(round_even(page_id * 0.125, 2) AS DECIMAL(18,2))"
-BLOBS = "read_blob('/root/testdata/sf0.01/*.parquet')"
+# One file for every 50 documents, with a folder of its own.
+DOC_FILES = "(SELECT CAST(floor(doc_id / 50) AS BIGINT) AS file, sum(strlen(text) + 1) AS bytes FROM documents GROUP BY ALL)"
 
 
 @query(
     "file_inventory",
-    f"""SELECT regexp_extract(filename, '[^/]*$') AS name, '.parquet' AS ext,
-        regexp_replace(filename, '/[^/]*$', '') AS folder, round_even(size / 1048576, 2) AS size_mb,
-        CAST(floor(epoch(last_modified)) AS BIGINT) AS modified, '其他' AS category,
-        'application/vnd.apache.parquet (parquet)' AS detected FROM {BLOBS}""",
+    f"""SELECT file, 'part-' AS name, '.txt' AS ext, 'file=' || file AS folder,
+        round_even(bytes / 1048576, 2) AS size_mb, true AS has_time, '办公文档' AS category, 'unknown' AS detected
+        FROM {DOC_FILES}""",
 )
 def file_inventory(spark, sf_dir):
-    records, _ = inventory.scan_tree(spark, sf_dir)
-    seconds = F.unix_seconds("modified")
-    return records.select("name", "ext", "folder", "size_mb", seconds.alias("modified"), "category", "detected")
+    docs = table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "inventory")
+    write_text_tree(docs.selectExpr("CAST(floor(doc_id / 50) AS BIGINT) AS file", "doc_id AS line_id", "text AS line"), root)
+    records, _ = inventory.scan_tree(spark, root)
+    records = records.filter("ext = '.txt' AND name LIKE 'part-%'")
+    return records.select(
+        file_number(F.col("path")).alias("file"),
+        F.substring("name", 1, 5).alias("name"),
+        "ext",
+        F.substring_index("folder", "/", -1).alias("folder"),
+        "size_mb",
+        F.col("modified").isNotNull().alias("has_time"),
+        "category",
+        "detected",
+    )
 
 
 @query("path_parts", f"SELECT path, folder, name, ext FROM {WANTS}")
@@ -53,17 +67,21 @@ def categorise(spark, sf_dir):
     return files.categorise(df)
 
 
+# Beginnings that tell a type, written before the text of pages.
+MARKED = "CASE file % 4 WHEN 0 THEN '%PDF-1.4 ' WHEN 1 THEN 'GIF89a ' WHEN 2 THEN '{\\rtf1 ' ELSE '' END"
+
+
 @query(
     "detect_type",
-    f"""SELECT regexp_extract(filename, '[^/]*$') AS name,
-        CASE WHEN starts_with(hex(content), '50415231') THEN 'application/vnd.apache.parquet (parquet)'
-        ELSE 'unknown' END AS detected FROM {BLOBS}""",
+    """SELECT DISTINCT page_id % 40 AS file, CASE page_id % 4 WHEN 0 THEN 'application/pdf (pdf)'
+        WHEN 1 THEN 'image/gif (gif)' WHEN 2 THEN 'application/rtf (rtf)' ELSE 'unknown' END AS detected FROM pages""",
 )
 def detect_type(spark, sf_dir):
-    heads = read_heads(list_files(spark, sf_dir).select("path"))
-    return heads.select(
-        files.name_of(F.col("path")).alias("name"), inventory.detection(F.col("head")).alias("detected")
-    )
+    root = scratch_path(spark, "types")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id % 40 AS file", "page_id AS line_id", "url")
+    write_text_tree(pages.withColumn("line", F.concat(F.expr(MARKED.replace("\\", "\\\\")), F.lit("x "), "url")), root)
+    heads = read_heads(list_files(spark, root).select("path").filter("path LIKE '%.txt' AND path NOT LIKE '%/.%'"))
+    return heads.select(file_number(F.col("path")).alias("file"), inventory.detection(F.col("head")).alias("detected"))
 
 
 @query("file_link", f"SELECT path, 'file:///' || replace(path, ' ', '%20') AS link FROM {WANTS}")

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tabkit.functions.files import file_link, relative_output_path, relative_path, time_text
 from tabkit.functions.headers import repair_header
 from tabkit.functions.text import quoted
-from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN
+from tabkit.inventory import audit_event
+from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN, SAVED_CSV, SAVED_TABLES
 from tabkit.operators.delimited import DelimitedTree, kept_rows, name_fields, pad_fields
-from tabkit.operators.parts import category_parts, row_limit
+from tabkit.operators.parts import category_parts, category_rollup, row_limit
 from tabkit.session import scratch_path, stage, staging
 
 
@@ -29,8 +30,8 @@ def inventory_export(records: DataFrame) -> DataFrame:
     return records.select(*[texts.get(c, F.col(c)).alias(title) for c, title in INVENTORY_COLUMNS])
 
 
-def write_inventory_csv(records: DataFrame, path: str) -> None:
-    """CSV with header and byte order mark in every part file."""
+def write_inventory_csv(records: DataFrame, path: str) -> DataFrame:
+    """CSV with header and byte order mark in every part file; returns its audit row."""
     export = inventory_export(records)
     first = export.columns[0]
     marked = export.withColumnRenamed(first, "﻿" + first)
@@ -43,6 +44,16 @@ def write_inventory_csv(records: DataFrame, path: str) -> None:
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
+    return audit_event(records.sparkSession, SAVED_CSV, path)
+
+
+def write_inventory(records: DataFrame, audit: DataFrame, path: str, link_folder: bool = False) -> DataFrame:
+    """The parts, their summary with its total, and the run log, below ``path``; returns
+    the audit row of the save."""
+    parts = write_category_parts(records, f"{path}/parts", link_folder)
+    category_rollup(parts).write.parquet(f"{path}/summary")
+    append_audit(audit, f"{path}/log")
+    return audit_event(records.sparkSession, SAVED_TABLES, path)
 
 
 def write_category_parts(records: DataFrame, path: str, link_folder: bool = False) -> DataFrame:

@@ -13,7 +13,11 @@ def as_text(df: DataFrame, blank_missing: bool = True) -> DataFrame:
 
     A projection over any Spark source, so column pruning still reaches the scan. As
     a sheet reader does, missing tokens become null; ``blank_missing=False`` keeps them.
+    Names that are equal once stripped are refused.
     """
+    names = [field.name.strip() for field in df.schema.fields]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"columns of the same stripped name: {twice}")
     columns = []
     for field in df.schema.fields:
         text = plain_text(F.col(quoted(field.name)), field.dataType)

@@ -185,3 +185,24 @@ def test_as_text(spark):
     assert [tuple(r) for r in as_text(df).collect()] == [("1", "2.5", None, " x "), ("2", "1000000000", None, None)]
     assert as_text(df).columns == ["id", "d", "s", "t"]
     assert as_text(df, blank_missing=False).first()["s"] == "NA"
+
+
+def test_inventory_is_saved_with_summary_and_log(spark, tmp_path, tree):
+    from tabkit.lookups import SAVED_TABLES, TOTAL_LABEL
+
+    records, audit = inventory.scan_tree(spark, str(tree))
+    out = str(tmp_path / "out")
+    saved = sinks.write_inventory(records, audit, out)
+    sinks.append_audit(saved, f"{out}/log")
+    summary = {r[0]: r[1] for r in spark.read.parquet(f"{out}/summary").collect()}
+    assert summary[TOTAL_LABEL] == records.count() == spark.read.parquet(f"{out}/parts").count()
+    log = [r[AUDIT_COLUMNS[1]] for r in spark.read.parquet(f"{out}/log").collect()]
+    assert len(log) == audit.count() + 1 and log.count(SAVED_TABLES) == 1
+    assert audit.orderBy(*audit.columns).collect() == audit.orderBy(*audit.columns).collect()
+
+
+def test_columns_of_one_stripped_name_are_refused(spark):
+    from tabkit.sources.tables import as_text
+
+    with pytest.raises(ValueError, match="stripped"):
+        as_text(spark.createDataFrame([(1, 2)], "a int, `a ` int"))
