@@ -62,7 +62,8 @@ def normalise(text: bytes) -> bytes:
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row.
+    """``(doc_id, keep_id, group_size, kept, text_sha256, tid)`` for every row; ``tid`` is a
+    hash of the text as it is.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
     equal texts the row with the largest doc_id stays; a null doc_id is the smallest.
@@ -71,7 +72,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = texts_by_id(docs, id_col, text_col)
     staged = stage(_send(rows), "fingerprints")
-    digests = staged.filter("owner IS NULL").select("doc_id", "sha")
+    digests = staged.filter("owner IS NULL").select("doc_id", "sha", "tid")
     groups = _verify(rows, _suspects(staged))
     joined = digests.join(groups, "sha", "left")
     return joined.select(
@@ -80,17 +81,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "tid",
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = duplicates(docs, id_col, text_col).filter(~F.col("kept"))
-    # Of rows that repeat a doc_id with different texts, the decision is by text too.
-    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.unhex("text_sha256").alias("_sha")).distinct()
+    # Of rows that repeat a doc_id with different texts, each has its own decision.
+    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("tid").alias("_tid")).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (sha == dropped["_sha"])
+    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (F.xxhash64(text) == dropped["_tid"])
     return docs.join(dropped, same, "left_anti")
 
 
@@ -98,9 +99,9 @@ def _send(rows: DataFrame) -> DataFrame:
     """A row per document (its digest) and a row per message (owner not null)."""
     owners = task_count(rows.count(), HASHES_PER_OWNER, at_least=8)
     slice_size = -(-(1 << BITS) // owners)
-    ddl = "doc_id long, sha binary, sender long, owner int, n int, k int, unary binary, remainders binary, counts binary, ids binary, null_ids binary"
+    ddl = "doc_id long, tid long, sha binary, sender long, owner int, n int, k int, unary binary, remainders binary, counts binary, ids binary, null_ids binary"
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("sha", pa.binary()), ("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32())]
+        [("doc_id", pa.int64()), ("tid", pa.int64()), ("sha", pa.binary()), ("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32())]
         + [(c, pa.binary()) for c in ("unary", "remainders", "counts", "ids", "null_ids")]
     )
 
@@ -116,7 +117,7 @@ def _send(rows: DataFrame) -> DataFrame:
                 lo, hi = first[a], first[b - 1] + counts[b - 1]
                 k, unary, remainders = rice_encode(distinct[a:b] - np.uint64(owner * slice_size), slice_size)
                 held = counts[a:b].astype("<u4").tobytes(), ids[lo:hi].astype("<i8").tobytes(), np.packbits(nulls[lo:hi]).tobytes()
-                out.append((None, None, sender, owner, int(b - a), k, unary, remainders, *held))
+                out.append((None, None, None, sender, owner, int(b - a), k, unary, remainders, *held))
         return record_batch(dict(zip(schema.names, zip(*out))), schema)
 
     def run(batches):
@@ -125,7 +126,9 @@ def _send(rows: DataFrame) -> DataFrame:
             shas = [hashlib.sha256(normalise(t)).digest() for t in batch.column("text").to_pylist()]
             n, ids = len(shas), batch.column("doc_id")
             yield record_batch(
-                {"doc_id": ids, "sha": shas} | {c: pa.nulls(n, schema.field(c).type) for c in schema.names[2:]}, schema
+                {"doc_id": ids, "tid": batch.column("tid"), "sha": shas}
+                | {c: pa.nulls(n, schema.field(c).type) for c in schema.names[3:]},
+                schema,
             )
             heads = np.frombuffer(b"".join(s[:8] for s in shas), ">u8").astype(np.uint64) >> np.uint64(64 - BITS)
             nulls = ids.is_null().to_numpy(zero_copy_only=False)
@@ -137,7 +140,8 @@ def _send(rows: DataFrame) -> DataFrame:
         if size:
             yield messages((TaskContext.get().partitionId() << 20) + sent, *map(np.concatenate, zip(*held)))
 
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
+    read = rows.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+    return read.mapInArrow(run, ddl)
 
 
 def _suspects(staged: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabkit.llm.components import components
 from tabkit.llm.exact_dedup import semi_reduce
 from tabkit.llm.frames import chunks, record_batch, task_count
-from tabkit.llm.windows import MULTIPLIER, identified, mix, word_gram_hashes, word_hashes, word_spans
+from tabkit.llm.windows import MULTIPLIER, identified, mix, text_number, word_gram_hashes, word_hashes, word_spans
 from tabkit.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -277,5 +277,5 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         F.col("doc_id").alias("_dropped"), F.col("tid").alias("_tid")
     ).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (F.xxhash64(text) == dropped["_tid"])
+    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (text_number(text) == dropped["_tid"])
     return docs.join(dropped, same, "left_anti")

@@ -41,7 +41,7 @@ NORMAL_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
     """,
 )
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("tid")
 
 
 @query("op9_sharding")
@@ -76,14 +76,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.dedup(table(spark, sf_dir, "documents"), window=400)
-    return left.select(
-        "doc_id",
-        "n_bytes",
-        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
-    )
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), window=400)
 
 
 @query("op7_substring_dedup")

@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from tabkit.llm.frames import chunks, record_batch
 from tabkit.llm.windows import (
     HEAVY_KEY,
+    MARKS_SCHEMA,
+    Rule,
     Windows,
     covered,
     identified,
-    mark,
-    marked_documents,
-    shared_fragments,
-    shared_keys,
+    real_id,
+    repeated,
+    runs_of,
     split_words,
+    text_number,
+    with_runs,
     word_spans,
 )
 
@@ -52,10 +55,11 @@ def earliest_in_bucket(window: int):
         least = np.empty(len(codes), np.int64)
         least[order] = low[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
         ends = np.cumsum(counts)
-        useful = np.add.reduceat(least < high, ends - counts) > 0
-        marks = [least[e - n : e].astype("<i8").tobytes() for e, n, u in zip(ends, counts, useful) if u]
+        repeats = least < high
+        useful = np.add.reduceat(repeats, ends - counts, dtype=np.int64) > 0
+        marks = [runs_of(least[e - n : e], repeats[e - n : e]) for e, n, u in zip(ends, counts, useful) if u]
         kept = group.select(["key", "digest"]).filter(pa.array(useful))
-        return kept.append_column("marks", pa.array(marks, pa.binary()))
+        return kept.append_column("marks", pa.array(marks, MARKS_SCHEMA.field("marks").type)).cast(MARKS_SCHEMA)
 
     return run
 
@@ -75,21 +79,13 @@ def earliest_across_tasks(window: int):
             ).alias("at", "text"),
         )
         least = each.groupBy("key", "text").agg(F.min("low").alias("least"))
-        packed = (
+        one = F.struct(F.col("at").alias("from"), (F.col("at") + 1).alias("to"), "least")
+        return (
             each.join(least, ["key", "text"])
+            .filter("least < high")
             .groupBy("key", "digest")
-            .agg(F.collect_list(F.struct("at", "least")).alias("found"), F.max("high").alias("high"))
-            .filter(F.exists("found", lambda f: f["least"] < F.col("high")))
-            .select("key", "digest", F.transform(F.array_sort("found"), lambda f: f["least"]).alias("marks"))
+            .agg(F.collect_list(one).alias("marks"))
         )
-        schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("marks", pa.binary())])
-
-        def pack(batches):
-            for batch in batches:
-                marks = [np.array(m, "<i8").tobytes() for m in batch.column("marks").to_pylist()]
-                yield record_batch({"key": batch.column("key"), "digest": batch.column("digest"), "marks": marks}, schema)
-
-        return packed.mapInArrow(pack, "key long, digest long, marks binary")
 
     return run
 
@@ -101,21 +97,11 @@ def repeated_words(
     text_col: str = "text",
     heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
-    """``(doc_id, tid, text, runs)``, see ``marked_documents``: the marks of a fragment
-    are the smallest ids of its windows."""
-    rows = identified(docs, id_col, text_col)
+    """``(doc_id, tid, runs)``, see ``windows.repeated``: the ranges of windows that
+    start in a document of smaller id too."""
     windows = Windows(window, min(GRAM, window), words=True)
-    shared = shared_keys(rows, windows, across_ids=True, rows_per_owner=ROWS_PER_OWNER)
-    found = shared_fragments(rows, windows, shared)
-    marks = mark(found, earliest_in_bucket(window), earliest_across_tasks(window), heavy_key)
-    return marked_documents(rows, found, marks)
-
-
-def removed_words(n: int, window: int, doc_id: int, runs: list | None) -> np.ndarray:
-    starts = [np.zeros(0, np.int64)]
-    for run in runs or ():
-        starts.append(run["start"] + np.flatnonzero(np.frombuffer(run["marks"], "<i8") < doc_id))
-    return covered(n, window, np.concatenate(starts))
+    rule = Rule(True, earliest_in_bucket(window), earliest_across_tasks(window))
+    return repeated(identified(docs, id_col, text_col), windows, rule, ROWS_PER_OWNER, heavy_key)
 
 
 def _read(rows: DataFrame, make, ddl: str, schema: pa.Schema) -> DataFrame:
@@ -127,10 +113,6 @@ def _read(rows: DataFrame, make, ddl: str, schema: pa.Schema) -> DataFrame:
     return rows.mapInArrow(run, ddl)
 
 
-def _real_id(doc_id: int) -> int | None:
-    return None if doc_id == -(1 << 63) else doc_id
-
-
 def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` per document.
 
@@ -141,20 +123,36 @@ def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     window lose nothing. Extra columns are ignored; an empty table gives none.
     """
 
-    def make(row):
+    rows = identified(docs, id_col, text_col)
+    key = [("doc_id", pa.int64()), ("tid", pa.int64())]
+
+    def whole(row):
         words = split_words(row["text"])
-        gone = removed_words(len(words), window, row["doc_id"], row["runs"])
-        kept = b" ".join([w for w, g in zip(words, gone) if not g]) if row["runs"] else b" ".join(words)
-        return {
-            "doc_id": _real_id(row["doc_id"]),
-            "n_words": len(words),
-            "n_removed": int(gone.sum()),
-            "kept_sha256": hashlib.sha256(kept).hexdigest(),
-        }
+        sha = hashlib.sha256(b" ".join(words)).hexdigest()
+        return {"doc_id": row["doc_id"], "tid": row["tid"], "n_words": len(words), "whole_sha256": sha}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    rows = repeated_words(docs, window, id_col, text_col, heavy_key).select("doc_id", "text", "runs")
-    return _read(rows, make, "doc_id long, n_words long, n_removed long, kept_sha256 string", schema)
+    def cut(row):
+        words = split_words(row["text"])
+        gone = covered(len(words), window, row["runs"])
+        kept = b" ".join([w for w, g in zip(words, gone) if not g])
+        made = {"n_removed": int(gone.sum()), "left_sha256": hashlib.sha256(kept).hexdigest()}
+        return {"doc_id": row["doc_id"], "tid": row["tid"], **made}
+
+    everything = _read(
+        rows, whole, "doc_id long, tid long, n_words long, whole_sha256 string",
+        pa.schema([*key, ("n_words", pa.int64()), ("whole_sha256", pa.string())]),
+    )
+    changed = _read(
+        with_runs(rows, repeated_words(docs, window, id_col, text_col, heavy_key)), cut,
+        "doc_id long, tid long, n_removed long, left_sha256 string",
+        pa.schema([*key, ("n_removed", pa.int64()), ("left_sha256", pa.string())]),
+    )
+    return everything.join(changed.distinct(), ["doc_id", "tid"], "left").select(
+        real_id("doc_id").alias("doc_id"),
+        "n_words",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("left_sha256", "whole_sha256").alias("kept_sha256"),
+    )
 
 
 def cleaned(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
@@ -164,7 +162,7 @@ def cleaned(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     def make(row):
         text = row["text"]
         starts, ends = word_spans(np.frombuffer(text, np.uint8))
-        gone = removed_words(len(starts), window, row["doc_id"], row["runs"])
+        gone = covered(len(starts), window, row["runs"])
         edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
         # A run goes with the white space behind it, at the end with that before it.
         spans = [
@@ -177,7 +175,7 @@ def cleaned(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
             at = b
         kept.append(text[at:])
         return {
-            "doc_id": _real_id(row["doc_id"]),
+            "doc_id": row["doc_id"],
             "tid": row["tid"],
             "text": b"".join(kept).decode("utf-8"),
             "removed": [{"start": a, "end": b} for a, b in spans],
@@ -185,10 +183,10 @@ def cleaned(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("text", pa.string()), ("removed", pa.list_(span))])
-    rows = repeated_words(docs, window, id_col, text_col, heavy_key).filter("runs IS NOT NULL")
-    return _read(rows, make, "doc_id long, tid long, text string, removed array<struct<start: long, end: long>>", schema).filter(
-        F.size("removed") > 0
-    )
+    found = repeated_words(docs, window, id_col, text_col, heavy_key)
+    rows = with_runs(identified(docs, id_col, text_col), found)
+    made = _read(rows, make, "doc_id long, tid long, text string, removed array<struct<start: long, end: long>>", schema)
+    return made.withColumn("doc_id", real_id("doc_id"))
 
 
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +195,7 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
         F.col("doc_id").alias("_changed"), F.col("tid").alias("_tid"), F.col("text").alias("_left")
     )
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(changed["_changed"]) & (F.xxhash64(text) == changed["_tid"])
+    same = docs[id_col].cast("long").eqNullSafe(changed["_changed"]) & (text_number(text) == changed["_tid"])
     return docs.join(changed, same, "left").select(
         *[(F.coalesce(changed["_left"], docs[c]) if c == text_col else docs[c]).alias(c) for c in docs.columns]
     )

@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from tabkit.llm.frames import chunks, record_batch
 from tabkit.llm.windows import (
     HEAVY_KEY,
+    MARKS_SCHEMA,
+    Rule,
     Windows,
     covered,
     identified,
-    mark,
-    marked_documents,
-    shared_fragments,
-    shared_keys,
+    real_id,
+    repeated,
+    runs_of,
+    with_runs,
 )
 
-GRAM = 32
+GRAM = 64
 ROWS_PER_OWNER = 60_000
 
 
@@ -95,10 +97,9 @@ def repeated_suffixes(texts: list[bytes], windows: list[int], window: int) -> li
 
 
 def repeated_in_bucket(window: int):
-    """For each distinct fragment a bitmap of its repeated windows.
+    """For each distinct fragment the runs of its repeated windows.
 
-    All windows of a fragment with copies repeat. Only keys that hold a fragment without
-    copies beside another fragment are left to sort.
+    All windows of a fragment with copies repeat; the others are found by sorting.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -106,21 +107,16 @@ def repeated_in_bucket(window: int):
         keys, copies = group.column("key").to_numpy(), group.column("copies").to_numpy()
         fragments = group.column("fragment")
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        marks: list[bytes | None] = [None] * len(keys)
+        marks: list[list[dict]] = []
         for a, b in zip(edges[:-1], edges[1:]):
-            texts = None
-            if (copies[a:b] == 1).any():
-                texts = fragments[a:b].to_pylist()
-                found = repeated_suffixes(texts, [len(t) - window + 1 for t in texts], window)
-            for i in range(a, b):
-                if copies[i] > 1:
-                    n = len(texts[i - a] if texts else fragments[i].as_py()) - window + 1
-                    marks[i] = np.packbits(np.ones(n, np.uint8)).tobytes()
-                elif found[i - a].any():
-                    marks[i] = np.packbits(found[i - a]).tobytes()
-        useful = pa.array([m is not None for m in marks])
-        kept = group.select(["key", "digest"]).filter(useful)
-        return kept.append_column("marks", pa.array([m for m in marks if m is not None], pa.binary()))
+            texts = fragments[a:b].to_pylist()
+            found = repeated_suffixes(texts, [len(t) - window + 1 for t in texts], window)
+            for n, repeats in zip(copies[a:b], found):
+                if n > 1:
+                    repeats[:] = True
+                marks.append(runs_of(np.zeros(len(repeats), np.int64), repeats))
+        kept = group.select(["key", "digest"]).append_column("marks", pa.array(marks, MARKS_SCHEMA.field("marks").type))
+        return kept.filter(pa.array([len(m) > 0 for m in marks])).cast(MARKS_SCHEMA)
 
     return run
 
@@ -146,43 +142,47 @@ def repeated_across_tasks(window: int):
                     out[c] += [r[c]] * n
             yield record_batch(out, schema)
 
-    packed_schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("marks", pa.binary())])
-
-    def pack(batches):
-        for batch in batches:
-            marks = []
-            for found in batch.column("found").to_pylist():
-                bits = np.zeros(max(found) + 1, np.uint8)
-                bits[found] = 1
-                marks.append(np.packbits(bits).tobytes())
-            yield record_batch({"key": batch.column("key"), "digest": batch.column("digest"), "marks": marks}, packed_schema)
-
     def run(folded: DataFrame) -> DataFrame:
         each = folded.mapInArrow(cut, ddl)
         many = each.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
-        found = each.join(many, ["one", "two"]).groupBy("key", "digest").agg(F.collect_set("at").alias("found"))
-        return found.mapInArrow(pack, "key long, digest long, marks binary")
+        one = F.struct(F.col("at").alias("from"), (F.col("at") + 1).alias("to"), F.lit(0).cast("long").alias("least"))
+        return each.join(many, ["one", "two"]).groupBy("key", "digest").agg(F.collect_list(one).alias("marks"))
 
     return run
 
 
 def repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
-    """``(doc_id, tid, text, runs)``, see ``marked_documents``: the marks of a fragment
-    are a bitmap of its windows."""
-    rows = identified(docs, id_col, text_col)
-    gram = min(GRAM, 1 << (window.bit_length() - 1))
-    windows = Windows(window, gram, words=False)
-    shared = shared_keys(rows, windows, across_ids=False, rows_per_owner=ROWS_PER_OWNER)
-    found = shared_fragments(rows, windows, shared)
-    marks = mark(found, repeated_in_bucket(window), repeated_across_tasks(window), heavy_key)
-    return marked_documents(rows, found, marks)
+    """``(doc_id, tid, runs)``, see ``windows.repeated``: the ranges of byte windows that
+    start anywhere else too."""
+    windows = Windows(window, min(GRAM, 1 << (window.bit_length() - 1)), words=False)
+    rule = Rule(False, repeated_in_bucket(window), repeated_across_tasks(window))
+    return repeated(identified(docs, id_col, text_col), windows, rule, ROWS_PER_OWNER, heavy_key)
+
 
+def cleaned(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
+    """``(doc_id, tid, removed, kept)`` of the documents that lose bytes; a null id is the
+    smallest long here."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("removed", pa.list_(span)), ("kept", pa.binary())])
+
+    def run(batches):
+        for batch in chunks(batches):
+            out = {n: [] for n in schema.names}
+            for row in batch.to_pylist():
+                text = np.frombuffer(row["text"], np.uint8)
+                gone = covered(len(text), window, row["runs"])
+                spans = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
+                out["doc_id"].append(row["doc_id"])
+                out["tid"].append(row["tid"])
+                out["removed"].append([{"start": int(a), "end": int(b)} for a, b in spans])
+                out["kept"].append(text[~gone].tobytes())
+            yield record_batch(out, schema)
 
-def removed_bytes(n: int, window: int, runs: list | None) -> np.ndarray:
-    starts = [np.zeros(0, np.int64)]
-    for run in runs or ():
-        starts.append(run["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(run["marks"], np.uint8))))
-    return covered(n, window, np.concatenate(starts))
+    rows = with_runs(identified(docs, id_col, text_col), repeated_bytes(docs, window, id_col, text_col, heavy_key))
+    made = rows.select("doc_id", "tid", "text", "runs").mapInArrow(
+        run, "doc_id long, tid long, removed array<struct<start: long, end: long>>, kept binary"
+    )
+    return made
 
 
 def dedup(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
@@ -194,22 +194,33 @@ def dedup(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col:
     Matches never cross documents. Null text counts as empty; rows that repeat a doc_id
     are documents of their own. Extra columns are ignored; an empty table gives none.
     """
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
+    changed = cleaned(docs, window, id_col, text_col, heavy_key).distinct()
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    return identified(docs, id_col, text_col).join(changed, ["doc_id", "tid"], "left").select(
+        real_id("doc_id").alias("doc_id"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("removed", none).alias("removed"),
+        F.coalesce("kept", "text").alias("kept"),
     )
 
-    def run(batches):
-        for batch in chunks(batches):
-            out = {n: [] for n in schema.names}
-            for row in batch.to_pylist():
-                text = np.frombuffer(row["text"], np.uint8)
-                gone = removed_bytes(len(text), window, row["runs"])
-                spans = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
-                out["doc_id"].append(None if row["doc_id"] == -(1 << 63) else row["doc_id"])
-                out["n_bytes"].append(len(text))
-                out["removed"].append([{"start": int(a), "end": int(b)} for a, b in spans])
-                out["kept"].append(text[~gone].tobytes() if len(spans) else row["text"])
-            yield record_batch(out, schema)
 
-    rows = repeated_bytes(docs, window, id_col, text_col, heavy_key).select("doc_id", "text", "runs")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+def digests(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of what ``dedup`` gives.
+    Texts that lose nothing are digested where they are read."""
+    everything = identified(docs, id_col, text_col).select(
+        "doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")
+    )
+    changed = cleaned(docs, window, id_col, text_col, heavy_key).select(
+        "doc_id",
+        "tid",
+        F.octet_length("kept").cast("long").alias("left"),
+        F.size("removed").cast("long").alias("spans"),
+        F.sha2("kept", 256).alias("sha"),
+    )
+    return everything.join(changed.distinct(), ["doc_id", "tid"], "left").select(
+        real_id("doc_id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("sha", "whole").alias("kept_sha256"),
+    )

@@ -5,10 +5,12 @@ the smallest hash among its grams of ``gram`` units. Consecutive windows that ow
 same gram travel together as one packed string, a fragment, to the bucket of that hash;
 equal windows own equal grams and so meet in one bucket.
 
-Before any text moves, tasks exchange the Golomb-coded hashes of their fragments. Those
-that occur once are left where they are. What the owners of the hash ranges answer is a
-bitmap of fixed size, which may let a hash pass that is alone; buckets then find nothing
-for it.
+Little text has to move. Tasks first exchange the Golomb-coded hashes of their
+fragments; the owners of the hash ranges answer with a bitmap of those that are shared.
+Of these, thin rows (hash, digest of the fragment, place) tell which hashes have one
+fragment only, whose windows all repeat or none, and which hold different fragments.
+Only one copy of each of the latter is sent, by the document of smallest id that has
+it. Bitmaps have a bounded size and may let too much pass, which later steps drop.
 """
 
 from __future__ import annotations
@@ -19,23 +21,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.exact_dedup import rice_decode, rice_encode
+from tabkit.llm.exact_dedup import rice_decode, rice_encode, semi_reduce
 from tabkit.llm.frames import chunks, record_batch, task_count
 from tabkit.session import stage
 
 #: Bits of a gram's hash, and of its place inside a block, which breaks ties leftmost.
 KEY_BITS, PLACE_BITS = 44, 20
-#: Units a task works on at once; longer texts are cut between windows.
-BLOCK = 1 << 19
+#: Units a task works on at once, few enough for a processor's cache; longer texts are
+#: cut between windows.
+BLOCK = 1 << 15
 #: Hashes a sender holds before it sends.
 HASHES_PER_MESSAGE = 1_000_000
 #: Bits of the answer at most: 16 MB.
 FILTER_BITS = 1 << 27
 FRAGMENTS_PER_BUCKET = 40_000
-#: Keys of more fragments are counted window by window, spread over all tasks.
+#: Keys of more different fragments are counted window by window, over all tasks.
 HEAVY_KEY = 50_000
 
 WHITE = np.zeros(256, bool)
@@ -123,14 +126,13 @@ class Windows:
     words: bool
 
     def fragments(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Blocks of fragments: ``(text number, start, windows, key, from byte, to byte)``
-        with starts in units, and byte places in that text."""
+        """Blocks of fragments: ``(text number, start, windows, key, digest, from byte,
+        to byte)`` with starts in units, and byte places in that text."""
         if not self.words:
-            lengths = [len(t) for t in texts]
-            for part in self._blocks(lengths):
+            for part in self._blocks([len(t) for t in texts]):
                 data = np.concatenate([np.frombuffer(texts[i], np.uint8)[a:b] for i, a, b in part])
-                numbers, units, counts, keys = self._fragments(part, byte_gram_hashes(data, self.gram))
-                yield numbers, units, counts, keys, units, units + counts + self.window - 1
+                numbers, units, *found = self._fragments(part, BYTE_CODES[data], byte_gram_hashes(data, self.gram))
+                yield numbers, units, *found, units, units + found[0] + self.window - 1
             return
         data = np.frombuffer(b" ".join(texts), np.uint8)
         starts, ends = word_spans(data)
@@ -139,10 +141,10 @@ class Windows:
         word_at = np.searchsorted(starts, text_at)
         for part in self._blocks(np.diff(word_at).tolist()):
             words = np.concatenate([hashes[word_at[i] + a : word_at[i] + b] for i, a, b in part])
-            numbers, units, counts, keys = self._fragments(part, word_gram_hashes(words, self.gram))
+            numbers, units, *found = self._fragments(part, words, word_gram_hashes(words, self.gram))
             first = word_at[numbers] + units
-            last = first + counts + self.window - 2
-            yield numbers, units, counts, keys, starts[first] - text_at[numbers], ends[last] - text_at[numbers]
+            last = first + found[0] + self.window - 2
+            yield numbers, units, *found, starts[first] - text_at[numbers], ends[last] - text_at[numbers]
 
     def _blocks(self, lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
         """Stretches ``(text, from unit, to unit)`` that overlap by a window less one, in
@@ -159,7 +161,7 @@ class Windows:
         if part:
             yield part
 
-    def _fragments(self, part: list[tuple[int, int, int]], grams: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _fragments(self, part: list[tuple[int, int, int]], codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, ...]:
         sizes = np.array([end - start for _, start, end in part])
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         place = np.arange(len(grams), dtype=np.uint64)
@@ -175,7 +177,14 @@ class Windows:
         of = stretch[starts]
         numbers = np.array([i for i, _, _ in part])[of]
         units = starts - offsets[of] + np.array([a for _, a, _ in part])[of]
-        return numbers, units, counts, (owned[starts] >> np.uint64(PLACE_BITS)).astype(np.int64)
+        keys = (owned[starts] >> np.uint64(PLACE_BITS)).astype(np.int64)
+        # A polynomial in the fragment's units, from prefix sums.
+        n = len(codes)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(codes * _powers(int(MULTIPLIER), n))))
+        stops = starts + counts + self.window - 1
+        back = _powers(pow(int(MULTIPLIER), -1, 1 << 64), n)[starts]
+        digests = mix((sums[stops] - sums[starts]) * back + counts.astype(np.uint64)).view(np.int64)
+        return numbers, units, counts, keys, digests
 
     def packed(self, text: bytes, begin: int, stop: int) -> bytes:
         """A fragment as it travels: its bytes, or its words joined by one space."""
@@ -188,6 +197,11 @@ def split_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def text_number(text: Column) -> Column:
+    """A hash that tells texts of one id apart."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, tid, text)``: bytes of the text (null: empty), its id (null: the
     smallest) and a hash of the text, so that rows that repeat an id with other texts
@@ -195,11 +209,16 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-        F.xxhash64(text).alias("tid"),
+        text_number(text).alias("tid"),
         text.cast("binary").alias("text"),
     )
 
 
+def real_id(name: str) -> Column:
+    """The id as it was given; the smallest long stood for null."""
+    return F.when(F.col(name) != F.lit(-(1 << 63)), F.col(name))
+
+
 def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool, rows_per_owner: int) -> Broadcast:
     """A bitmap over hashes of the fragment keys that occur more than once, or with
     ``across_ids`` under more than one id."""
@@ -232,7 +251,7 @@ def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool, rows_per_ow
         held, size = [], 0
         for batch in chunks(batches, 1 << 20):
             ids = batch.column("doc_id").to_numpy()
-            for numbers, _, _, keys, _, _ in windows.fragments(batch.column("text").to_pylist()):
+            for numbers, _, _, keys, *_ in windows.fragments(batch.column("text").to_pylist()):
                 if len(keys):
                     held.append((keys, ids[numbers]))
                     size += len(keys)
@@ -255,10 +274,14 @@ def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool, rows_per_ow
         return pa.table({"owner": group.column("owner")[:1], "page": pa.array([np.packbits(page).tobytes()], pa.binary())})
 
     sent = rows.select("doc_id", "text").mapInArrow(send, ddl)
-    answers = sent.groupBy("owner").applyInArrow(answer, "owner int, page binary").collect()
-    pages = {r["owner"]: bytes(r["page"]) for r in answers}
+    return _bitmap(sent.groupBy("owner").applyInArrow(answer, "owner int, page binary"), owners, bits_each, slice_size)
+
+
+def _bitmap(answers: DataFrame, owners: int, bits_each: int, slice_size: int) -> Broadcast:
+    """Owners' pages, one after another, to every task: ``FILTER_BITS`` at most."""
+    pages = {r["owner"]: bytes(r["page"]) for r in answers.collect()}
     empty = np.packbits(np.zeros(bits_each, np.uint8)).tobytes()
-    return rows.sparkSession.sparkContext.broadcast(
+    return answers.sparkSession.sparkContext.broadcast(
         {"bits_each": bits_each, "slice_size": slice_size, "pages": b"".join(pages.get(o, empty) for o in range(owners))}
     )
 
@@ -267,7 +290,7 @@ def bit_in_slice(values: np.ndarray, slice_size: int, bits: int) -> np.ndarray:
     return (values.astype(np.float64) * (bits / slice_size)).astype(np.int64).clip(0, bits - 1)
 
 
-def may_be_shared(keys: np.ndarray, answer: dict) -> np.ndarray:
+def may_be_set(keys: np.ndarray, answer: dict) -> np.ndarray:
     owner, inside = np.divmod(keys, answer["slice_size"])
     bit = bit_in_slice(inside, answer["slice_size"], answer["bits_each"])
     pages = np.frombuffer(answer["pages"], np.uint8)
@@ -275,78 +298,170 @@ def may_be_shared(keys: np.ndarray, answer: dict) -> np.ndarray:
     return (pages[at] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
 
 
-def shared_fragments(rows: DataFrame, windows: Windows, shared: Broadcast) -> DataFrame:
-    """``(key, doc_id, tid, start, windows, fragment)`` of the keys that may be shared,
-    staged."""
-    ddl = "key long, doc_id long, tid long, start long, windows int, fragment binary"
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("fragment", pa.binary())])
+def shared_places(rows: DataFrame, windows: Windows, shared: Broadcast) -> DataFrame:
+    """``(key, digest, doc_id, tid, start, windows)`` of the fragments whose keys may be
+    shared, staged."""
+    ddl = "key long, digest long, doc_id long, tid long, start long, windows int"
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "digest", "doc_id", "tid", "start")] + [("windows", pa.int32())])
 
     def cut(batches):
         for batch in chunks(batches, 1 << 20):
-            texts = batch.column("text").to_pylist()
             ids, tids = (batch.column(c).to_numpy() for c in ("doc_id", "tid"))
-            for numbers, starts, counts, keys, begin, stop in windows.fragments(texts):
-                keep = np.flatnonzero(may_be_shared(keys, shared.value))
+            for numbers, starts, counts, keys, digests, _, _ in windows.fragments(batch.column("text").to_pylist()):
+                keep = np.flatnonzero(may_be_set(keys, shared.value))
                 if len(keep):
-                    numbers = numbers[keep]
-                    pieces = [windows.packed(texts[i], a, b) for i, a, b in zip(numbers, begin[keep], stop[keep])]
-                    yield record_batch(
-                        {"key": keys[keep], "doc_id": ids[numbers], "tid": tids[numbers], "start": starts[keep], "windows": counts[keep].astype(np.int32), "fragment": pieces},
-                        schema,
-                    )
-
-    return stage(rows.mapInArrow(cut, ddl).withColumn("digest", F.xxhash64("fragment")), "fragments")
-
-
-def mark(
-    found: DataFrame,
-    in_bucket: Callable[[pa.Table], pa.Table],
-    in_heavy: Callable[[DataFrame], DataFrame],
-    heavy_key: int = HEAVY_KEY,
-    per_bucket: int = FRAGMENTS_PER_BUCKET,
-) -> DataFrame:
-    """``(key, digest, marks)`` for distinct fragments with repeated windows.
-
-    Equal fragments fold into one row with count and least and largest id before they
-    move. A bucket then holds many keys, each below ``heavy_key`` fragments; heavier
-    keys go to ``in_heavy``, which counts their windows across all tasks.
+                    n = numbers[keep]
+                    columns = keys[keep], digests[keep], ids[n], tids[n], starts[keep], counts[keep]
+                    yield record_batch(dict(zip(schema.names, columns)), schema)
+
+    return stage(rows.mapInArrow(cut, ddl), "places")
+
+
+def holder(digests: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A hash of a fragment and the document that is to send it."""
+    return (mix(digests.view(np.uint64) ^ mix(ids.astype(np.int64).view(np.uint64))) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def wanted_holders(facts: DataFrame, count: int) -> Broadcast:
+    """A bitmap over ``holder`` of the fragments whose text is wanted."""
+    owners = task_count(count, 1_000_000, at_least=8)
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+    bits_each, slice_size = -(-bits // owners), -(-(1 << KEY_BITS) // owners)
+    schema = pa.schema([("owner", pa.int32()), ("inside", pa.int64())])
+
+    def hashed(batches):
+        for batch in batches:
+            h = holder(batch.column("digest").to_numpy(), batch.column("low").to_numpy())
+            yield record_batch({"owner": h // slice_size, "inside": h % slice_size}, schema)
+
+    def page(group: pa.Table) -> pa.Table:
+        bits = np.zeros(bits_each, np.uint8)
+        bits[bit_in_slice(group.column("inside").to_numpy(), slice_size, bits_each)] = 1
+        return pa.table({"owner": group.column("owner")[:1], "page": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    sent = facts.select("digest", "low").mapInArrow(hashed, "owner int, inside long")
+    return _bitmap(sent.groupBy("owner").applyInArrow(page, "owner int, page binary"), owners, bits_each, slice_size)
+
+
+def fragment_texts(rows: DataFrame, windows: Windows, wanted: Broadcast) -> DataFrame:
+    """``(key, digest, fragment)`` of the wanted fragments, once each."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("fragment", pa.binary())])
+
+    def cut(batches):
+        for batch in chunks(batches, 1 << 20):
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
+            for numbers, _, _, keys, digests, begin, stop in windows.fragments(texts):
+                keep = np.flatnonzero(may_be_set(holder(digests, ids[numbers]), wanted.value))
+                if len(keep):
+                    places = zip(numbers[keep], begin[keep], stop[keep])
+                    pieces = [windows.packed(texts[i], a, b) for i, a, b in places]
+                    yield record_batch({"key": keys[keep], "digest": digests[keep], "fragment": pieces}, schema)
+
+    return rows.select("doc_id", "text").mapInArrow(cut, "key long, digest long, fragment binary").distinct()
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What repeats, in terms of folded fragments ``(copies, low, high)``.
+
+    ``in_bucket`` and ``in_heavy`` make marks: the runs ``(from, to, least)`` of windows
+    that occur again, where ``least`` is the smallest id they have. With ``across_ids``
+    a run counts for documents of larger id only.
     """
-    total = found.count()
-    heavy = found.groupBy("key").count().filter(F.col("count") > heavy_key).select("key")
-    folded = found.groupBy("key", "digest", "fragment").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+
+    across_ids: bool
+    in_bucket: Callable[[pa.Table], pa.Table]
+    in_heavy: Callable[[DataFrame], DataFrame]
+
+    def open_keys(self, keys: DataFrame) -> DataFrame:
+        """Keys whose fragments have to be compared window by window."""
+        differ = F.col("fragments") > 1
+        return keys.filter(differ if self.across_ids else differ & F.col("lone"))
+
+    def repeats(self) -> Column:
+        """Whether a fragment repeats as a whole."""
+        return F.col("low") < F.col("high") if self.across_ids else F.col("copies") > 1
+
+
+RUN = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("least", pa.int64())])
+MARKS_TYPE = "array<struct<from: int, to: int, least: bigint>>"
+MARKS = f"key long, digest long, marks {MARKS_TYPE}"
+MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("marks", pa.list_(RUN))])
+
+
+def runs_of(least: np.ndarray, repeats: np.ndarray) -> list[dict]:
+    """The runs of windows that repeat, cut where their smallest id changes."""
+    change = np.flatnonzero((np.diff(least) != 0) | (np.diff(repeats.astype(np.int8)) != 0)) + 1
+    edges = [0, *change.tolist(), len(least)]
+    return [{"from": a, "to": b, "least": int(least[a])} for a, b in zip(edges, edges[1:]) if repeats[a]]
+
+
+def repeated(rows: DataFrame, windows: Windows, rule: Rule, rows_per_owner: int, heavy_key: int = HEAVY_KEY) -> DataFrame:
+    """``(doc_id, tid, runs)``: for each document that has any, the ranges ``(from, to)``
+    of window starts that repeat, staged. See the module text for the steps."""
+    shared = shared_keys(rows, windows, rule.across_ids, rows_per_owner)
+    places = shared_places(rows, windows, shared)
+    facts = stage(
+        places.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")),
+        "facts",
     )
-    buckets = task_count(total, per_bucket, at_least=8)
-    result = "key long, digest long, marks binary"
+    keys = facts.groupBy("key").agg(F.count("*").alias("fragments"), F.max(F.col("copies") == 1).alias("lone"))
+    open_keys = stage(rule.open_keys(keys).select("key", "fragments"), "open-keys")
+    opened = stage(facts.join(open_keys, "key"), "opened")
+    count = opened.count()
+    whole = facts.join(open_keys, "key", "left_anti").filter(rule.repeats())
+    marks = whole.select("key", "digest", "low", F.lit(None).cast(MARKS_TYPE).alias("marks"))
+    if count:
+        texts = fragment_texts(rows, windows, wanted_holders(opened, count))
+        made = _marks(texts, opened, rule, count, heavy_key)
+        marks = marks.unionByName(made.withColumn("low", F.lit(None).cast("long")))
+    hits = places.join(marks, ["key", "digest"])
+    # Without marks of their own, all windows of a fragment repeat.
+    all_of_it = F.array(F.struct(F.lit(0).alias("from"), F.col("windows").alias("to"), F.col("low").alias("least")))
+    runs = F.coalesce("marks", all_of_it)
+    if rule.across_ids:
+        runs = F.filter(runs, lambda r: r["least"] < F.col("doc_id"))
+    moved = F.transform(
+        runs, lambda r: F.struct((F.col("start") + r["from"]).alias("from"), (F.col("start") + r["to"]).alias("to"))
+    )
+    ranges = hits.select("doc_id", "tid", moved.alias("runs")).filter(F.size("runs") > 0)
+    # A document's ranges are no more than its own length.
+    found = ranges.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return stage(found, "repeats")
+
 
-    def bucketed(df):
-        return df.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_bucket")).applyInArrow(
-            lambda group: in_bucket(group.drop_columns(["_bucket"]) if "_bucket" in group.column_names else group), result
-        )
+def with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of documents that have runs, with these. Only their texts move."""
+    return semi_reduce(rows, "doc_id", found, "doc_id").join(found, ["doc_id", "tid"])
 
-    heavy = stage(heavy, "heavy-keys")
+
+def _marks(texts: DataFrame, opened: DataFrame, rule: Rule, count: int, heavy_key: int) -> DataFrame:
+    buckets = task_count(count, FRAGMENTS_PER_BUCKET, at_least=8)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_bucket")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return MARKS_SCHEMA.empty_table()
+        facts = right.select(["key", "digest", "copies", "low", "high"])
+        both = left.select(["key", "digest", "fragment"]).join(facts, ["key", "digest"], join_type="inner")
+        return rule.in_bucket(both) if both.num_rows else MARKS_SCHEMA.empty_table()
+
+    def bucketed(facts: DataFrame) -> DataFrame:
+        left = texts.select("*", bucket).groupBy("_bucket")
+        right = facts.select("key", "digest", "copies", "low", "high", bucket).groupBy("_bucket")
+        return left.cogroup(right).applyInArrow(meet, MARKS)
+
+    heavy = opened.filter(F.col("fragments") > heavy_key)
     if heavy.isEmpty():
-        return bucketed(folded)
-    light = bucketed(folded.join(heavy, "key", "left_anti"))
-    return light.unionByName(in_heavy(folded.join(heavy, "key", "left_semi")))
-
-
-def marked_documents(rows: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
-    """``rows`` with ``runs``: for each document its marked fragments ``(start, marks)``,
-    null where it has none. A document's runs are no more than its own length."""
-    hits = (
-        found.select("key", "digest", "doc_id", "tid", "start")
-        .distinct()
-        .join(marks, ["key", "digest"])
-        .groupBy("doc_id", "tid")
-        .agg(F.collect_list(F.struct("start", "marks")).alias("runs"))
-    )
-    return rows.join(hits, ["doc_id", "tid"], "left")
+        return bucketed(opened)
+    spread = texts.join(heavy.drop("fragments"), ["key", "digest"])
+    return bucketed(opened.filter(F.col("fragments") <= heavy_key)).unionByName(rule.in_heavy(spread))
 
 
-def covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
-    """Which of ``n`` units windows at ``starts`` cover."""
+def covered(n: int, window: int, runs: list | None) -> np.ndarray:
+    """Which of ``n`` units the windows of the given ranges cover."""
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + window, -1)
+    if runs:
+        np.add.at(steps, [r["from"] for r in runs], 1)
+        np.add.at(steps, [r["to"] + window - 1 for r in runs], -1)
     return np.cumsum(steps[:-1]) > 0

@@ -56,7 +56,7 @@ def test_long_texts_are_cut_between_windows(spark, monkeypatch):
             data = brute.text_of(text)
             units = data.split() if is_words else data
             seen = []
-            for _, starts, counts, _, begin, stop in windows.Windows(size, 4, is_words).fragments([data]):
+            for _, starts, counts, _, _, begin, stop in windows.Windows(size, 4, is_words).fragments([data]):
                 for s, n, a, b in zip(starts, counts, begin, stop):
                     seen += range(s, s + n)
                     assert (data[a:b].split() if is_words else data[a:b]) == units[s : s + n + size - 1]
@@ -125,4 +125,4 @@ def test_filter_passes_every_shared_key():
         page = np.zeros(bits, np.uint8)
         page[windows.bit_in_slice(inside.astype(np.uint64), slice_size, bits)] = 1
         pages += np.packbits(page).tobytes()
-    assert windows.may_be_shared(keys, {"bits_each": bits, "slice_size": slice_size, "pages": pages}).all()
+    assert windows.may_be_set(keys, {"bits_each": bits, "slice_size": slice_size, "pages": pages}).all()
