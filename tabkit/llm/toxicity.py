@@ -29,7 +29,10 @@ SAMPLE_PER_LABEL, SAMPLE_BYTES = 1500, 1 << 16
 PREFIXES = (3, 4, 5, 6, 7)
 #: A feature is chosen if it explains so many unrelated toxic documents.
 LEAST_SUPPORT = 4
-ROUNDS, RATE, RIDGE = 40, 0.5, 1e-3
+#: Features are kept whose rate in clean documents is at most this part of their rate
+#: in toxic ones.
+MOST_ELSEWHERE = 0.1
+ROUNDS, RATE, RIDGE = 60, 0.5, 1e-2
 BLOCK = 1 << 20
 
 WORD_BYTE = np.zeros(256, bool)
@@ -121,7 +124,7 @@ def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndar
     marginal, pairs = np.zeros(len(emissions)), np.zeros((2, 2))
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
-    for block in np.array_split(order, max(1, -(-len(order) // 256))):
+    for block in np.array_split(order, max(1, -(-len(order) // 64))):
         if not len(block):
             continue
         size = lengths[block]
@@ -166,23 +169,26 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def related(features: np.ndarray, token_at: np.ndarray) -> np.ndarray:
+def least_runs(words: np.ndarray) -> list[int]:
+    """Four least hashes over the runs of five words, at least one of which near copies
+    share almost surely."""
+    if not len(words):
+        return []
+    width = min(5, len(words))
+    runs = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        runs = runs * MULTIPLIER + words[k : k + len(runs)]
+    return [int(mix(runs ^ mix(np.array([seed + 1], np.uint64))).min()) for seed in range(4)]
+
+
+def related(least: list[list[int]]) -> np.ndarray:
     """A number per document that near copies share, so that a copied text does not
-    count as many witnesses: least hashes over runs of five words."""
-    n = len(token_at) - 1
+    count as many witnesses."""
     first: dict[tuple[int, int], int] = {}
-    group = np.arange(n)
-    for i in range(n):
-        words = features[token_at[i] : token_at[i + 1], 0]
-        if not len(words):
-            continue
-        width = min(5, len(words))
-        runs = np.zeros(len(words) - width + 1, np.uint64)
-        for k in range(width):
-            runs = runs * MULTIPLIER + words[k : k + len(runs)]
-        for seed in range(4):
-            least = int(mix(runs ^ mix(np.array([seed + 1], np.uint64))).min())
-            group[i] = min(group[i], group[first.setdefault((seed, least), i)])
+    group = np.arange(len(least))
+    for i, values in enumerate(least):
+        for seed, value in enumerate(values):
+            group[i] = min(group[i], group[first.setdefault((seed, value), i)])
     return group
 
 
@@ -208,23 +214,41 @@ def choose_features(rows, ids, token_at, toxic, groups, n_features) -> np.ndarra
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """Fit the field to token labels derived from document labels, then the document
     fit. Without documents of both labels the model scores everything low."""
-    _, _, starts, ends, token_at = read = read_tokens(texts)
-    features = token_features(read[0], starts, ends)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, np.zeros((2, 2)), np.array([-6.0, 0.0, 0.0]))
     if not toxic.any() or toxic.all():
         return empty
-    in_toxic = np.repeat(toxic, np.diff(token_at))
-    # Only what several toxic documents hold can speak for toxicity.
-    document = np.repeat(np.arange(len(texts)), np.diff(token_at))[in_toxic]
-    pairs = np.unique(np.stack([features[in_toxic].ravel(), np.repeat(document, features.shape[1]).astype(np.uint64)]), axis=1)[0]
-    kept, count = np.unique(pairs[pairs != 0], return_counts=True)
-    model = Model(kept[count >= LEAST_SUPPORT], np.zeros(0), -4.0, np.zeros((2, 2)), np.zeros(3))
+
+    def read(text: str) -> np.ndarray:
+        data, _, starts, ends, _ = read_tokens([text])
+        return token_features(data, starts, ends)
+
+    # Only what several toxic documents and few others hold can speak for toxicity.
+    # Documents are read one by one, so that the features of one at a time are held.
+    held = np.concatenate([np.unique(read(text)) for text, bad in zip(texts, toxic) if bad])
+    kept, count = np.unique(held[held != 0], return_counts=True)
+    kept, count = kept[count >= LEAST_SUPPORT], count[count >= LEAST_SUPPORT]
+    model = Model(kept, np.zeros(0), -4.0, np.zeros((2, 2)), np.zeros(3))
+    others = np.zeros(len(kept), np.int64)
+    for text, bad in zip(texts, toxic):
+        if not bad:
+            others[np.unique(model.ids(read(text))[1])] += 1
+    telling = others * toxic.sum() <= MOST_ELSEWHERE * count * (~toxic).sum()
+    model = Model(kept[telling], np.zeros(0), -4.0, np.zeros((2, 2)), np.zeros(3))
     n_features = len(model.features)
     if not n_features:
         return empty
-    rows, ids = model.ids(features)
-    chosen = choose_features(rows, ids, token_at, toxic, related(features, token_at), n_features)
-    labels = np.zeros(len(features))
+    found, least, lengths = [], [], []
+    for text in texts:
+        features = read(text)
+        rows, ids = model.ids(features)
+        found.append((rows + sum(lengths[-1:]), ids))
+        least.append(least_runs(features[:, 0]))
+        lengths.append(sum(lengths[-1:]) + len(features))
+    token_at = np.array([0, *lengths])
+    rows, ids = (np.concatenate(x) for x in zip(*found))
+    in_toxic = np.repeat(toxic, np.diff(token_at))
+    chosen = choose_features(rows, ids, token_at, toxic, related(least), n_features)
+    labels = np.zeros(token_at[-1])
     labels[rows[np.isin(ids, chosen)]] = 1
     labels[~in_toxic] = 0
 
