@@ -34,6 +34,10 @@ LEAST_SUPPORT = 4
 MOST_ELSEWHERE = 0.1
 ROUNDS, RATE, RIDGE = 60, 0.5, 1e-2
 BLOCK = 1 << 20
+#: Tokens, padding included, that a pass over texts side by side holds.
+CELLS = 1 << 18
+#: Tokens after which training cuts a text into chains of their own.
+CHAIN = 256
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -122,13 +126,14 @@ def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndar
     (t00, t01), (t10, t11) = np.exp(chain)
     odds = np.exp(np.clip(emissions, -30, 30))
     marginal, pairs = np.zeros(len(emissions)), np.zeros((2, 2))
-    order = np.argsort(lengths, kind="stable")
+    order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
-    for block in np.array_split(order, max(1, -(-len(order) // 64))):
-        if not len(block):
-            continue
+    done = 0
+    while done < len(order):
+        longest = int(lengths[order[done]])
+        block = order[done : done + max(1, CELLS // longest)]
+        done += len(block)
         size = lengths[block]
-        longest = int(size[-1])
         step = np.arange(longest)[:, None]
         inside = step < size
         place = np.where(inside, token_at[block] + step, 0)
@@ -255,13 +260,14 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     # Adagrad on the regularised log likelihood.
     model.weights = np.zeros(n_features)
     want = np.bincount(ids, labels[rows], minlength=n_features)
+    chain_at = np.unique(np.concatenate([token_at, np.arange(0, token_at[-1], CHAIN)]))
     joined = np.ones(len(labels), bool)
-    joined[token_at[:-1][np.diff(token_at) > 0]] = False
+    joined[chain_at[:-1]] = False
     here, before = labels[1:][joined[1:]], labels[:-1][joined[1:]]
     want_pairs = np.array([[((1 - before) * (1 - here)).sum(), ((1 - before) * here).sum()], [(before * (1 - here)).sum(), (before * here).sum()]])
     squares, bias_square, pair_squares = np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(ROUNDS):
-        marginal, got_pairs = forward_backward(model.emissions(len(labels), rows, ids), token_at, model.chain)
+        marginal, got_pairs = forward_backward(model.emissions(len(labels), rows, ids), chain_at, model.chain)
         step = want - np.bincount(ids, marginal[rows], minlength=n_features) - RIDGE * model.weights
         squares += step * step
         model.weights += RATE * step / np.sqrt(squares)
