@@ -32,7 +32,6 @@ from tabkit.llm.windows import (
 )
 
 GRAM = 5
-ROWS_PER_OWNER = 20_000
 
 
 def earliest_in_bucket(window: int):
@@ -101,7 +100,7 @@ def repeated_words(
     start in a document of smaller id too."""
     windows = Windows(window, min(GRAM, window), words=True)
     rule = Rule(True, earliest_in_bucket(window), earliest_across_tasks(window))
-    return repeated(identified(docs, id_col, text_col), windows, rule, ROWS_PER_OWNER, heavy_key)
+    return repeated(identified(docs, id_col, text_col), windows, rule, heavy_key)
 
 
 def _read(rows: DataFrame, make, ddl: str, schema: pa.Schema) -> DataFrame:

@@ -31,7 +31,6 @@ from tabkit.llm.windows import (
 )
 
 GRAM = 64
-ROWS_PER_OWNER = 60_000
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -156,7 +155,7 @@ def repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     start anywhere else too."""
     windows = Windows(window, min(GRAM, 1 << (window.bit_length() - 1)), words=False)
     rule = Rule(False, repeated_in_bucket(window), repeated_across_tasks(window))
-    return repeated(identified(docs, id_col, text_col), windows, rule, ROWS_PER_OWNER, heavy_key)
+    return repeated(identified(docs, id_col, text_col), windows, rule, heavy_key)
 
 
 def cleaned(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", heavy_key: int = HEAVY_KEY) -> DataFrame:

@@ -35,9 +35,11 @@ KEY_BITS, PLACE_BITS = 44, 20
 BLOCK = 1 << 15
 #: Hashes a sender holds before it sends.
 HASHES_PER_MESSAGE = 1_000_000
+#: Hashes an owner is meant for.
+HASHES_PER_OWNER = 2_000_000
 #: Bits of the answer at most: 16 MB.
 FILTER_BITS = 1 << 27
-FRAGMENTS_PER_BUCKET = 40_000
+FRAGMENTS_PER_BUCKET = 10_000
 #: Keys of more different fragments are counted window by window, over all tasks.
 HEAVY_KEY = 50_000
 
@@ -125,6 +127,12 @@ class Windows:
     gram: int
     words: bool
 
+    @property
+    def bytes_per_fragment(self) -> int:
+        """About how much text one fragment's windows start in: minimisers lie half a
+        window's grams apart, and words are taken to have six bytes with their space."""
+        return max(1, (self.window - self.gram + 2) // 2 * (6 if self.words else 1))
+
     def fragments(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         """Blocks of fragments: ``(text number, start, windows, key, digest, from byte,
         to byte)`` with starts in units, and byte places in that text."""
@@ -219,13 +227,13 @@ def real_id(name: str) -> Column:
     return F.when(F.col(name) != F.lit(-(1 << 63)), F.col(name))
 
 
-def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool, rows_per_owner: int) -> Broadcast:
+def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool) -> Broadcast:
     """A bitmap over hashes of the fragment keys that occur more than once, or with
     ``across_ids`` under more than one id."""
-    count = rows.count()
-    owners = task_count(count, rows_per_owner, at_least=8)
-    per_row = 1 << 9
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (count * per_row).bit_length()))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    count = size // windows.bytes_per_fragment + 1
+    owners = task_count(count, HASHES_PER_OWNER, at_least=8)
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * count).bit_length()))
     bits_each = -(-bits // owners)
     slice_size = -(-(1 << KEY_BITS) // owners)
     ddl = "owner int, n int, k int, unary binary, remainders binary, multiple binary"
@@ -396,10 +404,10 @@ def runs_of(least: np.ndarray, repeats: np.ndarray) -> list[dict]:
     return [{"from": a, "to": b, "least": int(least[a])} for a, b in zip(edges, edges[1:]) if repeats[a]]
 
 
-def repeated(rows: DataFrame, windows: Windows, rule: Rule, rows_per_owner: int, heavy_key: int = HEAVY_KEY) -> DataFrame:
+def repeated(rows: DataFrame, windows: Windows, rule: Rule, heavy_key: int = HEAVY_KEY) -> DataFrame:
     """``(doc_id, tid, runs)``: for each document that has any, the ranges ``(from, to)``
     of window starts that repeat, staged. See the module text for the steps."""
-    shared = shared_keys(rows, windows, rule.across_ids, rows_per_owner)
+    shared = shared_keys(rows, windows, rule.across_ids)
     places = shared_places(rows, windows, shared)
     facts = stage(
         places.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")),
