@@ -48,6 +48,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths handed out inside the block."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+
+
+def delete_staged(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    while paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Delete what was staged inside the block when it ends.
@@ -55,14 +73,11 @@ def staging(spark: SparkSession) -> Iterator[None]:
     Results read staged tables, so write or collect them inside it. Without such a block
     staged tables stay, by the policy of that folder.
     """
-    _SCOPES.append([])
-    try:
-        yield
-    finally:
-        context = spark.sparkContext
-        for path in _SCOPES.pop():
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    with collecting() as paths:
+        try:
+            yield
+        finally:
+            delete_staged(spark, paths)
 
 
 def private_session(spark: SparkSession, **settings: str) -> SparkSession:
