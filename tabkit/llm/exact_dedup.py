@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.frames import chunks, record_batch, task_count, texts_by_id
+from tabkit.llm.frames import chunks, drop_documents, record_batch, semi_reduce, task_count, text_number, texts_by_id
 from tabkit.session import stage
 
 #: Bits of a fingerprint. A chance agreement only makes a suspect more.
@@ -31,8 +31,6 @@ BITS = 48
 #: Rows a sender holds before it sends, and fingerprints an owner is meant for.
 ROWS_PER_MESSAGE = 500_000
 HASHES_PER_OWNER = 2_000_000
-#: Bits of the filter that keeps unsuspected texts out of the shuffle: 16 MB at most.
-FILTER_BITS = 1 << 27
 
 
 def rice_encode(values: np.ndarray, limit: int) -> tuple[int, bytes, bytes]:
@@ -87,12 +85,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = duplicates(docs, id_col, text_col).filter(~F.col("kept"))
     # Of rows that repeat a doc_id with different texts, each has its own decision.
-    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("tid").alias("_tid")).distinct()
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (F.xxhash64(text) == dropped["_tid"])
-    return docs.join(dropped, same, "left_anti")
+    return drop_documents(docs, duplicates(docs, id_col, text_col).filter(~F.col("kept")), id_col, text_col)
 
 
 def _send(rows: DataFrame) -> DataFrame:
@@ -140,7 +134,7 @@ def _send(rows: DataFrame) -> DataFrame:
         if size:
             yield messages((TaskContext.get().partitionId() << 20) + sent, *map(np.concatenate, zip(*held)))
 
-    read = rows.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+    read = rows.select("doc_id", text_number(F.col("text")).alias("tid"), F.col("text").cast("binary").alias("text"))
     return read.mapInArrow(run, ddl)
 
 
@@ -207,34 +201,3 @@ def _verify(rows: DataFrame, suspects: DataFrame) -> DataFrame:
     return same_bytes.filter("group_size > 1").select(
         F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"
     )
-
-
-def semi_reduce(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose key may be among the wanted ones, by a bitmap over key hashes.
-
-    The bitmap has ``bits`` bits whatever the input, so it may be broadcast. It lets all
-    wanted rows pass and, while the wanted keys are fewer than its bits, few others; an
-    exact join has to follow.
-    """
-    bits = min(bits, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
-
-    def bit(c):
-        return F.pmod(F.xxhash64(c), F.lit(bits))
-
-    words = (
-        wanted.select(bit(F.col(wanted_key)).alias("_bit"))
-        .groupBy(F.shiftright("_bit", 6).alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_set"))
-    )
-    pages = (
-        words.groupBy(F.shiftright("_word", 6).alias("_page"))
-        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_word") % 64).alias("at"), "_set"))).alias("_sets"))
-        .select("_page", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("_sets")[i.cast("long")], F.lit(0))).alias("_sets"))
-    )
-    marked = rows.withColumn("_bit", bit(F.col(key)))
-    hit = F.expr("shiftright(_sets[CAST((_bit >> 6) & 63 AS INT)], CAST(_bit & 63 AS INT)) & 1") == 1
-    return (
-        marked.join(F.broadcast(pages), F.shiftright(F.col("_bit"), 12) == F.col("_page"))
-        .filter(hit)
-        .select(*rows.columns)
-    )

@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.components import components
-from tabkit.llm.exact_dedup import semi_reduce
-from tabkit.llm.frames import chunks, record_batch, task_count
-from tabkit.llm.windows import MULTIPLIER, identified, mix, text_number, word_gram_hashes, word_hashes, word_spans
+from tabkit.llm.frames import chunks, drop_documents, record_batch, semi_reduce, task_count
+from tabkit.llm.windows import MULTIPLIER, identified, mix, word_gram_hashes, word_hashes, word_spans
 from tabkit.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -273,9 +272,4 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     of each class stays, and all that are linked to none. A repeated row stays repeated
     with the document it repeats."""
     found = join(docs, threshold, SHINGLE, id_col, text_col)
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_dropped"), F.col("tid").alias("_tid")
-    ).distinct()
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (text_number(text) == dropped["_tid"])
-    return docs.join(dropped, same, "left_anti")
+    return drop_documents(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))), id_col, text_col)

@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.frames import chunks, record_batch
+from tabkit.functions.text import quoted
+from tabkit.llm.frames import chunks, record_batch, split_by_key, text_number, unused
 from tabkit.llm.windows import (
     HEAVY_KEY,
     MARKS_SCHEMA,
@@ -26,10 +27,10 @@ from tabkit.llm.windows import (
     repeated,
     runs_of,
     split_words,
-    text_number,
     with_runs,
     word_spans,
 )
+from tabkit.session import stage
 
 GRAM = 5
 
@@ -190,11 +191,18 @@ def cleaned(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
 
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words cut from its texts; all rows and columns stay."""
-    changed = cleaned(docs, window, id_col, text_col).distinct().select(
-        F.col("doc_id").alias("_changed"), F.col("tid").alias("_tid"), F.col("text").alias("_left")
+    gone, number, left = unused(docs.columns, "_changed", "_tid", "_left")
+    changed = cleaned(docs, window, id_col, text_col).select(
+        F.col("doc_id").alias(gone), F.col("tid").alias(number), F.col("text").alias(left)
     )
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(changed["_changed"]) & (text_number(text) == changed["_tid"])
-    return docs.join(changed, same, "left").select(
-        *[(F.coalesce(changed["_left"], docs[c]) if c == text_col else docs[c]).alias(c) for c in docs.columns]
+    # Staged: made once for the bitmap and the join. Rows that repeat are one change.
+    changed = stage(changed.dropDuplicates([gone, number]), "changed")
+    unsure, clear = split_by_key(docs, docs[id_col].cast("long"), changed, gone)
+    whole = F.col(quoted(text_col))
+    same = F.col(quoted(id_col)).cast("long").eqNullSafe(F.col(gone)) & (
+        text_number(F.coalesce(whole.cast("string"), F.lit(""))) == F.col(number)
     )
+    cut = unsure.join(changed, same, "left").select(
+        *[(F.coalesce(F.col(left), whole) if c == text_col else F.col(quoted(c))).alias(c) for c in docs.columns]
+    )
+    return clear.unionByName(cut)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.frames import chunks, record_batch, texts_by_id
+from tabkit.llm.frames import chunks, drop_documents, record_batch, text_number, texts_by_id
 from tabkit.llm.windows import BYTE_CODES, MULTIPLIER, _powers, mix
 
 #: The training sample: at most so many documents of either label, of at most so many
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             made = {"doc_id": batch.column("doc_id"), "tid": batch.column("tid"), "score": scores, "spans": spans}
             yield record_batch(made, schema)
 
-    rows = texts_by_id(docs).withColumn("tid", F.xxhash64("text"))
+    rows = texts_by_id(docs).withColumn("tid", text_number(F.col("text")))
     scored = rows.mapInArrow(run, "doc_id long, tid long, score double, spans array<struct<start: long, end: long, score: double>>")
     return scored.select(
         "doc_id",
@@ -367,8 +367,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    toxic = score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_toxic"), F.col("tid").alias("_tid"))
-    toxic = toxic.distinct()
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(toxic["_toxic"]) & (F.xxhash64(text) == toxic["_tid"])
-    return docs.join(toxic, same, "left_anti")
+    named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return drop_documents(docs, score(named, model).filter("predicted = 1"), id_col, text_col)

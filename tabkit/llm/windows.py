@@ -24,8 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.exact_dedup import rice_decode, rice_encode, semi_reduce
-from tabkit.llm.frames import chunks, record_batch, task_count
+from tabkit.llm.exact_dedup import rice_decode, rice_encode
+from tabkit.llm.frames import chunks, record_batch, semi_reduce, task_count, text_number
 from tabkit.session import stage
 
 #: Bits of a gram's hash, and of its place inside a block, which breaks ties leftmost.
@@ -205,11 +205,6 @@ def split_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def text_number(text: Column) -> Column:
-    """A hash that tells texts of one id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
-
-
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, tid, text)``: bytes of the text (null: empty), its id (null: the
     smallest) and a hash of the text, so that rows that repeat an id with other texts
