@@ -140,8 +140,9 @@ def pack(
     rows = stage(cut.select(*kept).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     sized = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
     groups = task_count(rows.count(), pieces_per_task)
-    dealt = rows.withColumn("_length", sized).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    result = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in cut.select(*kept).schema)}, sequence_id long, offset long"
+    # Only numbers and lengths meet in a group; tokens stay behind and are joined again.
+    group_of = F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group")
+    dealt = rows.select("_row", sized.alias("_length"), group_of)
 
     def place(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_length", "descending"), ("_row", "ascending")])
@@ -151,11 +152,12 @@ def pack(
         none = [None] * (len(lengths) - len(placed))
         sequences = [(number << 32) + s for s, _ in placed] + none
         offsets = [o for _, o in placed] + none
-        return group.select(kept).append_column("sequence_id", pa.array(sequences, pa.int64())).append_column(
+        return group.select(["_row"]).append_column("sequence_id", pa.array(sequences, pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64())
         )
 
-    return dealt.groupBy("_group").applyInArrow(place, result)
+    placed = dealt.groupBy("_group").applyInArrow(place, "_row long, sequence_id long, offset long")
+    return rows.join(placed, "_row").select(*[rows[c] for c in kept], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
