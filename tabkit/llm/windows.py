@@ -449,16 +449,20 @@ def _marks(texts: DataFrame, opened: DataFrame, rule: Rule, count: int, heavy_ke
         both = left.select(["key", "digest", "fragment"]).join(facts, ["key", "digest"], join_type="inner")
         return rule.in_bucket(both) if both.num_rows else MARKS_SCHEMA.empty_table()
 
-    def bucketed(facts: DataFrame) -> DataFrame:
+    def bucketed(texts: DataFrame, facts: DataFrame) -> DataFrame:
         left = texts.select("*", bucket).groupBy("_bucket")
         right = facts.select("key", "digest", "copies", "low", "high", bucket).groupBy("_bucket")
         return left.cogroup(right).applyInArrow(meet, MARKS)
 
     heavy = opened.filter(F.col("fragments") > heavy_key)
     if heavy.isEmpty():
-        return bucketed(opened)
-    spread = texts.join(heavy.drop("fragments"), ["key", "digest"])
-    return bucketed(opened.filter(F.col("fragments") <= heavy_key)).unionByName(rule.in_heavy(spread))
+        return bucketed(texts, opened)
+    # A bucket loads what it is dealt, so texts of heavy keys must not get there at all.
+    texts = stage(texts, "fragments")
+    hot = stage(heavy.select("key").distinct(), "heavy-keys")
+    spread = texts.join(hot, "key", "left_semi").join(heavy.drop("fragments"), ["key", "digest"])
+    light = texts.join(hot, "key", "left_anti")
+    return bucketed(light, opened.filter(F.col("fragments") <= heavy_key)).unionByName(rule.in_heavy(spread))
 
 
 def covered(n: int, window: int, runs: list | None) -> np.ndarray:

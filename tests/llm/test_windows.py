@@ -4,6 +4,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 
 from tabkit.llm import substring_dedup, suffix_dedup, windows
 from tabkit.llm.queries import QUERIES
@@ -48,6 +49,20 @@ def test_words_against_brute_force(spark, seed, alphabet, heavy_key):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, removed, brute.sha(kept))
 
 
+def test_fragments_of_heavy_keys_stay_out_of_buckets(spark, monkeypatch):
+    dealt = []
+    cogroup = GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: dealt.append(self._df) or cogroup(self, other))
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(20)) + shared[i % 2 :] + str(i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: len(r["kept"]) for r in suffix_dedup.dedup(docs, window=24, heavy_key=5).collect()}
+    assert got == {i: n - removed for (i, _), (n, removed, _, _) in zip(rows, brute.removed_bytes(rows, 24))}
+    (texts,) = dealt
+    assert texts.groupBy("key").count().filter("count > 5").count() == 0
+
+
 def test_long_texts_are_cut_between_windows(spark, monkeypatch):
     monkeypatch.setattr(windows, "BLOCK", 64)
     rows = odd_rows(5, "ab c")
