@@ -10,6 +10,7 @@ exact distance, so neither a block nor an answer grows with a bucket.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ ROWS_PER_BUCKET, BLOCK_ROWS = 400, 4096
 #: Queries by which probes are set, and the recall asked of them.
 SAMPLE_QUERIES, TARGET_RECALL = 64, 0.97
 MOST_PROBES = 256
+#: Times the tables, when so many probes do not reach it.
+MORE_TABLES = (1, 2, 4)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -147,9 +150,22 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return merged(vectors.mapInArrow(run, ANSWER), k)
 
 
-def set_probes(tables: Tables, queries: DataFrame, vectors: DataFrame, k: int) -> int:
-    """The least number of probes by which a bounded sample of queries finds
-    ``TARGET_RECALL`` of its true neighbours."""
+def by_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``exact`` for any number of queries, ``BLOCK_ROWS`` or so at a time."""
+    queries = stage(queries, "ann-exact")
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    found = [stage(exact(queries.filter(block == b), vectors, k), "ann-exact-found") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def fitted(index: Tables, queries: DataFrame, vectors: DataFrame, k: int) -> tuple[Tables, int] | None:
+    """Tables, and the least number of probes by which a bounded sample of queries finds
+    ``TARGET_RECALL`` of its true neighbours in them.
+
+    If ``MOST_PROBES`` do not reach it, there are up to ``MORE_TABLES`` times the tables,
+    then fewer axes. None if nothing reaches it.
+    """
     sample = stage(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES), "ann-sample")
     near = exact(sample, vectors, k).select("query_id", F.col("vec_id").alias("near_id"))
     pairs = (
@@ -159,14 +175,20 @@ def set_probes(tables: Tables, queries: DataFrame, vectors: DataFrame, k: int) -
         .toArrow()
     )
     if not pairs.num_rows:
-        return 1
+        return index, 1
     q, v = matrix(pairs.column("q")), matrix(pairs.column("v"))
-    rank = np.full(len(q), MOST_PROBES)
-    for table in range(tables.tables):
-        hit = tables.probes(q, table, MOST_PROBES) == tables.buckets(v, table)[:, None]
-        rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
-    rank.sort()
-    return int(min(MOST_PROBES, rank[min(len(rank) - 1, int(np.ceil(TARGET_RECALL * len(rank))) - 1)] + 1))
+    last = int(np.ceil(TARGET_RECALL * len(q))) - 1
+    for axes in range(index.axes, 0, -1):
+        rank, made = np.full(len(q), MOST_PROBES), 0
+        for more in MORE_TABLES:
+            tried = Tables(index.dimension, more * index.tables, axes, index.seed)
+            for table in range(made, tried.tables):
+                hit = tried.probes(q, table, MOST_PROBES) == tried.buckets(v, table)[:, None]
+                rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
+            made, needed = tried.tables, int(np.sort(rank)[last])
+            if needed < MOST_PROBES:
+                return tried, needed + 1
+    return None
 
 
 def search(
@@ -185,7 +207,10 @@ def search(
     divisible by 100. See ``usable`` for the vectors that take part; a query that does
     not gets no rows. Hashing goes by direction, the final order by the distance of
     the original vectors in double precision. Without ``probes`` their number is fitted
-    on a sample of 64 queries. Extra columns are ignored; empty tables give no rows.
+    on a sample of 64 queries, and there are more tables or fewer axes if the sample
+    misses the recall asked; if these miss it too, all vectors are compared. Queries
+    whose probes give fewer than ``k`` answers are compared with all vectors, whatever
+    ``probes``. Extra columns are ignored; empty tables give no rows.
     """
     given = stage(usable(vectors, id_col, vector_col), "ann-vectors")
     asked = given.filter(F.pmod("vec_id", F.lit(100)) == 0) if queries is None else usable(queries, id_col, vector_col)
@@ -199,7 +224,13 @@ def search(
     index = Tables(dimension, tables, 0)
     axes = 0 if rows <= 2 * ROWS_PER_BUCKET else max(1, round(np.log(rows / ROWS_PER_BUCKET) / np.log(2 * index.padded)))
     index = Tables(dimension, tables if axes else 1, axes)
-    probes = probes or (set_probes(index, asked, spread, k) if axes else 1)
+    if axes and not probes:
+        asked = stage(asked, "ann-queries")
+        fit = fitted(index, asked, spread, k)
+        if fit is None:
+            return by_blocks(asked, spread, k)
+        index, probes = fit
+    probes, whole = probes or 1, asked
 
     hashed_schema = pa.schema([("table", pa.int32()), ("bucket", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
@@ -247,4 +278,12 @@ def search(
         .cogroup(filed.select(*key, "vec_id", "v").groupBy(*key))
         .applyInArrow(rerank, ANSWER)
     )
-    return merged(found, k)
+    if not index.axes:
+        return merged(found, k)
+    found = stage(merged(found, k), "ann-found")
+    enough = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stage(whole.join(enough, "vec_id", "left_anti"), "ann-short")
+    if short.isEmpty():
+        return found
+    full = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi")
+    return full.unionByName(by_blocks(short, spread, k))

@@ -71,6 +71,31 @@ def test_many_buckets_and_a_hot_vector(spark, monkeypatch):
     assert hot and all(got[q] == want[q] for q in hot)
 
 
+@pytest.mark.parametrize("most, tables", [(4, 8), (1, 1)])
+def test_recall_beyond_the_most_probes(spark, monkeypatch, most, tables):
+    monkeypatch.setattr(nearest, "ROWS_PER_BUCKET", 4)
+    monkeypatch.setattr(nearest, "MOST_PROBES", most)
+    x = np.random.default_rng(4).normal(size=(1200, 16))
+    ids = np.arange(1200) * 5
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, ids[ids % 100 == 0])
+    got = by_query(nearest.search(df, tables=tables))
+    hits = sum(len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_queries_with_few_answers_are_completed(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS_PER_BUCKET", 2)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 4)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    ids = np.arange(400) * 50
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:380], x[:380])], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id < 500")
+    got = by_query(nearest.search(df, asked, tables=1, probes=1))
+    want = brute(ids[:380], x[:380], ids[:10])
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for i, _ in want[q]] for q in want}
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (100, [0.0, 0.0])]
