@@ -10,6 +10,9 @@ are repeated strings.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from tabkit.llm.windows import (
 )
 
 GRAM = 64
+#: Slices of suffixes that are copied to be sorted, at a time.
+SLICES = 1 << 14
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -41,9 +46,41 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return steps[told[np.searchsorted(told, np.arange(len(text)))]] > 0
 
 
-def suffix_array(texts: list[bytes], starts_wanted: list[int], window: int) -> list[tuple[int, int]]:
-    """``(text, start)`` of the suffixes at the first ``starts_wanted`` places of each
-    text, sorted by their first ``window`` bytes.
+def sorted_places(data: bytes, ends: np.ndarray, places: np.ndarray, window: int, depth: int = 0) -> Iterator[int]:
+    """The places in the order of the ``window`` bytes from them on (fewer before their
+    text's end), ties by place, if they agree in the first ``depth``.
+
+    More than ``SLICES`` places are parted by their next eight bytes, and no more than
+    that many copied slices are held at a time.
+    """
+    if len(places) <= SLICES or depth >= window:
+        if depth >= window:
+            yield from np.sort(places).tolist()
+            return
+        stops = np.minimum(places + window, ends[places]).tolist()
+        yield from (p for _, p in sorted((data[p + depth : stop], p) for p, stop in zip(places.tolist(), stops)))
+        return
+    # Behind its end a text goes on with zeros, and of equal words the shorter is first.
+    size = np.clip(np.minimum(places + window, ends[places]) - places - depth, 0, 8)
+    word, high = np.zeros(len(places), np.uint64), np.frombuffer(data, np.uint8)
+    for i in range(8):
+        here = np.flatnonzero(size > i)
+        word[here] |= high[places[here] + depth + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+    order = np.lexsort((size, word))
+    places, word, size = places[order], word[order], size[order]
+    edges = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (size[1:] != size[:-1]), [True])))
+    at = 0
+    while at < len(edges) - 1:
+        # Groups that follow each other are sorted together as far as they are small.
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + SLICES, "right")) - 1)
+        part = places[edges[at] : edges[to]]
+        yield from sorted_places(data, ends, part, window, depth if len(part) <= SLICES else depth + 8)
+        at = to
+
+
+def suffix_places(texts: list[bytes], starts_wanted: list[int], window: int) -> Iterator[int]:
+    """Places, in the joined texts, of the suffixes at the first ``starts_wanted`` places
+    of each text, sorted by their first ``window`` bytes.
 
     Two stages: the suffixes smaller than their successor are sorted directly, within
     the bucket of their first byte. Then the buckets are scanned from the smallest byte
@@ -52,47 +89,60 @@ def suffix_array(texts: list[bytes], starts_wanted: list[int], window: int) -> l
     reaches on to the next directly sorted suffix (or the text's end), from which the
     larger ones before it follow.
     """
-    direct: list[list[tuple[bytes, int, int]]] = [[] for _ in range(256)]
-    scanned: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    larger: list[bytes] = []
-    for number, (text, wanted) in enumerate(zip(texts, starts_wanted)):
-        smaller = smaller_than_next(np.frombuffer(text, np.uint8))
+    data = b"".join(texts)
+    high = np.frombuffer(data, np.uint8)
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    scanned = [array("q") for _ in range(256)]
+    # 1: a place that is wanted; 2: the place before it follows from it.
+    flags, first_stage, base = np.zeros(len(data), np.uint8), [], 0
+    for text, wanted in zip(texts, starts_wanted):
+        smaller = smaller_than_next(high[base : base + len(text)])
         after = np.flatnonzero(smaller[wanted - 1 :])
         end = wanted + int(after[0]) if len(after) else len(text)
-        for at in np.flatnonzero(smaller[:end]).tolist():
-            direct[text[at]].append((text[at : at + window], number, at))
+        first_stage.append(np.flatnonzero(smaller[:end]) + base)
         if end == len(text) and not smaller[-1]:
             # The suffix before the end is the smallest of its bucket.
-            scanned[text[-1]].append((number, end - 1))
-        larger.append((~smaller[:end]).tobytes())
-    order: list[tuple[int, int]] = []
+            scanned[text[-1]].append(base + end - 1)
+        flags[base : base + wanted] = 1
+        flags[base + 1 : base + end] |= (~smaller[: end - 1]).astype(np.uint8) << 1
+        base += len(text)
+    flags = flags.tobytes()
+    direct = np.concatenate(first_stage) if first_stage else np.zeros(0, np.int64)
+    direct = direct[np.argsort(high[direct], kind="stable")]
+    cuts = np.searchsorted(high[direct], np.arange(257))
+    for byte in range(256):
+        own = direct[cuts[byte] : cuts[byte + 1]]
+        # The scanned places grow while they are read.
+        for place in chain(scanned[byte], sorted_places(data, ends, own, window) if len(own) else ()):
+            flag = flags[place]
+            if flag & 2:
+                scanned[data[place - 1]].append(place - 1)
+            if flag & 1:
+                yield place
 
-    def visit(number: int, at: int) -> None:
-        if at < starts_wanted[number]:
-            order.append((number, at))
-        if at and larger[number][at - 1]:
-            scanned[texts[number][at - 1]].append((number, at - 1))
 
-    for byte in range(256):
-        for number, at in scanned[byte]:  # grows while it is read
-            visit(number, at)
-        direct[byte].sort()
-        for _, number, at in direct[byte]:
-            visit(number, at)
-    return order
+def suffix_array(texts: list[bytes], starts_wanted: list[int], window: int) -> list[tuple[int, int]]:
+    """``suffix_places`` as ``(text, start)``."""
+    bases = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    places = np.fromiter(suffix_places(texts, starts_wanted, window), np.int64)
+    numbers = np.searchsorted(bases, places, "right") - 1
+    return list(zip(numbers.tolist(), (places - bases[numbers]).tolist()))
 
 
 def repeated_suffixes(texts: list[bytes], windows: list[int], window: int) -> list[np.ndarray]:
     """For each text, which of its windows occur again in any of the texts: neighbours
     in the suffix array whose common prefix reaches ``window`` bytes."""
-    marks = [np.zeros(n, bool) for n in windows]
-    previous, before = None, b""
-    for number, at in suffix_array(texts, windows, window):
-        here = texts[number][at : at + window]
+    data = b"".join(texts)
+    marks = bytearray(len(data))
+    previous, before = 0, b""
+    for place in suffix_places(texts, windows, window):
+        here = data[place : place + window]
         if here == before:
-            marks[number][at] = marks[previous[0]][previous[1]] = True
-        previous, before = (number, at), here
-    return marks
+            marks[place] = marks[previous] = 1
+        previous, before = place, here
+    bases = np.cumsum([0, *map(len, texts)]).tolist()
+    found = np.frombuffer(marks, bool)
+    return [found[a : a + n] for a, n in zip(bases, windows)]
 
 
 def repeated_in_bucket(window: int):

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import brute
 import duckdb
@@ -89,6 +90,33 @@ def test_suffix_array_is_sorted():
         assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("slices", [1, 3, 1 << 14])
+def test_suffixes_sorted_in_parts(monkeypatch, slices):
+    monkeypatch.setattr(suffix_dedup, "SLICES", slices, raising=False)
+    rng = random.Random(7)
+    for alphabet in (b"ab\xff", b"a", b"\x00a"):
+        texts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(20, 60))) for _ in range(12)]
+        wanted = [len(t) - 19 for t in texts]
+        order = suffix_dedup.suffix_array(texts, wanted, 20)
+        assert sorted(order) == [(i, j) for i, n in enumerate(wanted) for j in range(n)]
+        keys = [texts[i][j : j + 20] for i, j in order]
+        assert keys == sorted(keys)
+        found = suffix_dedup.repeated_suffixes(texts, wanted, 20)
+        assert [f.tolist() for f in found] == [[keys.count(t[j : j + 20]) > 1 for j in range(n)] for t, n in zip(texts, wanted)]
+
+
+def test_memory_of_a_key_with_many_contexts():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 123, 568, dtype=np.uint8).tobytes() for _ in range(2000)]
+    texts = [t[:200] + texts[0][200:264] + t[264:] for t in texts]
+    tracemalloc.start()
+    found = suffix_dedup.repeated_suffixes(texts, [169] * 2000, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(f.any() for f in found)
+    assert peak < 40e6
+
+
 def test_repeated_rows_and_shared_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (5, text), (5, "other " + text), (None, text), (7, text + " tail"), (7, text)]
