@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, jaccard, nearest, packing, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from tabkit.llm import bpe, exact_dedup, jaccard, merkle, nearest, oracles, packing, sharding, substring_dedup, suffix_dedup, toxicity, warc
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -174,3 +176,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = warc.resolve_revisits(captures.withColumn("headers", headers))
     lines = F.transform("headers", lambda e: F.concat(e["name"], F.lit(": "), e["value"]))
     return resolved.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")))
+
+
+@query("op13_merkle", oracles.merkle())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against copies of which every third has lost its capitals."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.manifest(docs, claims={"text": tampered}, claimed=chosen)
+    return proved.drop("lang", "proof")
