@@ -70,3 +70,47 @@ def merkle(levels: int = 7, top_levels: int = 3) -> str:
     WITH {", ".join(ctes)}
     SELECT doc_id, leaf, subroot, y.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = y.digest AS verified
     FROM f{len(steps)} CROSS JOIN t{top_levels} y"""
+
+
+def codebooks(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Vector codes of ``embeddings``, all distances of vectors to entries compared."""
+    nearest = """
+        SELECT vec_id, part, v, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d
+        FROM (SELECT p.vec_id, p.part, p.v, e.entry,
+                     list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+              FROM pieces p JOIN book{0} e ON p.part = e.part)
+        GROUP BY vec_id, part, v"""
+    ctes = [
+        f"""kept AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))""",
+        f"""pieces AS MATERIALIZED (
+        SELECT vec_id, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v
+        FROM (SELECT vec_id, v, unnest(range({parts})) AS part FROM kept))""",
+        f"""book0 AS MATERIALIZED (
+        SELECT part, entry, v FROM pieces
+        JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}) USING (vec_id))""",
+    ]
+    for k in range(rounds):
+        ctes.append(f"near{k} AS MATERIALIZED ({nearest.format(k)})")
+        ctes.append(
+            f"""book{k + 1} AS MATERIALIZED (
+            SELECT b.part, b.entry, coalesce(m.v, b.v) AS v
+            FROM book{k} b LEFT JOIN (
+              SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v
+              FROM (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n
+                    FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM near{k})
+                    GROUP BY part, entry, place)
+              GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry)"""
+        )
+    ctes.append(f"last AS MATERIALIZED ({nearest.format(rounds)})")
+    return f"""
+    WITH {", ".join(ctes)},
+    coded AS (
+      SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+      FROM last GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id)"""

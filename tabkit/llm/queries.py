@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, jaccard, merkle, nearest, oracles, packing, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from tabkit.llm import bpe, exact_dedup, jaccard, merkle, nearest, oracles, packing, quantise, sharding, substring_dedup, suffix_dedup, toxicity, warc
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -178,6 +178,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")))
 
 
+@query("op11_codes", oracles.codebooks())
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 @query("op13_merkle", oracles.merkle())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, held against copies of which every third has lost its capitals."""
