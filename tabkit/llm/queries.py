@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabkit.llm import bpe, exact_dedup, jaccard, merkle, nearest, oracles, packing, quantise, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from tabkit.llm import bpe, exact_dedup, jaccard, language, merkle, nearest, oracles, packing, quantise, sharding, substring_dedup, suffix_dedup, toxicity, warc
 from tabkit.llm.frames import table
 from tabkit.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -183,6 +183,21 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantise.codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+@query("op12_language")
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a letter gets a learned language; what the calibrated limits would
+    reject is told by ``accepted``."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, modulus=4, remainder=2))
+    return found.select(
+        "doc_id",
+        language.held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        F.col("lang").alias("lang_pred"),
+        "score",
+        "accepted",
+    )
+
+
 @query("op13_merkle", oracles.merkle())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, held against copies of which every third has lost its capitals."""
