@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from typing import Any
 
 import pyarrow as pa
@@ -40,6 +43,41 @@ def chunks(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
             yield batch.slice(start, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> Iterator[None]:
+    """Jobs that run inside the block hand texts to Python in batches of about
+    ``max_bytes``, however long the texts are; a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release_memory() -> None:
+    """Give free memory back to the system. Workers outlive their tasks, and what their
+    allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidied(function: Callable) -> Callable:
+    """A task function that begins and ends without memory it does not use."""
+
+    @wraps(function)
+    def run(batches):
+        release_memory()
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
 def record_batch(columns: dict[str, Any], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[field.name], type=field.type) for field in schema], schema=schema

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.exact_dedup import rice_decode, rice_encode
-from tabkit.llm.frames import chunks, record_batch, semi_reduce, task_count, text_number
+from tabkit.llm.frames import chunks, record_batch, release_memory, semi_reduce, small_batches, task_count, text_number, tidied
 from tabkit.session import stage
 
 #: Bits of a gram's hash, and of its place inside a block, which breaks ties leftmost.
@@ -33,8 +33,8 @@ KEY_BITS, PLACE_BITS = 44, 20
 #: Units a task works on at once, few enough for a processor's cache; longer texts are
 #: cut between windows.
 BLOCK = 1 << 15
-#: Hashes a sender holds before it sends.
-HASHES_PER_MESSAGE = 1_000_000
+#: Hashes a sender holds before it sends: some 40 MB while they are sorted and coded.
+HASHES_PER_MESSAGE = 250_000
 #: Hashes an owner is meant for.
 HASHES_PER_OWNER = 2_000_000
 #: Bits of the answer at most: 16 MB.
@@ -274,9 +274,11 @@ def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool) -> Broadcas
         shared[inverse[np.concatenate(flags) > 0]] = True
         page = np.zeros(bits_each, np.uint8)
         page[bit_in_slice(values[shared], slice_size, bits_each)] = 1
+        del sets, flags, values, inverse, counts
+        release_memory()
         return pa.table({"owner": group.column("owner")[:1], "page": pa.array([np.packbits(page).tobytes()], pa.binary())})
 
-    sent = rows.select("doc_id", "text").mapInArrow(send, ddl)
+    sent = rows.select("doc_id", "text").mapInArrow(tidied(send), ddl)
     return _bitmap(sent.groupBy("owner").applyInArrow(answer, "owner int, page binary"), owners, bits_each, slice_size)
 
 
@@ -317,7 +319,7 @@ def shared_places(rows: DataFrame, windows: Windows, shared: Broadcast) -> DataF
                     columns = keys[keep], digests[keep], ids[n], tids[n], starts[keep], counts[keep]
                     yield record_batch(dict(zip(schema.names, columns)), schema)
 
-    return stage(rows.mapInArrow(cut, ddl), "places")
+    return stage(rows.mapInArrow(tidied(cut), ddl), "places")
 
 
 def holder(digests: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -360,7 +362,7 @@ def fragment_texts(rows: DataFrame, windows: Windows, wanted: Broadcast) -> Data
                     pieces = [windows.packed(texts[i], a, b) for i, a, b in places]
                     yield record_batch({"key": keys[keep], "digest": digests[keep], "fragment": pieces}, schema)
 
-    return rows.select("doc_id", "text").mapInArrow(cut, "key long, digest long, fragment binary").distinct()
+    return rows.select("doc_id", "text").mapInArrow(tidied(cut), "key long, digest long, fragment binary").distinct()
 
 
 @dataclass(frozen=True)
@@ -402,6 +404,11 @@ def runs_of(least: np.ndarray, repeats: np.ndarray) -> list[dict]:
 def repeated(rows: DataFrame, windows: Windows, rule: Rule, heavy_key: int = HEAVY_KEY) -> DataFrame:
     """``(doc_id, tid, runs)``: for each document that has any, the ranges ``(from, to)``
     of window starts that repeat, staged. See the module text for the steps."""
+    with small_batches(rows.sparkSession):
+        return _repeated(rows, windows, rule, heavy_key)
+
+
+def _repeated(rows: DataFrame, windows: Windows, rule: Rule, heavy_key: int) -> DataFrame:
     shared = shared_keys(rows, windows, rule.across_ids)
     places = shared_places(rows, windows, shared)
     facts = stage(
@@ -447,7 +454,9 @@ def _marks(texts: DataFrame, opened: DataFrame, rule: Rule, count: int, heavy_ke
             return MARKS_SCHEMA.empty_table()
         facts = right.select(["key", "digest", "copies", "low", "high"])
         both = left.select(["key", "digest", "fragment"]).join(facts, ["key", "digest"], join_type="inner")
-        return rule.in_bucket(both) if both.num_rows else MARKS_SCHEMA.empty_table()
+        made = rule.in_bucket(both) if both.num_rows else MARKS_SCHEMA.empty_table()
+        release_memory()
+        return made
 
     def bucketed(texts: DataFrame, facts: DataFrame) -> DataFrame:
         left = texts.select("*", bucket).groupBy("_bucket")
