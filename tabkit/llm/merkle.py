@@ -189,8 +189,9 @@ def manifest(
         leaf_digest(held).alias("digest"),
         claim.alias("claim"),
     )
-    leaves = _placed(leaves, TREE, ["doc_id", "digest"])
-    layers = _layers(stage(leaves, "leaves"))
+    # Staged, as the texts would be digested once more to draw the limits of the slices.
+    leaves = _placed(stage(leaves, "leaves"), TREE, ["doc_id", "digest"])
+    layers = _layers(stage(leaves, "placed"))
 
     # The roots of the trees are the nodes of one more tree, whose key is constant.
     tops = stage(_placed(layers[-1].select(*TREE, "digest"), [], TREE), "subroots")

@@ -33,10 +33,10 @@ KEY_BITS, PLACE_BITS = 44, 20
 #: Units a task works on at once, few enough for a processor's cache; longer texts are
 #: cut between windows.
 BLOCK = 1 << 15
-#: Hashes a sender holds before it sends: some 40 MB while they are sorted and coded.
-HASHES_PER_MESSAGE = 250_000
-#: Hashes an owner is meant for.
-HASHES_PER_OWNER = 2_000_000
+#: Hashes a sender holds before it sends: some 60 MB while they are sorted and coded.
+HASHES_PER_MESSAGE = 500_000
+#: Hashes an owner is meant for: some 40 MB while they are compared.
+HASHES_PER_OWNER = 1_000_000
 #: Bits of the answer at most: 16 MB.
 FILTER_BITS = 1 << 27
 FRAGMENTS_PER_BUCKET = 10_000
@@ -265,18 +265,23 @@ def shared_keys(rows: DataFrame, windows: Windows, across_ids: bool) -> Broadcas
             yield message(held)
 
     def answer(group: pa.Table) -> pa.Table:
-        sets, flags = [], []
-        for m in group.to_pylist():
-            sets.append(rice_decode(m["n"], m["k"], m["unary"], m["remainders"]))
-            flags.append(np.unpackbits(np.frombuffer(m["multiple"], np.uint8))[: m["n"]])
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = counts > 1
-        shared[inverse[np.concatenate(flags) > 0]] = True
         page = np.zeros(bits_each, np.uint8)
-        page[bit_in_slice(values[shared], slice_size, bits_each)] = 1
-        del sets, flags, values, inverse, counts
+        parts = []
+        for m in group.to_batches(max_chunksize=1):
+            n, k, unary, remainders, multiple = (m.column(c)[0].as_py() for c in schema.names[1:])
+            values = rice_decode(n, k, unary, remainders)
+            flags = np.unpackbits(np.frombuffer(multiple, np.uint8))[:n] > 0
+            page[bit_in_slice(values[flags], slice_size, bits_each)] = 1
+            parts.append(values)
+        values = np.concatenate(parts)
+        parts.clear()
+        # A value that several senders have lies beside its like.
+        values.sort()
+        page[bit_in_slice(values[1:][values[1:] == values[:-1]], slice_size, bits_each)] = 1
+        packed = np.packbits(page).tobytes()
+        del values, page
         release_memory()
-        return pa.table({"owner": group.column("owner")[:1], "page": pa.array([np.packbits(page).tobytes()], pa.binary())})
+        return pa.table({"owner": group.column("owner")[:1], "page": pa.array([packed], pa.binary())})
 
     sent = rows.select("doc_id", "text").mapInArrow(tidied(send), ddl)
     return _bitmap(sent.groupBy("owner").applyInArrow(answer, "owner int, page binary"), owners, bits_each, slice_size)
