@@ -20,6 +20,10 @@ from tabkit.session import collecting, delete_staged, scratch_path
 #: What the latest stage has staged; its result is written before the next one begins.
 _LATEST: list[str] = []
 
+#: Texts go to Python in batches of this size: with the default of 64 MB, executor and
+#: worker hold a batch of some 10,000 texts each.
+BATCH_BYTES = "4m"
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WINDOW, END_ID = 4096, 2
 
@@ -30,6 +34,8 @@ def owned(step):
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         delete_staged(spark, _LATEST)
+        # The setting of this job's session; its stages run when their results are written.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         with collecting() as paths:
             result = step(spark, docs, sf_dir)
         _LATEST.extend(paths)
