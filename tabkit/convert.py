@@ -14,18 +14,9 @@ from tabkit.operators.delimited import (
     with_repaired_names,
 )
 from tabkit.session import stage
+from tabkit.sources.byte_ranges import file_ranges, range_bytes, read_ranges
 from tabkit.sources.file_tree import list_files, tree_root
-from tabkit.sources.text_tree import (
-    TEXT_FILES,
-    decode_lines,
-    line_statistics,
-    plain_path,
-    read_first_lines,
-    read_lines,
-    read_unseen_lines,
-    reading_session,
-    resolve_encodings,
-)
+from tabkit.sources.text_tree import decode_lines, line_statistics, read_first_lines, resolve_encodings
 
 
 def resolve_files(lines: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
@@ -68,27 +59,34 @@ def parse_lines(
 
 
 def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -> DelimitedTree:
-    """Read every ``.txt`` file below ``root``, whatever its encoding and separator.
-
-    Two passes over the text: line counts and encodings, then, after the first bytes of
-    each file gave its separator and header, all lines, split in one lazy plan. The
-    frames belong to a session of their own, in which files are always cut alike.
-    """
-    spark = reading_session(spark)
+    """Read every ``.txt`` file below ``root``, whatever its encoding and separator."""
     root = tree_root(spark, root)
     listing = list_files(spark, root)
     # What could not be listed may be a file of any name or a folder.
     listing = listing.filter((F.col("status") == "failed") | F.lower("path").endswith(".txt"))
-    lines = read_lines(spark, root, TEXT_FILES)
+    return read_listed(listing, root, sep)
+
+
+def read_listed(listing: DataFrame, root: str, sep: Separator = AUTO) -> DelimitedTree:
+    """Read listed files, see :func:`tabkit.sources.file_tree.list_files`.
+
+    Two passes over the text: line counts, encodings and read errors, then, after the first
+    bytes of each file gave its separator and header, all lines, split in one lazy plan. A
+    file that cannot be opened, or not be read to its listed end, gets the status 'failed'
+    with the error as its note, and none of its rows are kept. One that could be read in
+    the first pass and no longer in the second fails the job, as its status is known by then.
+    """
+    spark = listing.sparkSession
+    lines = read_ranges(file_ranges(listing.filter("status = 'ok'"), range_bytes(spark)))
     statistics = stage(line_statistics(lines), "statistics")
-    # Spark skips some names; which ones, the statistics tell.
-    seen = statistics.select(plain_path(F.col("uri")).alias("path"))
-    unseen = listing.filter("status = 'ok' AND length > 0").join(seen, "path", "left_anti")
-    unseen = stage(unseen.select("path"), "unseen")
-    if not unseen.isEmpty():
-        more = read_unseen_lines(unseen)
-        lines = lines.unionByName(more)
-        statistics = stage(statistics.unionByName(line_statistics(more)), "statistics")
-    files, split = parse_lines(lines, sep, plain_path, statistics, read_first_lines)
+    errors = statistics.filter("error IS NOT NULL").select(F.col("uri").alias("path"), F.col("error").alias("_error"))
+    read = statistics.filter("error IS NULL").drop("error")
+    files, split = parse_lines(lines.drop("error"), sep, statistics=read, first_lines=read_first_lines)
     files = with_repaired_names(files)
+    broken = F.col("_error").isNotNull()
+    listing = listing.join(errors, "path", "left").select(
+        "path",
+        F.when(broken, "failed").otherwise(F.col("status")).alias("status"),
+        F.when(broken, F.col("_error")).otherwise(F.col("note")).alias("note"),
+    )
     return DelimitedTree(files, split, conversion_status(listing, files), root)

@@ -222,10 +222,13 @@ def split_rows(lines: DataFrame, sep: Separator = AUTO) -> DataFrame:
     same_block = F.col("block") == F.col("header_block")
     at_header = same_block & (F.col("line_id") == F.col("header_line_id"))
     moved = F.raise_error(F.concat(F.lit("lines were numbered anew while reading "), F.col("path")))
+    # A reader's row for what it could not read, of a file that could be read before.
+    unread = F.raise_error(F.concat(F.lit("no longer readable to its end: "), F.col("path")))
     # All lines of a block are numbered by one task.
     other_task = same_block & (F.shiftright("line_id", 33) != F.shiftright("header_line_id", 33))
     kind = (
-        F.when(at_header & (F.col("line") == F.col("header_line")), "header")
+        F.when(F.col("line").isNull(), unread.cast("string"))
+        .when(at_header & (F.col("line") == F.col("header_line")), "header")
         .when(at_header | other_task, moved.cast("string"))
         .when(by_label(label, separators, lambda s: is_blank_line(F.col("line"), s)), "blank")
         .when(width > F.size("header"), "rejected")

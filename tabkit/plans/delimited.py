@@ -16,6 +16,7 @@ from tabkit.plans.inputs import PART_HEADER, PATH, derived, derived_sql, table
 from tabkit.plans.registry import query
 from tabkit.session import scratch_path
 from tabkit.sources import tables, text_tree
+from tabkit.sources.file_tree import list_files, tree_root
 
 PIPE = separators.Separator("literal", "|")
 HEADER = PART_HEADER.split("|")
@@ -212,15 +213,23 @@ def detect_separator(spark, sf_dir):
     )
 
 
+# Of the listed files every fourth has lost its end since, and one more is gone.
 @query(
     "convert_status",
-    f"""SELECT CASE WHEN file % 7 <> 6 THEN {LABELS} END AS separator, 'utf-8' AS encoding, count(*) AS total,
-        count_if(file % 7 <> 6) AS ok, count_if(file % 7 = 6) AS failed FROM {FILES} GROUP BY ALL""",
+    f"""SELECT separator, encoding, count(*) AS total, count_if(ok) AS ok, count_if(NOT ok) AS failed
+        FROM (SELECT CASE WHEN file % 4 <> 2 AND file % 7 <> 6 THEN {LABELS} END AS separator,
+                CASE WHEN file % 4 <> 2 THEN 'utf-8' END AS encoding, file % 4 <> 2 AND file % 7 <> 6 AS ok FROM {FILES}
+              UNION ALL SELECT NULL, NULL, false FROM {FILES} WHERE file % 4 = 1)
+        GROUP BY ALL""",
 )
 def convert_status(spark, sf_dir):
     root = scratch_path(spark, "tree")
     write_text_tree(separated_lines(spark, sf_dir), root)
-    status = convert.read_delimited_tree(spark, root).status
+    listing = list_files(spark, root).filter(F.lower("path").endswith(".txt"))
+    kind = file_number(F.col("path")) % 4
+    longer = listing.withColumn("length", F.when(kind == 2, F.col("length") + 10).otherwise(F.col("length")))
+    gone = listing.filter(kind == 1).withColumn("path", F.concat("path", F.lit(".gone.txt")))
+    status = convert.read_listed(longer.unionByName(gone), tree_root(spark, root)).status
     return delimited.status_totals(status.groupBy("separator", "encoding"))
 
 

@@ -168,6 +168,14 @@ def open_file(path: str):
     return system.open_input_stream(name)
 
 
+def open_seekable(path: str):
+    """The same for reading from any place."""
+    if _is_local(path):
+        return open(path, "rb")
+    system, name = _filesystem(path)
+    return system.open_input_file(name)
+
+
 def _head(path: str) -> tuple[bytes | None, str]:
     try:
         with open_file(path) as stream:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,6 @@ from tabkit.session import private_session
 from tabkit.sources.file_tree import open_file
 
 TEXT_FILES = "*.[tT][xX][tT]"
-LINE_ROWS = 10_000
 # What is read of a file before its separator is judged.
 SAMPLE_LINES, SAMPLE_BYTES = 200, 1 << 16
 
@@ -71,53 +69,26 @@ def _lines(stream) -> Iterator[bytes]:
             yield raw.removeprefix(b"\xef\xbb\xbf") if number == 0 else raw
 
 
-def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path in batch["path"]:
-            with open_file(path) as stream:
-                lines, first = [], 0
-                for number, raw in enumerate(_lines(stream)):
-                    lines.append(raw)
-                    if len(lines) == LINE_ROWS:
-                        yield _line_frame(path, first, lines)
-                        lines, first = [], number + 1
-                if lines:
-                    yield _line_frame(path, first, lines)
-
-
-def _line_frame(path: str, first: int, lines: list[bytes]) -> pd.DataFrame:
-    ids = range(first, first + len(lines))
-    return pd.DataFrame({"uri": quote(path, safe="/:"), "block": 0, "line_id": ids, "line": lines})
-
-
-def read_unseen_lines(files: DataFrame) -> DataFrame:
-    """Lines of the listed files, for those that Spark's text source skips.
-
-    Streamed in batches, one file after another; these are few and not split.
-    """
-    width = files.sparkSession.sparkContext.defaultParallelism
-    lines = files.select("path").repartition(width).mapInPandas(
-        _lines_of, "uri string, block bigint, line_id bigint, line binary"
-    )
-    return lines.withColumn("line", F.col("line").cast("string"))
-
-
 def _heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, uri, first_id in zip(batch["path"], batch["uri"], batch["first_id"]):
-            with open_file(path) as stream:
-                head = stream.read(SAMPLE_BYTES + 1)
+            try:
+                with open_file(path) as stream:
+                    head = stream.read(SAMPLE_BYTES + 1)
+            except OSError:
+                continue  # judged by all its lines, whose reader reports what is wrong
             lines = list(_lines(io.BytesIO(head[:SAMPLE_BYTES])))
             if len(head) > SAMPLE_BYTES:
                 lines.pop()  # cut off in the middle
-            frame = _line_frame(path, 0, lines[:SAMPLE_LINES])
-            yield frame.assign(uri=uri, line_id=frame["line_id"] + first_id)
+            lines = lines[:SAMPLE_LINES]
+            yield pd.DataFrame({"uri": uri, "block": 0, "line_id": range(first_id, first_id + len(lines)), "line": lines})
 
 
 def read_first_lines(statistics: DataFrame) -> DataFrame:
-    """The first whole lines of each file, as ``read_lines`` numbers them, from its first
-    bytes: ``SAMPLE_LINES`` lines and ``SAMPLE_BYTES`` bytes at most."""
-    files = statistics.select(plain_path(F.col("uri")).alias("path"), "uri", "first_id")
+    """The first whole lines of each file (``uri`` is its path), numbered as its other
+    lines are, from its first bytes: ``SAMPLE_LINES`` lines and ``SAMPLE_BYTES`` bytes at
+    most."""
+    files = statistics.select(F.col("uri").alias("path"), "uri", "first_id")
     width = files.sparkSession.sparkContext.defaultParallelism
     lines = files.repartition(width).mapInPandas(_heads_of, "uri string, block bigint, line_id bigint, line binary")
     return lines.withColumn("line", F.col("line").cast("string"))
@@ -158,11 +129,14 @@ def is_gb18030(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def line_statistics(lines: DataFrame) -> DataFrame:
     """``(uri, utf8, n_lines, first_id)`` per file; folds to one row per file in each
-    task. ``first_id`` is the number of the file's first line."""
+    task. ``first_id`` is the number of the file's first line. With lines from
+    ``byte_ranges`` also ``error``, what kept one of the file's ranges from being read."""
+    errors = [F.max("error").alias("error")] if "error" in lines.columns else []
     return lines.groupBy("uri").agg(
         F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
-        F.count("*").alias("n_lines"),
+        F.count("line").alias("n_lines"),
         F.min(F.when(F.col("block") == 0, F.col("line_id"))).alias("first_id"),
+        *errors,
     )
 
 
