@@ -251,6 +251,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         lengths.append(sum(lengths[-1:]) + len(features))
     token_at = np.array([0, *lengths])
     rows, ids = (np.concatenate(x) for x in zip(*found))
+    del found
     in_toxic = np.repeat(toxic, np.diff(token_at))
     chosen = choose_features(rows, ids, token_at, toxic, related(least), n_features)
     labels = np.zeros(token_at[-1])
