@@ -8,6 +8,7 @@ result before calling the next, as ``run`` does.
 
 from __future__ import annotations
 
+import gc
 from functools import wraps
 
 import public_tokenizers
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm import exact_dedup, jaccard, packing, substring_dedup, toxicity
+from tabkit.llm.frames import release_memory
 from tabkit.session import collecting, delete_staged, scratch_path
 
 #: What the latest stage has staged; its result is written before the next one begins.
@@ -34,6 +36,9 @@ def owned(step):
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         delete_staged(spark, _LATEST)
+        # Plans of the stage before go, and what fitting a model has used in the driver.
+        gc.collect()
+        release_memory()
         # The setting of this job's session; its stages run when their results are written.
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         with collecting() as paths:
