@@ -25,8 +25,11 @@ from tabkit.lookups import (
 
 # 28 integer digits and 10 decimals; Spark's sum of it keeps the same type.
 AMOUNT_TYPE = "decimal(38,10)"
-# What decimals beyond the tenth, up to the 28th, are worth.
-REST_TYPE = "decimal(38,28)"
+# Amounts that are summed as they are: 15 digits and 10 decimals, so that the sum of 10^13
+# of them fits. Wider ones are cut into limbs of 18 digits, summed place by place.
+PART_TYPE = "decimal(28,10)"
+LIMB, LIMB_TYPE = 18, "decimal(38,0)"
+_NARROW = r"^[+-]?([0-9]{1,15}(\.[0-9]{1,10})?|\.[0-9]{1,10})\z"
 
 _NUMBER = r"^[+-]?(\p{Nd}+(\.\p{Nd}+)?|\.\p{Nd}+)\z"
 
@@ -58,7 +61,8 @@ def is_bracketed(text: Column) -> Column:
 def drop_marks(text: Column) -> Column:
     """Remove currency marks, thousands separators and all white space; '−' → '-'."""
     dropped = CURRENCY + THOUSANDS + WHITESPACE + ZERO_WIDTH
-    return F.translate(text, UNICODE_MINUS + dropped, "-")
+    # A pattern tells plain numbers several times faster than a translate copies them.
+    return F.when(text.rlike(r"^[+-]?[0-9.]*\z"), text).otherwise(F.translate(text, UNICODE_MINUS + dropped, "-"))
 
 
 def inner_text(bare: Column, bracketed: Column) -> Column:
@@ -105,30 +109,106 @@ def with_tokens(df: DataFrame, tokens: Mapping[str, str]) -> DataFrame:
     )
 
 
-def with_amounts(df: DataFrame, amounts: Mapping[str, str], rests: bool = False) -> DataFrame:
-    """Add the decimal value of each raw column: ``{new column: raw column}``.
-
-    With ``rests`` the value is cut after the tenth decimal and a column ``<new> rest``
-    holds what was cut, so that sums of both are exact; else it is rounded half-up.
-    """
+def with_amounts(df: DataFrame, amounts: Mapping[str, str]) -> DataFrame:
+    """Add the decimal value of each raw column, rounded half-up: ``{new column: raw column}``."""
     keep = [F.col(quoted(c)) for c in df.columns]
     df = with_tokens(df, {f"{a} token": raw for a, raw in amounts.items()})
     tokens = {a: ascii_digits(F.col(quoted(f"{a} token"))) for a in amounts}
-    if not rests:
-        return df.select(*keep, *[_value(t, amounts[a]).alias(a) for a, t in tokens.items()])
-    cut = {a: F.regexp_replace(t, r"^([^.]*[.][0-9]{10})[0-9]+$", "$1") for a, t in tokens.items()}
-    return df.select(
-        *keep,
-        *[_value(t, amounts[a]).alias(a) for a, t in cut.items()],
-        *[_rest(t).alias(f"{a} rest") for a, t in tokens.items()],
-    )
+    return df.select(*keep, *[_value(t, amounts[a]).alias(a) for a, t in tokens.items()])
+
+
+def with_parts(df: DataFrame, amounts: Mapping[str, str]) -> DataFrame:
+    """Add what exact sums are made of, per raw column: ``{new column: raw column}``.
+
+    ``<new>`` holds amounts of up to 15 digits before the point and 10 behind it as
+    decimals. Of any wider one ``<new> digits`` holds all digits, filled up on both sides
+    to limbs of 18, ``<new> high`` the number of limbs before the point and
+    ``<new> sign`` a minus or nothing.
+    """
+    keep = [F.col(quoted(c)) for c in df.columns]
+    df = with_tokens(df, {a: raw for a, raw in amounts.items()})
+    df = df.select(*keep, *[ascii_digits(F.col(quoted(a))).alias(a) for a in amounts])
+    own = [F.col(quoted(a)) for a in amounts]
+    df = df.select(*keep, *own, *[F.col(quoted(a)).rlike(_NARROW).alias(f"{a} narrow") for a in amounts])
+    parts = []
+    for a in amounts:
+        token, narrow = F.col(quoted(a)), F.col(quoted(f"{a} narrow"))
+        plain = F.when(~narrow & is_amount(token), F.ltrim(token, F.lit("+-")))
+        minus = F.when(token.startswith("-"), "-").otherwise("")
+        parts += [F.when(narrow, token.try_cast(PART_TYPE)).alias(a), plain.alias(f"{a} plain"), minus.alias(f"{a} sign")]
+    df = df.select(*keep, *parts)
+    limbs = []
+    for a in amounts:
+        digits, high = limb_digits(F.col(quoted(f"{a} plain")))
+        limbs += [F.col(quoted(f"{a} sign")), digits.alias(f"{a} digits"), high.alias(f"{a} high")]
+    return df.select(*keep, *own, *limbs)
+
+
+def limb_digits(plain: Column) -> tuple[Column, Column]:
+    """The digits of an unsigned number filled up to limbs, and how many are before the point."""
+
+    def filled(text: Column) -> tuple[Column, Column]:
+        limbs = F.ceil(F.char_length(text) / LIMB).cast("int")
+        return limbs, limbs * LIMB
+
+    whole = F.substring_index(plain, ".", 1)
+    fraction = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
+    high, places = filled(whole)
+    return F.concat(F.lpad(whole, places, F.lit("0")), F.rpad(fraction, filled(fraction)[1], F.lit("0"))), high
+
 
+def limb_at(digits: Column, sign: Column, number: Column) -> Column:
+    """The limb of a number, from 0 at the left."""
+    return F.concat(sign, F.substring(digits, number * LIMB + 1, F.lit(LIMB))).cast(LIMB_TYPE)
 
-def _rest(token: Column) -> Column:
-    """The value of the 11th to the 28th decimal of a number, null if it has none."""
-    far = F.regexp_extract(token, r"^[+-]?[0-9]*[.][0-9]{10}([0-9]{1,18})", 1)
-    text = F.concat(F.when(token.startswith("-"), F.lit("-")).otherwise(""), F.lit("0.0000000000"), far)
-    return F.when(is_amount(token) & (far != ""), text.cast(REST_TYPE))
+
+def limbs_of_decimal(total: Column) -> Column:
+    """``(at, limb)`` of a decimal: it is the sum of ``limb * 10**(18 * at)``."""
+    digits, high = limb_digits(F.abs(total).cast("string"))
+    sign = F.when(total < 0, "-").otherwise("")
+    numbers = F.sequence(F.lit(0), (F.char_length(digits) / LIMB).cast("int") - 1)
+    return F.transform(numbers, lambda n: F.struct((high - 1 - n).alias("at"), limb_at(digits, sign, n).alias("limb")))
+
+
+def settled(limbs: Column, sign: int) -> Column:
+    """The sum of limbs, which may share places and differ in sign, with all carries
+    made: ``(carry, high, low)``, the last two as digits before and behind the point.
+    A negative sum leaves a negative carry; settle it with ``sign`` -1 instead."""
+    places = F.transform(limbs, lambda e: e["at"])
+    none, base = F.lit(0).cast(LIMB_TYPE), F.lit(10**LIMB).cast("decimal(20,0)")
+
+    def at(place: Column) -> Column:
+        here = F.filter(limbs, lambda e: e["at"] == place)
+        return F.aggregate(here, none, lambda s, e: (s + e["limb"] * sign).cast(LIMB_TYPE))
+
+    def step(state: Column, place: Column) -> Column:
+        value = (state["carry"] + at(place)).cast(LIMB_TYPE)
+        digit = F.pmod(value, base).cast(LIMB_TYPE)
+        carry = F.floor((value - digit).cast(LIMB_TYPE) / base).cast(LIMB_TYPE)
+        digits = F.lpad(digit.cast("string"), LIMB, "0")
+        low = F.when(place < 0, F.concat(digits, state["low"])).otherwise(state["low"])
+        high = F.when(place < 0, state["high"]).otherwise(F.concat(digits, state["high"]))
+        return F.struct(carry.alias("carry"), high.alias("high"), low.alias("low"))
+
+    start = F.struct(none.alias("carry"), F.lit("").alias("high"), F.lit("").alias("low"))
+    return F.aggregate(F.sequence(F.array_min(places), F.array_max(places)), start, step)
+
+
+def plain_number(up: Column, down: Column) -> Column:
+    """Settled limbs as text without needless zeros, e.g. ``-12.5``."""
+    negative = up["carry"] < 0
+
+    def part(name: str) -> Column:
+        return F.when(negative, down[name]).otherwise(up[name])
+
+    whole = F.ltrim(F.concat(part("carry").cast("string"), part("high")), F.lit("0"))
+    whole = F.when(whole == "", "0").otherwise(whole)
+    return F.concat(F.when(negative, "-").otherwise(""), plain_digits(F.concat(whole, F.lit("."), part("low"))))
+
+
+def plain_digits(text: Column) -> Column:
+    """A number with a point, without the zeros that end it."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def is_amount(token: Column) -> Column:
@@ -161,10 +241,15 @@ def _value(token: Column, column: str) -> Column:
 
 
 def is_bad_amount(token: Column) -> Column:
-    """A present token that cannot count in a sum: not a number, or too wide."""
-    return token.isNotNull() & (~is_amount(token) | ascii_digits(token).try_cast(AMOUNT_TYPE).isNull())
+    """A present token that cannot count in a sum, as it is not a number."""
+    return token.isNotNull() & ~is_amount(token)
 
 
 def round_half_up(amount: Column) -> Column:
     """Two places, ties away from zero, as a double; null becomes 0."""
     return F.coalesce(F.round(amount, 2).cast("double"), F.lit(0.0))
+
+
+def round_text_half_up(total: Column) -> Column:
+    """The same for plain text of any width; from 10^36 on a double has no places."""
+    return F.coalesce(total.try_cast("decimal(38,2)").cast("double"), total.cast("double"), F.lit(0.0))

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.amounts import AMOUNT_TYPE, REST_TYPE, round_half_up, with_amounts
+from tabkit.functions.amounts import (
+    AMOUNT_TYPE,
+    LIMB,
+    LIMB_TYPE,
+    limb_at,
+    limbs_of_decimal,
+    plain_digits,
+    plain_number,
+    round_text_half_up,
+    settled,
+    with_parts,
+)
 from tabkit.functions.text import join_separator, normalise_text, quoted
 from tabkit.lookups import ROWS_COLUMN
 from tabkit.operators.ranking import order_key, with_position
@@ -25,27 +37,90 @@ def group_count(df: DataFrame, key: str, name: str = ROWS_COLUMN) -> DataFrame:
 def decimal_sum(
     df: DataFrame, key: str, columns: Sequence[str], rows: str | None = None, first: Column | None = None
 ) -> DataFrame:
-    """Exact sum of the valid amounts per key, 0 when there are none.
+    """Exact sum of the valid amounts per key as ``decimal(38,10)``, 0 when there are none.
 
-    Decimals beyond the tenth are summed apart and only the total is rounded. An amount
-    or a total too wide for the type fails the job; a plain ``sum`` is used, since
-    ``try_sum`` would give a silent 0. ``rows`` names an optional row count, and
+    Only the total is rounded. One that the type cannot hold fails the job:
+    :func:`exact_sum` gives it as text. ``rows`` names an optional row count, and
     ``first`` an expression whose least value per key is added as ``_first``, both from
     the same pass.
     """
+    def typed(c: str) -> Column:
+        total = F.col(quoted(c))
+        message = F.concat(F.lit(f"a total of column {c!r} has more than 28 digits before the point: "), total)
+        return F.coalesce(total.try_cast(AMOUNT_TYPE), F.raise_error(message).cast(AMOUNT_TYPE))
+
+    totals = exact_sum(df, key, columns, rows, first)
+    return totals.select(*[typed(c).alias(c) if c in columns else F.col(quoted(c)) for c in totals.columns])
+
+
+def exact_sum(
+    df: DataFrame, key: str, columns: Sequence[str], rows: str | None = None, first: Column | None = None
+) -> DataFrame:
+    """Exact sum of the valid amounts per key as plain text of any width, ``0`` when
+    there are none; ``rows`` and ``first`` as in :func:`decimal_sum`.
+
+    Ordinary amounts are summed as decimals. Wider ones add a row for every 18 digits,
+    which are summed by key and place before the shuffle, so neither their width nor
+    their number meets a limit; a key then settles the carries of its few places.
+    """
     extra = [first.alias("_first")] if first is not None else []
-    narrow = df.select(normalise_text(F.col(quoted(key))).alias(key), *extra, *[quoted(c) for c in columns])
-    parsed = with_amounts(narrow, {f"{c} amount": c for c in columns}, rests=True) if columns else narrow
-    zero = F.lit(0).cast(AMOUNT_TYPE)
-    measures = [F.count("*").alias(rows)] if rows else []
-    measures += [F.min("_first").alias("_first")] if extra else []
-    for c in columns:
-        whole = F.coalesce(F.sum(quoted(f"{c} amount")), zero)
-        rest = F.round(F.coalesce(F.sum(quoted(f"{c} amount rest")), F.lit(0).cast(REST_TYPE)), 10)
-        # One digit less on both sides, or Spark would give the sum fewer decimals.
-        both = (whole.cast("decimal(37,10)") + rest.cast("decimal(37,10)")).cast(AMOUNT_TYPE)
-        measures.append(F.when(rest == 0, whole).otherwise(both).alias(c))
-    return parsed.groupBy(quoted(key)).agg(*measures)
+    raw = [f"_raw {i}" for i in range(len(columns))]
+    names = [f"_sum {i}" for i in range(len(columns))]
+    narrow = df.select(
+        normalise_text(F.col(quoted(key))).alias("_key"), *extra, *[F.col(quoted(c)).alias(r) for c, r in zip(columns, raw)]
+    )
+    parsed = with_parts(narrow, dict(zip(names, raw)))
+    # Row 0 holds the ordinary amounts, each further one a limb. All rows have a row 0.
+    limb_count = {n: F.coalesce(F.char_length(quoted(f"{n} digits")) / LIMB, F.lit(0)).cast("int") for n in names}
+    ends = list(accumulate(limb_count.values())) or [F.lit(0)]
+    parsed = parsed.select("*", F.explode(F.sequence(F.lit(0), ends[-1])).alias("_row"))
+    column = at = limb = F.lit(None)
+    for i, (n, end) in reversed(list(enumerate(zip(names, ends)))):
+        place = F.col("_row") - 1 - (end - limb_count[n])
+        digits, sign = F.col(quoted(f"{n} digits")), F.col(quoted(f"{n} sign"))
+        column = F.when(F.col("_row") <= end, F.lit(i)).otherwise(column)
+        at = F.when(F.col("_row") <= end, F.col(quoted(f"{n} high")) - 1 - place).otherwise(at)
+        limb = F.when(F.col("_row") <= end, limb_at(digits, sign, place)).otherwise(limb)
+
+    def of_limb(c: Column, kind: str) -> Column:
+        return F.when(F.col("_row") > 0, c).cast(kind)
+
+    parsed = parsed.select(
+        "_key",
+        *(["_first"] if extra else []),
+        *map(quoted, names),
+        of_limb(column, "int").alias("_column"),
+        of_limb(at, "int").alias("_at"),
+        of_limb(limb, LIMB_TYPE).alias("_limb"),
+    )
+    by_place = parsed.groupBy("_key", "_column", "_at").agg(
+        F.count("*").alias("_rows"),
+        *([F.min("_first").alias("_first")] if extra else []),
+        *[F.sum(quoted(n)).alias(n) for n in names],
+        F.sum("_limb").alias("_limb"),
+    )
+    is_base = F.col("_column").isNull()
+    own = F.struct(F.col("_at").alias("at"), F.col("_limb").alias("limb"))
+    totals = by_place.groupBy("_key").agg(
+        F.max(F.when(is_base, F.col("_rows"))).alias("_rows"),
+        *([F.min("_first").alias("_first")] if extra else []),
+        *[F.coalesce(F.max(F.when(is_base, F.col(quoted(n)))), F.lit(0)).cast(AMOUNT_TYPE).alias(n) for n in names],
+        *[F.collect_list(F.when(F.col("_column") == i, own)).alias(f"{n} limbs") for i, n in enumerate(names)],
+    )
+    shown = [F.col("_key"), F.col("_rows"), *([F.col("_first")] if extra else [])]
+    limbs = [F.concat(limbs_of_decimal(F.col(quoted(n))), F.col(quoted(f"{n} limbs"))) for n in names]
+    wide = [F.when(F.size(quoted(f"{n} limbs")) > 0, c).alias(f"{n} limbs") for n, c in zip(names, limbs)]
+    totals = totals.select(*shown, *map(quoted, names), *wide)
+    ways = [settled(F.col(quoted(f"{n} limbs")), sign).alias(f"{n} {sign}") for n in names for sign in (1, -1)]
+    totals = totals.select(*shown, *map(quoted, names), *ways)
+    results = [
+        F.coalesce(plain_number(F.col(quoted(f"{n} 1")), F.col(quoted(f"{n} -1"))), plain_digits(F.col(quoted(n)).cast("string")))
+        for n in names
+    ]
+    counted = [F.col("_rows").alias(rows)] if rows else []
+    return totals.select(
+        F.col("_key").alias(key), *counted, *shown[2:], *[r.alias(c) for r, c in zip(results, columns)]
+    )
 
 
 def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -122,13 +197,13 @@ def group_aggregate(
         *([order_key(order_by).alias("_order")] if first else []),
         *[F.col(quoted(c)).alias(s) for c, s in sums.items()],
     )
-    result = decimal_sum(raw, "_key", list(sums.values()), rows="_rows", first=F.col("_order") if first else None)
+    result = exact_sum(raw, "_key", list(sums.values()), rows="_rows", first=F.col("_order") if first else None)
     if texts:
         cells = distinct_values(df, key, texts, order_by).groupBy("_key", "_column").agg(_cell(sep).alias("_cell"))
         wide = [F.max(F.when(F.col("_column") == str(i), F.col("_cell"))).alias(f"c{i}") for i in range(len(texts))]
         result = result.join(cells.groupBy("_key").agg(*wide), "_key")
     outputs = [
-        round_half_up(F.col(sums[c])).alias(c) if c in sums else F.col(f"c{texts.index(c)}").alias(c) for c in columns
+        round_text_half_up(F.col(sums[c])).alias(c) if c in sums else F.col(f"c{texts.index(c)}").alias(c) for c in columns
     ]
     firsts = [F.col("_first").alias(first)] if first else []
     return result.select(F.col("_rows").alias(ROWS_COLUMN), F.col("_key").alias(key), *outputs, *firsts)

@@ -123,6 +123,23 @@ def decimal_sum(spark, sf_dir):
     return sums.withColumnRenamed("amt", "total")
 
 
+# Amounts of 40 digits and of 35 decimals of either sign; their totals are put together
+# from parts that SQL can hold, so they are compared as text.
+@query(
+    "exact_sum",
+    f"""SELECT k, rtrim(rtrim(CAST(CAST(coalesce(sum(want), 0) AS DECIMAL(38,10)) AS VARCHAR), '0'), '.') AS total,
+            CAST(count(*) * CAST('12345678901234567890' AS HUGEINT) AS VARCHAR) || lpad(CAST(sum(ord) AS VARCHAR), 20, '0') AS wide,
+            '-0.' || rtrim(lpad(CAST(sum(ord + 1) AS VARCHAR), 35, '0'), '0') AS fine
+        FROM {CLEAN} GROUP BY k""",
+)
+def exact_sum(spark, sf_dir):
+    df = derived(spark, sf_dir, "messy_amounts")
+    wide = F.concat(F.lit("$12,345,678,901,234,567,890"), F.lpad(F.col("ord").cast("string"), 20, "0"))
+    fine = F.concat(F.lit("（.00000"), F.lpad((F.col("ord") + 1).cast("string"), 30, "0"), F.lit("）"))
+    sums = group.exact_sum(df.withColumn("wide", wide).withColumn("fine", fine), "k", ["amt", "wide", "fine"])
+    return sums.withColumnRenamed("amt", "total")
+
+
 @query(
     "unique_join",
     f"""SELECT k, coalesce(sm, '') AS sm FROM (SELECT DISTINCT k FROM {CLEAN}) LEFT JOIN {_joined('k', 'sm', ' | ')} USING (k)""",

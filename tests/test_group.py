@@ -87,6 +87,36 @@ def test_wide_amounts_are_summed_or_refused(spark):
         group.decimal_sum(spark.createDataFrame([("a", "1" * 29)], "k string, `a.b` string"), "k", ["a.b"]).collect()
 
 
+def test_sums_of_any_width(spark):
+    """Against decimals of unlimited digits, with carries and signs across all limbs."""
+    rng = random.Random(4)
+
+    def number():
+        whole, fraction = rng.choice([0, 1, 15, 16, 18, 36, 37, 90]), rng.choice([0, 1, 10, 11, 18, 35, 60])
+        digits = "".join(rng.choice("0099123") for _ in range(whole)) or ("" if fraction else "0")
+        return rng.choice(["", "-", "+"]) + digits + ("." + "".join(rng.choice("0959") for _ in range(fraction)) if fraction else "")
+
+    rows = [(f"k{i % 40}", number(), number()) for i in range(400)]
+    wide = "9" * 40
+    rows += [("zero", wide, "-0.0"), ("zero", "-" + wide, "x"), ("carry", wide, "0." + "9" * 35), ("carry", "1", "0." + "0" * 34 + "1")]
+    rows += [("minus", "(" + wide + ")", "1"), ("minus", "1", "(1.5)"), ("none", None, "n/a"), (None, "x", wide + "." + wide)]
+    df = spark.createDataFrame(rows, "`k.k` string, `a.b` string, _row string").repartition(5)
+    got = {r["k.k"]: (r["n"], r["a.b"], r["_row"]) for r in group.exact_sum(df, "k.k", ["a.b", "_row"], rows="n").collect()}
+
+    def plain(values):
+        with decimal.localcontext(prec=500):
+            valid = [decimal.Decimal(v.replace("(", "-").replace(")", "")) for v in values if v and v not in ("x", "n/a")]
+            total = sum(valid, decimal.Decimal(0))
+            return format(total.normalize(), "f") if total else "0"
+
+    keys = {k or "" for k, _, _ in rows}
+    want = {k: [r for r in rows if (r[0] or "") == k] for k in keys}
+    assert got == {k: (len(v), plain([r[1] for r in v]), plain([r[2] for r in v])) for k, v in want.items()}
+    result = group.group_aggregate(df.withColumn("o", F.lit(1)), "k.k", ["a.b"], ["o"])
+    assert {r["k.k"]: r["a.b"] for r in result.collect()}["carry"] == 1e40
+    assert group.exact_sum(df.limit(0), "k.k", ["a.b"]).count() == 0
+
+
 def test_first_seen_order_of_groups_is_written(spark, tmp_path):
     from tabkit import sinks
 
@@ -129,10 +159,13 @@ def test_missing_key_and_strict(spark):
     assert group.group_aggregate(df, "key col", ["amt.x"], ["ord"]).first()["amt.x"] == 5.0
 
 
-def test_overflow_fails_loudly(spark):
+def test_totals_beyond_the_type_are_exact_or_fail_loudly(spark):
     df = spark.createDataFrame([(i, "a", "9" * 28, "t") for i in range(20)], SCHEMA)
-    with pytest.raises(Exception, match="(?i)overflow"):
-        group.group_aggregate(df, "key col", ["amt.x"], ["ord"]).collect()
+    total = 20 * int("9" * 28)
+    assert group.exact_sum(df, "key col", ["amt.x"]).first()["amt.x"] == str(total)
+    assert group.group_aggregate(df, "key col", ["amt.x"], ["ord"]).first()["amt.x"] == float(total)
+    with pytest.raises(Exception, match="amt.x.*more than 28 digits"):
+        group.decimal_sum(df, "key col", ["amt.x"]).collect()
 
 
 def test_validate_and_samples(spark):
