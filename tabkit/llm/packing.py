@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.functions.text import quoted
 from tabkit.llm.bpe import Encoder, LibraryEncoder, per_worker, read_vocabulary
-from tabkit.llm.frames import chunks, record_batch, task_count, texts_by_id
+from tabkit.llm.frames import chunks, record_batch, task_count, texts_by_id, unused
 from tabkit.session import stage
 
 #: Pieces per packing task.
@@ -131,33 +132,37 @@ def pack(
 ) -> DataFrame:
     """All rows and columns of ``cut`` with ``sequence_id`` and ``offset``.
 
-    Offsets in a sequence are gapless from 0. Columns of those names are replaced. Rows
+    Offsets in a sequence are gapless from 0. Columns of those names, in any case, are
+    replaced, and columns of any other name stay as they are. Rows
     of null or zero length take no room: their sequence is null. A length above the
     window is refused. Equal rows are placed each; an empty table gives an empty one.
     """
-    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    kept = [c for c in cut.columns if c.lower() not in ("sequence_id", "offset")]
+    number = unused(cut.columns, "_row")[0]
     # Staged: tokens are made once, and the random dealing keeps to fixed row numbers.
-    rows = stage(cut.select(*kept).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    sized = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
+    rows = stage(cut.select(*map(quoted, kept), F.monotonically_increasing_id().alias(number)), "pieces")
+    sized = F.coalesce(F.col(quoted(length_col)).cast("long"), F.lit(0))
     groups = task_count(rows.count(), pieces_per_task)
     # Only numbers and lengths meet in a group; tokens stay behind and are joined again.
-    group_of = F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group")
-    dealt = rows.select("_row", sized.alias("_length"), group_of)
+    group_of = F.pmod(F.xxhash64(number), F.lit(groups)).alias("_group")
+    dealt = rows.select(F.col(number).alias("_row"), sized.alias("_length"), group_of)
 
     def place(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_length", "descending"), ("_row", "ascending")])
         lengths = group.column("_length").to_pylist()
-        number = group.column("_group")[0].as_py()
+        dealt_to = group.column("_group")[0].as_py()
         placed = best_fit([n for n in lengths if n > 0], window)
         none = [None] * (len(lengths) - len(placed))
-        sequences = [(number << 32) + s for s, _ in placed] + none
+        sequences = [(dealt_to << 32) + s for s, _ in placed] + none
         offsets = [o for _, o in placed] + none
         return group.select(["_row"]).append_column("sequence_id", pa.array(sequences, pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64())
         )
 
     placed = dealt.groupBy("_group").applyInArrow(place, "_row long, sequence_id long, offset long")
-    return rows.join(placed, "_row").select(*[rows[c] for c in kept], "sequence_id", "offset")
+    return rows.join(placed, rows[number] == placed["_row"]).select(
+        *[rows[quoted(c)] for c in kept], "sequence_id", "offset"
+    )
 
 
 def sequences(packed: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:

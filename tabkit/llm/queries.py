@@ -95,7 +95,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).drop("tid", "spans")
+    scored = toxicity.score(docs, model)
+    offsets = F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    # Offending character offsets beside the score, e.g. 12-18,40-47.
+    return scored.select(
+        "doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), F.array_join(offsets, ",").alias("spans")
+    )
 
 
 @query("op5_jaccard")

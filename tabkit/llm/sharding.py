@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.functions.text import quoted
 from tabkit.operators.ranking import with_position
 from tabkit.session import stage
 
@@ -66,6 +67,7 @@ def kd_shards(
 ) -> DataFrame:
     """All columns of ``docs`` plus ``size``, ``shard`` and ``slot`` (replacing such).
 
+    Names are compared without case; columns of any other name stay as they are.
     Leaves are halved until none is above ``target_bytes``, or into ``shards`` leaves.
     ``size`` null counts as 0, a null coordinate as the smallest. Equal rows are told
     apart at random. ``slot`` numbers the rows of a shard gapless from 0, in key order.
@@ -73,9 +75,10 @@ def kd_shards(
     """
     names = [f"_d{i}" for i in range(len(dimensions))]
     taken = {"size", "shard", "slot"}
-    kept = [c for c in docs.columns if c not in taken]
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    # Numbered meanwhile, so that no name meets one of ours.
     thin = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(quoted(c)).alias(f"user {i}") for i, c in enumerate(kept)],
         F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         *[F.coalesce(c.cast("long"), F.lit(-(1 << 62))).alias(n) for n, c in zip(names, dimensions.values())],
         tie.cast("long").alias("_tie"),
@@ -91,7 +94,8 @@ def kd_shards(
     shard_of = spark.createDataFrame(list(numbers.items()) or [(1, 0)], "_node long, shard int")
     placed = rows.join(F.broadcast(shard_of), "_node").drop("_node")
     ordered = with_position(placed, ["shard"], [*names, "_tie", "_id", "_row"], "_position", "_in_shard")
-    return ordered.select(*[F.col(f"`{c}`") for c in kept], "size", "shard", (F.col("_position") - 1).alias("slot"))
+    back = [F.col(f"`user {i}`").alias(c) for i, c in enumerate(kept)]
+    return ordered.select(*back, "size", "shard", (F.col("_position") - 1).alias("slot"))
 
 
 def _grow(rows: DataFrame, names: Sequence[str], target_bytes: int | None, shards: int | None) -> dict:

@@ -89,6 +89,18 @@ def test_rows_without_length_and_extra_columns(spark):
     assert sorted([got[1], got[4]]) == [(got[1][0], 0), (got[1][0], 4)]
 
 
+def test_clashing_names_keep_their_values(spark):
+    names = ["_row", "_row_", "a.b", "_Length", "_group", "Offset", "length"]
+    df = spark.createDataFrame([(f"u{i}", i, f"v{i}", -i, "g", "gone", 1 + i % 5) for i in range(30)], names)
+    packed = packing.pack(df, window=8)
+    assert packed.columns == [n for n in names if n != "Offset"] + ["sequence_id", "offset"]
+    rows = packed.collect()
+    assert sorted((r["_row_"], r["_row"], r["a.b"], r["_Length"]) for r in rows) == [(i, f"u{i}", f"v{i}", -i) for i in range(30)]
+    for held in {r["sequence_id"] for r in rows}:
+        own = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == held)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(df, VOCABULARY)).count() == 0

@@ -68,3 +68,14 @@ def test_equal_texts_stay_together(spark):
     for r in got:
         places.setdefault(r["t"], set()).add(r["shard"])
     assert sum(len(p) > 1 for p in places.values()) <= 1
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["_tie", "_node", "_id", "_row", "_d0", "_c0", "user 0", "a.b", "Size", "Shard", "n", "a", "b", "t", "id"]
+    df = spark.createDataFrame([(*[f"{c}{i}" for c in names[:10]], 1 + i % 7, i % 3, i, f"t{i}", i) for i in range(200)], names)
+    placed = shard(df, shards=4)
+    assert placed.columns == [n for n in names if n not in ("Size", "Shard")] + ["size", "shard", "slot"]
+    rows = placed.collect()
+    assert sorted(r["id"] for r in rows) == list(range(200))
+    assert all(r[c] == f"{c}{r['id']}" for r in rows for c in names[:8])
+    assert sorted(check_slots(rows)) == list(range(4))
