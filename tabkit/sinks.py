@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.functions.files import file_link, relative_output_path, relative_path, time_text
-from tabkit.functions.headers import repair_header
 from tabkit.functions.text import quoted
 from tabkit.inventory import audit_event
 from tabkit.lookups import INVENTORY_COLUMNS, ROWS_COLUMN, SAVED_CSV, SAVED_TABLES
-from tabkit.operators.delimited import DelimitedTree, kept_rows, name_fields, pad_fields
+from tabkit.operators.delimited import DelimitedTree, pad_fields
 from tabkit.operators.parts import category_parts, category_rollup, row_limit
-from tabkit.session import scratch_path, stage, staging
+from tabkit.session import stage, staging
+from tabkit.sources.file_tree import tree_root
+from tabkit.tree_sink import write_tree
 
 
 def run_path(base: str, name: str, moment: datetime) -> str:
@@ -112,14 +113,15 @@ def _output_files(tree: DelimitedTree) -> DataFrame:
     """``(path, rel_path, header, names, header_id)`` per file; staged, so that its size
     is known when it is joined to the lines.
 
-    ``rel_path`` is the path below the root without its extension, with it where two
-    files differ in nothing else.
+    ``rel_path`` is the path below the root without its extension, with it where another
+    file would get, or has, the same name without.
     """
     files = tree.files.filter(F.col("header").isNotNull()).select("path", "header", "names")
-    stem = relative_output_path(F.col("path"), tree.root)
-    files = files.withColumn("stem", stem)
-    shared = files.groupBy("stem").agg((F.count("*") > 1).alias("shared"))
-    rel_path = F.when(F.col("shared"), relative_path(F.col("path"), tree.root)).otherwise(F.col("stem"))
+    files = files.withColumn("whole", relative_path(F.col("path"), tree.root))
+    files = files.withColumn("stem", relative_output_path(F.col("path"), tree.root))
+    taken = files.select("stem").union(files.select("whole"))
+    shared = taken.groupBy("stem").agg((F.count("*") > 1).alias("shared"))
+    rel_path = F.when(F.col("shared"), F.col("whole")).otherwise(F.col("stem"))
     header_id = F.sha2(F.to_json(F.struct("header")), 256)
     return stage(
         files.join(shared, "stem").select("path", rel_path.alias("rel_path"), "header", "names", header_id.alias("header_id")),
@@ -127,6 +129,18 @@ def _output_files(tree: DelimitedTree) -> DataFrame:
     )
 
 
+def _mirrored_lines(tree: DelimitedTree) -> DataFrame:
+    """``(rel_path, block, line_id, first, value)``: header and rows as CSV text; ``first``
+    for those of a file's first block with any."""
+    names = _output_files(tree).select("path", "rel_path", "names")
+    lines = tree.split.filter(F.col("kind").isin("header", "row")).join(names, "path")
+    fields = F.when(F.col("kind") == "header", F.col("names")).otherwise(
+        pad_fields(F.col("fields"), F.col("header"))
+    )
+    first = F.col("block") == F.col("header_block")
+    return lines.select("rel_path", "block", "line_id", first.alias("first"), _csv_line(fields).alias("value"))
+
+
 def write_mirrored(tree: DelimitedTree, path: str) -> None:
     """Every file as CSV text, in one job, partitioned by a column ``rel_path``.
 
@@ -135,13 +149,8 @@ def write_mirrored(tree: DelimitedTree, path: str) -> None:
     was read, so lines are written by the tasks that read them: no shuffle, and a large
     file becomes several parts.
     """
-    names = _output_files(tree).select("path", "rel_path", "names")
-    lines = tree.split.filter(F.col("kind").isin("header", "row")).join(names, "path")
-    fields = F.when(F.col("kind") == "header", F.col("names")).otherwise(
-        pad_fields(F.col("fields"), F.col("header"))
-    )
     (
-        lines.select("rel_path", "block", "line_id", _csv_line(fields).alias("value"))
+        _mirrored_lines(tree)
         .sortWithinPartitions("rel_path", "block", "line_id")
         .select("rel_path", "value")
         .write.partitionBy("rel_path")
@@ -149,36 +158,40 @@ def write_mirrored(tree: DelimitedTree, path: str) -> None:
     )
 
 
+def write_nested(tree: DelimitedTree, path: str, extension: str = ".csv") -> None:
+    """Every file as ``<path>/<folders below the root>/<name>.csv``, in one job.
+
+    A file that was read in several byte ranges gives a file for each, written by the
+    task that read it: ``name.csv`` begins with the header, ``name@<start>.csv`` follow in
+    the order of their names, without it. Files without rows have their header only; files
+    without a usable header have none. ``path`` must be empty or not exist. ``_SUCCESS``
+    is written last. An output whose name a folder already has fails the job.
+    """
+    lines = _mirrored_lines(tree).sortWithinPartitions("rel_path", "block", "line_id")
+    part = F.when(F.col("first"), "").otherwise(F.format_string("@%015d", "block"))
+    place = F.concat("rel_path", part, F.lit(extension))
+    write_tree(lines.select(place.alias("place"), "value"), tree_root(tree.files.sparkSession, path), "lines")
+
+
 def write_tables(tree: DelimitedTree, path: str) -> list[tuple[str, list[str]]]:
-    """Parquet tables, one write per distinct header; returns ``(table path, names)``.
+    """Parquet tables, one per distinct header; returns ``(table path, names)``.
 
-    Rows are first staged once, partitioned by header, so that each table reads only
-    its own; that copy is deleted at the end. For a great many headers
-    :func:`write_mirrored` does with one job.
+    All are written by one job, whatever the number of headers, by the tasks that read
+    the lines. A table's first column is the file a row comes from: ``rel_path``, with
+    more underscores where the header has that name. Files hold rows in that order. A
+    header without rows gives an empty table.
     """
     spark = tree.files.sparkSession
-    tables = []
     with staging(spark):
         ids = _output_files(tree)
-        keyed = kept_rows(tree.split).join(ids.select("path", "rel_path", "header_id"), "path").select(
-            "header_id", "rel_path", "block", "line_id", "fields"
-        )
-        staged = scratch_path(spark, "rows")
-        keyed.write.partitionBy("header_id").parquet(staged)
-        for header, header_id in ids.select("header", "header_id").distinct().toLocalIterator():
-            target = f"{path}/{header_id}"
-            rows = spark.read.schema(keyed.schema).parquet(staged).filter(F.col("header_id") == header_id)
-            names = repair_header(header)
-            file_column = "rel_path"
-            while file_column in {n.lower() for n in names}:
-                file_column += "_"
-            ordered = rows.withColumnRenamed("rel_path", file_column).sortWithinPartitions(
-                file_column, "block", "line_id"
-            )
-            with _case_sensitive(spark, len({n.lower() for n in names}) < len(names)):
-                name_fields(ordered, header, keep=[file_column]).write.partitionBy(file_column).parquet(target)
-            tables.append((target, names))
-    return tables
+        lines = tree.split.filter(F.col("kind").isin("header", "row"))
+        lines = lines.join(ids.select("path", "rel_path", "header_id", "names"), "path")
+        fields = F.when(F.col("kind") == "row", pad_fields(F.col("fields"), F.col("header")))
+        rows = lines.select(F.col("header_id").alias("folder"), "rel_path", "block", "line_id", "names", fields.alias("fields"))
+        ordered = rows.sortWithinPartitions("folder", "rel_path", "block", "line_id").drop("block", "line_id")
+        write_tree(ordered, tree_root(spark, path), "tables")
+        found = ids.groupBy("header_id").agg(F.first("names").alias("names"))
+        return [(f"{path}/{r['header_id']}", r["names"]) for r in found.collect()]
 
 
 @contextmanager

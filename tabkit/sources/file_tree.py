@@ -58,6 +58,13 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
+def file_system(path: str):
+    """``(file system, path in it)`` of a local path or a URI."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), path) if _is_local(path) else _filesystem(path)
+
+
 def _remote_entries(folder: str):
     """Entries of a directory on HDFS or an object store; these keep no creation time."""
     from pyarrow import fs
