@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit import convert
+from tabkit import convert, sinks, streaming
 from tabkit.functions import separators
 from tabkit.functions.files import relative_output_path
 from tabkit.functions.text import blank_missing
@@ -193,6 +193,43 @@ def scan_delimited_tree(spark, sf_dir):
     return rows.withColumn("file", file_number(F.col("path"))).drop("path")
 
 
+TREE_ROWS = """SELECT CAST(floor(p_partkey / 500) AS BIGINT) AS file, CAST(p_partkey AS VARCHAR) AS p_partkey,
+        replace(p_name, ' ', '_') AS p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size
+        FROM part WHERE CAST(floor(p_partkey / 500) AS BIGINT) % 7 <> 6"""
+
+
+def part_tree(spark, sf_dir) -> str:
+    root = scratch_path(spark, "tree")
+    write_text_tree(separated_lines(spark, sf_dir), root)
+    return root
+
+
+@query("nested_output", TREE_ROWS)
+def nested_output(spark, sf_dir):
+    out = scratch_path(spark, "nested")
+    sinks.write_nested(convert.read_delimited_tree(spark, part_tree(spark, sf_dir)), out)
+    schema = ", ".join(f"{name} string" for name in HEADER)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("header", True).csv(out)
+    return rows.select(file_number(F.col("_metadata.file_path")).alias("file"), *HEADER)
+
+
+@query("header_tables", TREE_ROWS)
+def header_tables(spark, sf_dir):
+    tree = convert.read_delimited_tree(spark, part_tree(spark, sf_dir))
+    path = next(path for path, names in sinks.write_tables(tree, scratch_path(spark, "tables")) if names == HEADER)
+    rows = spark.read.parquet(path)
+    # A path is as below the root and without its extension: 'file=3/part-...'.
+    return rows.select(file_number(F.col("rel_path")).alias("file"), *HEADER)
+
+
+@query("resumable_chunks", TREE_ROWS)
+def resumable_chunks(spark, sf_dir):
+    root, out = part_tree(spark, sf_dir), scratch_path(spark, "chunks")
+    streaming.convert_chunks(spark, root, out, scratch_path(spark, "progress"), files_per_chunk=100)
+    cells = [F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(HEADER)]
+    return streaming.read_chunks(spark, out).select(file_number(F.col("path")).alias("file"), *cells)
+
+
 @query(
     "detect_separator",
     f"""SELECT file, CASE WHEN file % 7 <> 6 THEN {LABELS} END AS separator,
