@@ -174,7 +174,8 @@ def write_text_tree(lines: DataFrame, path: str) -> None:
 
 
 def file_number(path):
-    return F.regexp_extract(path, "file=([0-9]+)/", 1).cast("long")
+    """The number in a path of :func:`write_text_tree`; null for the folder of null."""
+    return F.regexp_extract(path, "file=(-?[0-9]+)/", 1).try_cast("long")
 
 
 FILES = """(SELECT CAST(floor(p_partkey / 500) AS BIGINT) AS file, count(*) AS n FROM part GROUP BY ALL)"""
@@ -296,8 +297,9 @@ def encoding_resolve(spark, sf_dir):
     root = scratch_path(spark, "documents")
     docs = table(spark, sf_dir, "documents").select(F.expr(DOC_FILE).alias("file"), F.col("doc_id").alias("line_id"), "text")
     latin = F.encode(F.concat(F.lit("ÿ"), F.regexp_replace("text", "[^\\x01-\\xff]", "?")), "ISO-8859-1")
-    forms = {0: F.col("text"), 1: _gb18030("text").cast("string"), 2: latin.cast("string")}
-    parts = [docs.filter(f"file % 3 = {i}").select("file", "line_id", c.alias("line")) for i, c in forms.items()]
+    # Of a negative number the remainder is negative.
+    forms = {"= 0": F.col("text"), "NOT IN (0, 2)": _gb18030("text").cast("string"), "= 2": latin.cast("string")}
+    parts = [docs.filter(f"file % 3 {which}").select("file", "line_id", c.alias("line")) for which, c in forms.items()]
     write_text_tree(parts[0].unionByName(parts[1]).unionByName(parts[2]), root)
     lines = text_tree.read_lines(text_tree.reading_session(spark), root)
     files = convert.resolve_files(lines)

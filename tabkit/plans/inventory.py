@@ -33,11 +33,12 @@ def file_inventory(spark, sf_dir):
     write_text_tree(docs.selectExpr("CAST(floor(doc_id / 50) AS BIGINT) AS file", "doc_id AS line_id", "text AS line"), root)
     records, _ = inventory.scan_tree(spark, root)
     records = records.filter("ext = '.txt' AND name LIKE 'part-%'")
+    records = records.withColumn("file", file_number(F.col("path")))
     return records.select(
-        file_number(F.col("path")).alias("file"),
+        "file",
         F.substring("name", 1, 5).alias("name"),
         "ext",
-        F.substring_index("folder", "/", -1).alias("folder"),
+        F.when(F.col("file").isNotNull(), F.substring_index("folder", "/", -1)).alias("folder"),
         "size_mb",
         F.col("modified").isNotNull().alias("has_time"),
         "category",

@@ -206,3 +206,17 @@ def test_columns_of_one_stripped_name_are_refused(spark):
 
     with pytest.raises(ValueError, match="stripped"):
         as_text(spark.createDataFrame([(1, 2)], "a int, `a ` int"))
+
+
+@pytest.mark.parametrize("name", ["file_inventory", "encoding_resolve"])
+def test_files_of_negative_and_null_ids(spark, tmp_path, name):
+    from oracle import compare
+
+    import duckdb
+    from tabkit.plans import ORACLES, QUERIES
+
+    texts = [(i, f"text {i} 中文") for i in [None, None, -1, -60, -120, 0, 49, 50, 120]]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    compare(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
