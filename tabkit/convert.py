@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tabkit.operators.delimited import (
     with_repaired_names,
 )
 from tabkit.session import stage
-from tabkit.sources.byte_ranges import file_ranges, range_bytes, read_ranges
+from tabkit.sources.byte_ranges import cut_ranges, file_ranges, in_tasks, range_bytes, read_ranges, weight
 from tabkit.sources.file_tree import list_files, tree_root
 from tabkit.sources.text_tree import decode_lines, line_statistics, read_first_lines, resolve_encodings
 
@@ -42,20 +44,27 @@ def parse_lines(
     ``first_lines`` reads the first lines of files by their facts, where that is
     cheaper than a pass over all lines.
     """
+    files, only_utf8 = file_facts(lines, sep, path_of, statistics, first_lines)
+    return files.drop("uri"), split_lines(lines, files, sep, only_utf8)
+
+
+def file_facts(
+    lines: DataFrame, sep: Separator, path_of, statistics: DataFrame | None, first_lines
+) -> tuple[DataFrame, bool]:
+    """The facts of each file, with its ``uri``, and whether all are UTF-8."""
     files = resolve_files(lines, statistics)
     only_utf8 = files.filter("encoding <> 'utf-8'").isEmpty()
+    sample = first_lines(files) if first_lines else None
+    files = detect_separator(lines, files, sep, only_utf8, lambda df: decode_lines(df, only_utf8), sample)
+    return files.withColumn("path", path_of(F.col("uri"))), only_utf8
 
-    def decode(df: DataFrame) -> DataFrame:
-        return decode_lines(df, only_utf8)
 
-    sample = first_lines(files) if first_lines else None
-    files = detect_separator(lines, files, sep, only_utf8, decode, sample)
-    files = files.withColumn("path", path_of(F.col("uri")))
+def split_lines(lines: DataFrame, files: DataFrame, sep: Separator, only_utf8: bool) -> DataFrame:
+    """All lines of the files, split (lazy)."""
     # Read from a staged table, so Catalyst knows the size and broadcasts it only when
-    # it is small. Paths are worked out here, once per file and not per line.
+    # it is small. Paths are worked out there, once per file and not per line.
     facts = files.filter(F.col("status") == "ok").drop("status", "note", "n_lines")
-    split = split_rows(decode(lines.join(facts, "uri").drop("uri")), sep)
-    return files.drop("uri"), split
+    return split_rows(decode_lines(lines.join(facts, "uri").drop("uri"), only_utf8), sep)
 
 
 def read_delimited_tree(spark: SparkSession, root: str, sep: Separator = AUTO) -> DelimitedTree:
@@ -76,17 +85,45 @@ def read_listed(listing: DataFrame, root: str, sep: Separator = AUTO) -> Delimit
     with the error as its note, and none of its rows are kept. One that could be read in
     the first pass and no longer in the second fails the job, as its status is known by then.
     """
-    spark = listing.sparkSession
-    lines = read_ranges(file_ranges(listing.filter("status = 'ok'"), range_bytes(spark)))
+    ranges = file_ranges(listing.filter("status = 'ok'"), range_bytes(listing.sparkSession))
+    lines = read_ranges(ranges)
+    files, status, only_utf8 = _survey(listing, lines, sep)
+    split = split_lines(lines.drop("error"), files, sep, only_utf8)
+    return DelimitedTree(with_repaired_names(files.drop("uri")), split, status, root)
+
+
+def read_parts(listing: DataFrame, root: str, sep: Separator = AUTO) -> Callable[[int], DelimitedTree]:
+    """The same for a listing in parts of few files, numbered by its column ``part``: the
+    first pass and the facts of all files in common, then the tree of any part, which
+    reads no other lines."""
+    ranges = cut_ranges(listing.filter("status = 'ok'"), range_bytes(listing.sparkSession), "part")
+    sizes = {r["part"]: r["bytes"] for r in ranges.groupBy("part").agg(weight()).collect()}
+    files, status, only_utf8 = _survey(listing, read_ranges(in_tasks(ranges, sum(sizes.values()))), sep)
+    parts = listing.select("path", "part")
+    files = stage(files.join(parts, "path"), "files", "part")
+    status = stage(status.join(parts, "path"), "status", "part")
+
+    def tree(part: int) -> DelimitedTree:
+        def mine(df: DataFrame) -> DataFrame:
+            return df.filter(F.col("part") == part).drop("part")
+
+        lines = read_ranges(in_tasks(mine(ranges), sizes.get(part, 0)))
+        split = split_lines(lines.drop("error"), mine(files), sep, only_utf8)
+        return DelimitedTree(with_repaired_names(mine(files).drop("uri")), split, mine(status), root)
+
+    return tree
+
+
+def _survey(listing: DataFrame, lines: DataFrame, sep: Separator) -> tuple[DataFrame, DataFrame, bool]:
+    """The facts of files with lines, the status of all, and whether all are UTF-8."""
     statistics = stage(line_statistics(lines), "statistics")
     errors = statistics.filter("error IS NOT NULL").select(F.col("uri").alias("path"), F.col("error").alias("_error"))
     read = statistics.filter("error IS NULL").drop("error")
-    files, split = parse_lines(lines.drop("error"), sep, statistics=read, first_lines=read_first_lines)
-    files = with_repaired_names(files)
+    files, only_utf8 = file_facts(lines.drop("error"), sep, lambda uri: uri, read, read_first_lines)
     broken = F.col("_error").isNotNull()
     listing = listing.join(errors, "path", "left").select(
         "path",
         F.when(broken, "failed").otherwise(F.col("status")).alias("status"),
         F.when(broken, F.col("_error")).otherwise(F.col("note")).alias("note"),
     )
-    return DelimitedTree(files, split, conversion_status(listing, files), root)
+    return files, conversion_status(listing, files.drop("uri")), only_utf8

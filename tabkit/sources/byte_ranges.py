@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.session import stage
@@ -47,13 +47,27 @@ def range_bytes(spark: SparkSession) -> int:
 def file_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     """``(path, start, end)`` for listed ``files (path, length)``, staged, in tasks of
     about ``TASK_BYTES``; empty files have none."""
+    ranges = cut_ranges(files, range_bytes)
+    return in_tasks(ranges, ranges.agg(weight()).first()["bytes"] or 0)
+
+
+def cut_ranges(files: DataFrame, range_bytes: int, by: str | None = None) -> DataFrame:
+    """The same ranges, with the column ``by``, before they are dealt to tasks."""
+    kept = [by] if by else []
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    ranges = files.filter("length > 0").select("path", "length", starts.alias("start"))
-    ranges = ranges.select("path", "start", F.least("length", F.col("start") + range_bytes).alias("end"))
-    ranges = stage(ranges, "ranges")
-    width = files.sparkSession.sparkContext.defaultParallelism
-    weight = ranges.agg(F.sum(F.col("end") - F.col("start") + OPEN_BYTES).alias("bytes")).first()["bytes"] or 0
-    return ranges.repartition(max(width, -(-weight // TASK_BYTES)))
+    ranges = files.filter("length > 0").select(*kept, "path", "length", starts.alias("start"))
+    ranges = ranges.select(*kept, "path", "start", F.least("length", F.col("start") + range_bytes).alias("end"))
+    return stage(ranges, "ranges", by)
+
+
+def weight() -> Column:
+    """The sum ``bytes`` by which ranges are dealt to tasks."""
+    return F.sum(F.col("end") - F.col("start") + OPEN_BYTES).alias("bytes")
+
+
+def in_tasks(ranges: DataFrame, bytes: int) -> DataFrame:
+    width = ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(width, -(-bytes // TASK_BYTES)))
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
