@@ -29,6 +29,12 @@ AMOUNT_TYPE = "decimal(38,10)"
 # of them fits. Wider ones are cut into limbs of 18 digits, summed place by place.
 PART_TYPE = "decimal(28,10)"
 LIMB, LIMB_TYPE = 18, "decimal(38,0)"
+# The places of limbs, 0 being the last before the point, that have columns of their own
+# where all of an amount is among them. Limbs are summed as two halves of nine digits, of
+# which a task can add nine thousand million in a long.
+PLACES = range(-2, 3)
+HALF = 10 ** (LIMB // 2)
+LIMB_ENTRIES = f"array<struct<_column: int, _at: int, _limb: {LIMB_TYPE}>>"
 _NARROW = r"^[+-]?([0-9]{1,15}(\.[0-9]{1,10})?|\.[0-9]{1,10})\z"
 
 _NUMBER = r"^[+-]?(\p{Nd}+(\.\p{Nd}+)?|\.\p{Nd}+)\z"
@@ -162,6 +168,41 @@ def limb_at(digits: Column, sign: Column, number: Column) -> Column:
     return F.concat(sign, F.substring(digits, number * LIMB + 1, F.lit(LIMB))).cast(LIMB_TYPE)
 
 
+def in_places(digits: Column, high: Column) -> Column:
+    """Whether all limbs of an amount lie in ``PLACES``."""
+    low = (F.octet_length(digits) / LIMB).cast("int") - high
+    return (high <= PLACES.stop) & (low <= -PLACES.start)
+
+
+def long_limb(digits: Column, high: Column, sign: Column, place: int) -> Column:
+    """The limb of a place as a long; null where the amount has none."""
+    number = high - 1 - place
+    there = (number >= 0) & (number * LIMB < F.octet_length(digits))
+    limb = F.when(there, F.substring(digits, number * LIMB + 1, F.lit(LIMB)).cast("long"))
+    return F.when(sign == "-", -limb).otherwise(limb)
+
+
+def _entry(column: Column, at: Column, limb: Column) -> Column:
+    return F.struct(
+        column.cast("int").alias("_column"), at.cast("int").alias("_at"), limb.cast(LIMB_TYPE).alias("_limb")
+    )
+
+
+def all_limbs(digits: Column, high: Column, sign: Column, column: int) -> Column:
+    """``LIMB_ENTRIES`` of all limbs of an amount, with the number of its column."""
+    numbers = F.sequence(F.lit(0), (F.octet_length(digits) / LIMB).cast("int") - 1)
+    return F.transform(numbers, lambda n: _entry(F.lit(column), high - 1 - n, limb_at(digits, sign, n)))
+
+
+def no_limb() -> Column:
+    return _entry(F.lit(None), F.lit(None), F.lit(None))
+
+
+def half_sums(limb: Column) -> tuple[Column, Column]:
+    """The sums of the upper and the lower half of long limbs."""
+    return F.sum(F.call_function("div", limb, F.lit(HALF))), F.sum(limb % HALF)
+
+
 def limbs_of_decimal(total: Column) -> Column:
     """``(at, limb)`` of a decimal: it is the sum of ``limb * 10**(18 * at)``."""
     digits, high = limb_digits(F.abs(total).cast("string"))

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.amounts import (
     AMOUNT_TYPE,
-    LIMB,
+    HALF,
+    LIMB_ENTRIES,
     LIMB_TYPE,
-    limb_at,
+    PLACES,
+    all_limbs,
+    half_sums,
+    in_places,
     limbs_of_decimal,
+    long_limb,
+    no_limb,
     plain_digits,
     plain_number,
     round_text_half_up,
@@ -59,9 +64,11 @@ def exact_sum(
     """Exact sum of the valid amounts per key as plain text of any width, ``0`` when
     there are none; ``rows`` and ``first`` as in :func:`decimal_sum`.
 
-    Ordinary amounts are summed as decimals. Wider ones add a row for every 18 digits,
-    which are summed by key and place before the shuffle, so neither their width nor
-    their number meets a limit; a key then settles the carries of its few places.
+    Ordinary amounts are summed as decimals. Wider ones are cut into limbs of 18 digits,
+    which have columns by their places; what does not fit into these adds a row for every
+    limb, summed by key and place. Sums are made per task first, then per key, so neither
+    the width of amounts nor their number meets a limit; a key then settles the carries of
+    its few places.
     """
     extra = [first.alias("_first")] if first is not None else []
     raw = [f"_raw {i}" for i in range(len(columns))]
@@ -70,46 +77,55 @@ def exact_sum(
         normalise_text(F.col(quoted(key))).alias("_key"), *extra, *[F.col(quoted(c)).alias(r) for c, r in zip(columns, raw)]
     )
     parsed = with_parts(narrow, dict(zip(names, raw)))
-    # Row 0 holds the ordinary amounts, each further one a limb. All rows have a row 0.
-    limb_count = {n: F.coalesce(F.char_length(quoted(f"{n} digits")) / LIMB, F.lit(0)).cast("int") for n in names}
-    ends = list(accumulate(limb_count.values())) or [F.lit(0)]
-    parsed = parsed.select("*", F.explode(F.sequence(F.lit(0), ends[-1])).alias("_row"))
-    column = at = limb = F.lit(None)
-    for i, (n, end) in reversed(list(enumerate(zip(names, ends)))):
-        place = F.col("_row") - 1 - (end - limb_count[n])
-        digits, sign = F.col(quoted(f"{n} digits")), F.col(quoted(f"{n} sign"))
-        column = F.when(F.col("_row") <= end, F.lit(i)).otherwise(column)
-        at = F.when(F.col("_row") <= end, F.col(quoted(f"{n} high")) - 1 - place).otherwise(at)
-        limb = F.when(F.col("_row") <= end, limb_at(digits, sign, place)).otherwise(limb)
-
-    def of_limb(c: Column, kind: str) -> Column:
-        return F.when(F.col("_row") > 0, c).cast(kind)
-
-    parsed = parsed.select(
-        "_key",
-        *(["_first"] if extra else []),
-        *map(quoted, names),
-        of_limb(column, "int").alias("_column"),
-        of_limb(at, "int").alias("_at"),
-        of_limb(limb, LIMB_TYPE).alias("_limb"),
-    )
-    by_place = parsed.groupBy("_key", "_column", "_at").agg(
+    slots = {n: [(p, f"{n} at {p}") for p in PLACES] for n in names}
+    every = [slot for n in names for _, slot in slots[n]]
+    made = [*(["_first"] if extra else []), *map(quoted, names)]
+    limbs, outside = [], []
+    for i, n in enumerate(names):
+        digits, high, sign = (F.col(quoted(f"{n} {c}")) for c in ("digits", "high", "sign"))
+        fits = in_places(digits, high)
+        limbs += [F.when(fits, long_limb(digits, high, sign, p)).alias(slot) for p, slot in slots[n]]
+        outside.append(F.when(~fits, all_limbs(digits, high, sign, i)))
+    # An entry without a place stands for all amounts but those outside. The array functions
+    # end the generated stage here: as one, it would be larger than what the JVM compiles.
+    entries = F.concat(F.array(no_limb()), *[F.coalesce(o, F.array().cast(LIMB_ENTRIES)) for o in outside])
+    # With the task a row is in, so that longs are sums of no more rows than a task has. Outer,
+    # for otherwise a filter on the entries would move down to the scan and work out all again.
+    parsed = parsed.select("_key", *made, *limbs, entries.alias("_entries"))
+    parsed = parsed.select("_key", F.spark_partition_id().alias("_task"), *made, *map(quoted, every), F.inline_outer("_entries"))
+    halves = [(f"{slot} high", f"{slot} low") for slot in every]
+    least = [F.min("_first").alias("_first")] if extra else []
+    by_task = parsed.groupBy("_key", "_task", "_column", "_at").agg(
         F.count("*").alias("_rows"),
-        *([F.min("_first").alias("_first")] if extra else []),
+        *least,
         *[F.sum(quoted(n)).alias(n) for n in names],
+        *[c.alias(h) for slot, pair in zip(every, halves) for h, c in zip(pair, half_sums(F.col(quoted(slot))))],
         F.sum("_limb").alias("_limb"),
     )
     is_base = F.col("_column").isNull()
+
+    def of_base(name: str) -> Column:
+        return F.when(is_base, F.col(quoted(name)))
+
+    def total(slot: str, pair: tuple[str, str]) -> Column:
+        high, low = (F.sum(of_base(h).cast("decimal(19,0)")) for h in pair)
+        return (high * F.lit(HALF).cast("decimal(10,0)") + low).cast(LIMB_TYPE).alias(slot)
+
     own = F.struct(F.col("_at").alias("at"), F.col("_limb").alias("limb"))
-    totals = by_place.groupBy("_key").agg(
-        F.max(F.when(is_base, F.col("_rows"))).alias("_rows"),
-        *([F.min("_first").alias("_first")] if extra else []),
-        *[F.coalesce(F.max(F.when(is_base, F.col(quoted(n)))), F.lit(0)).cast(AMOUNT_TYPE).alias(n) for n in names],
+    totals = by_task.groupBy("_key").agg(
+        F.sum(of_base("_rows")).alias("_rows"),
+        *least,
+        *[F.coalesce(F.sum(of_base(n)), F.lit(0)).cast(AMOUNT_TYPE).alias(n) for n in names],
+        *[total(slot, pair) for slot, pair in zip(every, halves)],
         *[F.collect_list(F.when(F.col("_column") == i, own)).alias(f"{n} limbs") for i, n in enumerate(names)],
     )
     shown = [F.col("_key"), F.col("_rows"), *([F.col("_first")] if extra else [])]
-    limbs = [F.concat(limbs_of_decimal(F.col(quoted(n))), F.col(quoted(f"{n} limbs"))) for n in names]
-    wide = [F.when(F.size(quoted(f"{n} limbs")) > 0, c).alias(f"{n} limbs") for n, c in zip(names, limbs)]
+    wide = []
+    for n in names:
+        placed = F.array(*[F.struct(F.lit(p).alias("at"), F.col(quoted(slot)).alias("limb")) for p, slot in slots[n]])
+        limbs = F.concat(F.filter(placed, lambda e: e["limb"].isNotNull()), F.col(quoted(f"{n} limbs")))
+        limbs = F.when(F.size(limbs) > 0, F.concat(limbs_of_decimal(F.col(quoted(n))), limbs))
+        wide.append(limbs.alias(f"{n} limbs"))
     totals = totals.select(*shown, *map(quoted, names), *wide)
     ways = [settled(F.col(quoted(f"{n} limbs")), sign).alias(f"{n} {sign}") for n in names for sign in (1, -1)]
     totals = totals.select(*shown, *map(quoted, names), *ways)

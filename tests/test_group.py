@@ -217,3 +217,32 @@ def test_preview(spark):
     df = spark.range(50)
     assert [r[0] for r in ranking.preview(df, ["id"], 3).collect()] == [0, 1, 2]
     assert ranking.preview(df, ["id"], 0).count() == 50
+
+
+def test_generated_code_of_sums_is_small_enough_to_compile(spark):
+    """The JVM leaves methods of over 8000 bytes to its interpreter."""
+    import re
+
+    df = spark.createDataFrame([("a", "1", "$2", "（3）")], "k string, x string, y string, z string")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = group.exact_sum(df, "k", ["x", "y", "z"])._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(size) for size in re.findall("maxMethodCodeSize:([0-9]+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_sums_of_limbs_inside_and_outside_of_their_columns(spark):
+    from fractions import Fraction
+
+    amounts = ["9" * 54 + "." + "9" * 36, "-" + "9" * 54, "7" * 55, "(0." + "3" * 37 + ")", "1" * 19, "-0.00000000001", "5.5"]
+    rows = [(f"k{i % 3}", a) for i, a in enumerate(amounts * 4)]
+    df = spark.createDataFrame(rows, "k string, x string").repartition(3)
+    want = {}
+    for k, a in rows:
+        value = Fraction(a.strip("()")) * (-1 if a[0] == "(" else 1)
+        want[k] = want.get(k, 0) + value
+    assert {r["k"]: Fraction(r["x"]) for r in group.exact_sum(df, "k", ["x"]).collect()} == want
