@@ -25,6 +25,9 @@ _LATEST: list[str] = []
 #: Texts go to Python in batches of this size: with the default of 64 MB, executor and
 #: worker hold a batch of some 10,000 texts each.
 BATCH_BYTES = "4m"
+#: Rows that Spark's Parquet readers hold as arrays of the heap; the default of 4096
+#: takes a row of 4 KB for an array of 16 MB, and as much again whenever it grows.
+READ_ROWS = "512"
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WINDOW, END_ID = 4096, 2
@@ -41,6 +44,7 @@ def owned(step):
         release_memory()
         # The setting of this job's session; its stages run when their results are written.
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
         with collecting() as paths:
             result = step(spark, docs, sf_dir)
         _LATEST.extend(paths)

@@ -14,13 +14,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tabkit.llm.frames import chunks, record_batch, texts_by_id
+from tabkit.llm.frames import WORKER_CACHES, chunks, record_batch, texts_by_id
 
 #: Words kept per Python worker between batches; only a cache, it drops nothing.
 CACHED_WORDS = 600_000
@@ -214,11 +215,15 @@ class Encoder:
     ``form`` makes of a word's ids what is wanted of them."""
 
     def __init__(self, vocabulary: str, form: Callable[[list[int]], Any] = lambda ids: ids):
+        self.vocabulary = vocabulary
         self.splitter = WordSplitter(vocabulary)
-        self.trie = TrieEncoder(vocabulary)
         self.form = form
         self.forms: dict[str | int, Any] = {}
 
+    @cached_property
+    def trie(self) -> TrieEncoder:
+        return TrieEncoder(self.vocabulary)
+
     def ids_of(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         for letters, pieces in self.trie.encode_words(words):
             yield letters, [self.trie.ids[p] for p in pieces]
@@ -254,16 +259,13 @@ class LibraryEncoder(Encoder):
             yield letters, [t.id for t in tokenize(letters)]
 
 
-_PER_WORKER: dict[tuple, Any] = {}
-
-
 def per_worker(make: Callable[[str], Any], vocabulary: str) -> Any:
     """What ``make`` gives for a vocabulary, once per Python worker, which outlives its
-    tasks; it holds caches only."""
+    tasks; it holds caches only, until another operator's ``tidied`` task begins."""
     key = (make.__module__, make.__qualname__, hash(vocabulary))
-    if key not in _PER_WORKER:
-        _PER_WORKER[key] = make(vocabulary)
-    return _PER_WORKER[key]
+    if key not in WORKER_CACHES:
+        WORKER_CACHES[key] = make(vocabulary)
+    return WORKER_CACHES[key]
 
 
 def digesting_encoder(vocabulary: str) -> Encoder:

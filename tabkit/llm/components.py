@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.session import stage
+from tabkit.session import forget_finished, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        forget_finished(current.sparkSession)
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

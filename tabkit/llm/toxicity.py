@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.frames import chunks, drop_documents, record_batch, text_number, texts_by_id
+from tabkit.llm.frames import chunks, drop_documents, record_batch, release_memory, text_number, texts_by_id, tidied
 from tabkit.llm.windows import BYTE_CODES, MULTIPLIER, _powers, mix
 
 #: The training sample: at most so many documents of either label, of at most so many
@@ -34,6 +34,8 @@ LEAST_SUPPORT = 4
 MOST_ELSEWHERE = 0.1
 ROUNDS, RATE, RIDGE = 60, 0.5, 1e-2
 BLOCK = 1 << 20
+#: Bytes of text whose features are held at a time when known ones are looked up.
+LOOKUP = 1 << 17
 #: Tokens, padding included, that a pass over texts side by side holds.
 CELLS = 1 << 18
 #: Tokens after which training cuts a text into chains of their own.
@@ -109,22 +111,32 @@ class Model:
         known = self.features[at] == found if len(self.features) else np.zeros(len(found), bool)
         return rows[known], at[known]
 
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of the features of all tokens, of which only a stretch is held."""
+        found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + LOOKUP, "right")))
+            rows, ids = self.ids(token_features(data, starts[at:to], ends[at:to]))
+            found.append((rows + at, ids))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def emissions(self, n: int, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return self.bias + np.bincount(rows, self.weights[ids], minlength=n)
 
     def marginals(self, emissions: np.ndarray, token_at: np.ndarray) -> np.ndarray:
-        return forward_backward(emissions, token_at, self.chain)[0]
+        return forward_backward(emissions, token_at, self.chain, paired=False)[0]
 
 
-def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndarray):
-    """Marginals of toxic per token, and the summed pair marginals ``[from][to]``.
+def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndarray, paired: bool = True):
+    """Marginals of toxic per token, and the summed pair marginals ``[from][to]``, zeros
+    unless ``paired``.
 
     With two labels a message is one number, the odds of toxic. Texts run side by side,
     those of like length together.
     """
     lengths = np.diff(token_at)
     (t00, t01), (t10, t11) = np.exp(chain)
-    odds = np.exp(np.clip(emissions, -30, 30))
     marginal, pairs = np.zeros(len(emissions)), np.zeros((2, 2))
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
@@ -137,7 +149,7 @@ def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndar
         step = np.arange(longest)[:, None]
         inside = step < size
         place = np.where(inside, token_at[block] + step, 0)
-        e = np.where(inside, odds[place], 1.0)
+        e = np.where(inside, np.exp(np.clip(emissions[place], -30, 30)), 1.0)
         ahead, behind = np.empty_like(e), np.ones_like(e)
         ahead[0] = e[0]
         for t in range(1, longest):
@@ -148,7 +160,7 @@ def forward_backward(emissions: np.ndarray, token_at: np.ndarray, chain: np.ndar
             behind[t] = np.where(inside[t + 1], (t10 + r * t11) / (t00 + r * t01), 1.0)
         both = ahead * behind
         marginal[place[inside]] = (both / (1 + both))[inside]
-        if longest > 1:
+        if paired and longest > 1:
             follow = inside[1:]
             a, b = ahead[:-1][follow], (e * behind)[1:][follow]
             joint = np.array([[np.full_like(a, t00), t01 * b], [t10 * a, t11 * a * b]])
@@ -237,6 +249,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     for text, bad in zip(texts, toxic):
         if not bad:
             others[np.unique(model.ids(read(text))[1])] += 1
+    del held
     telling = others * toxic.sum() <= MOST_ELSEWHERE * count * (~toxic).sum()
     model = Model(kept[telling], np.zeros(0), -4.0, np.zeros((2, 2)), np.zeros(3))
     n_features = len(model.features)
@@ -266,20 +279,24 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     joined[chain_at[:-1]] = False
     here, before = labels[1:][joined[1:]], labels[:-1][joined[1:]]
     want_pairs = np.array([[((1 - before) * (1 - here)).sum(), ((1 - before) * here).sum()], [(before * (1 - here)).sum(), (before * here).sum()]])
+    n_tokens, n_toxic = len(labels), labels.sum()
+    # What has a number per token and is not used any more goes before the rounds.
+    del in_toxic, labels, joined, here, before
+    release_memory()
     squares, bias_square, pair_squares = np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(ROUNDS):
-        marginal, got_pairs = forward_backward(model.emissions(len(labels), rows, ids), chain_at, model.chain)
+        marginal, got_pairs = forward_backward(model.emissions(n_tokens, rows, ids), chain_at, model.chain)
         step = want - np.bincount(ids, marginal[rows], minlength=n_features) - RIDGE * model.weights
         squares += step * step
         model.weights += RATE * step / np.sqrt(squares)
-        bias_step = labels.sum() - marginal.sum()
+        bias_step = n_toxic - marginal.sum()
         bias_square += bias_step * bias_step
         model.bias += RATE * bias_step / np.sqrt(bias_square)
         pair_step = want_pairs - got_pairs - model.chain
         pair_squares += pair_step * pair_step
         model.chain += RATE * pair_step / np.sqrt(pair_squares)
 
-    x = document_evidence(model.marginals(model.emissions(len(labels), rows, ids), token_at), token_at)
+    x = document_evidence(model.marginals(model.emissions(n_tokens, rows, ids), token_at), token_at)
     y, fit = toxic.astype(float), np.zeros(3)
     for _ in range(25):  # Newton steps of a ridge logistic regression
         p = sigmoid(x @ fit)
@@ -343,7 +360,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         m = shared.value
         for batch in chunks(batches):
             data, text_at, starts, ends, token_at = read_tokens(batch.column("text").to_pylist())
-            rows, ids = m.ids(token_features(data, starts, ends))
+            rows, ids = m.find(data, starts, ends)
             marginal = m.marginals(m.emissions(len(starts), rows, ids), token_at)
             scores = sigmoid(document_evidence(marginal, token_at) @ m.fit)
             spans = [[] for _ in scores]
@@ -355,7 +372,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield record_batch(made, schema)
 
     rows = texts_by_id(docs).withColumn("tid", text_number(F.col("text")))
-    scored = rows.mapInArrow(run, "doc_id long, tid long, score double, spans array<struct<start: long, end: long, score: double>>")
+    scored = rows.mapInArrow(tidied(run), "doc_id long, tid long, score double, spans array<struct<start: long, end: long, score: double>>")
     return scored.select(
         "doc_id",
         "tid",

@@ -6,6 +6,7 @@ import pytest
 from test_bpe import ODD, library
 
 from tabkit.llm import packing
+from tabkit.llm.bpe import read_vocabulary
 from tabkit.llm.queries import QUERIES, VOCABULARY
 
 
@@ -106,3 +107,10 @@ def test_empty(spark):
     assert packing.pack(packing.pieces(df, VOCABULARY)).count() == 0
     one = spark.createDataFrame([(1, "")], "doc_id long, text string")
     assert packing.pieces(one, VOCABULARY, end_id=None).count() == 0
+
+
+def test_encoder_by_the_library_builds_no_trie():
+    encoder = packing.packed_encoder(read_vocabulary(VOCABULARY))
+    want = [b"".join(i.to_bytes(4, "little") for i in ids) for ids in library(ODD)]
+    assert [b"".join(words) for words in encoder.by_word(ODD)] == want
+    assert "trie" not in vars(encoder)

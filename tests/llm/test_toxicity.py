@@ -1,11 +1,13 @@
 import itertools
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tabkit.llm import toxicity
+from tabkit.llm import bpe, frames, toxicity
 from tabkit.llm.queries import QUERIES
 
 
@@ -102,3 +104,36 @@ def test_without_labels(spark):
     assert all(r["score"] < 0.5 for r in toxicity.score(docs, model).collect())
     none = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_known_features_are_found_in_little_memory():
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 12, 3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 6000)) for _ in range(80)] + ["x" * 300_000, ""]
+    data, _, starts, ends, token_at = toxicity.read_tokens(texts)
+    hashes = toxicity.token_features(data, starts, ends)
+    known = np.unique(hashes[::997, 0])
+    model = toxicity.Model(known[known != 0], rng.normal(size=np.count_nonzero(known)), -2.0, np.zeros((2, 2)), np.zeros(3))
+    want, size = model.ids(hashes), hashes.nbytes
+    del hashes
+    tracemalloc.start()
+    rows, ids = model.find(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows == want[0]).all() and (ids == want[1]).all() and len(rows)
+    assert peak < size / 2
+    emissions = model.emissions(len(starts), rows, ids)
+    assert (model.marginals(emissions, token_at) == toxicity.forward_backward(emissions, token_at, model.chain)[0]).all()
+
+
+def test_tidied_tasks_let_go_of_the_caches_of_other_operators(spark):
+    count = frames.tidied(lambda batches: iter([len(frames.WORKER_CACHES)]))
+
+    def run(batches):
+        list(batches)
+        bpe.per_worker(len, "a vocabulary")
+        held = len(frames.WORKER_CACHES)
+        yield pa.RecordBatch.from_pydict({"held": pa.array([held]), "left": pa.array([*count([])])})
+
+    found = spark.range(1).coalesce(1).mapInArrow(run, "held long, left long").first()
+    assert found["held"] > 0 and found["left"] == 0
