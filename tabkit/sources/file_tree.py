@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +84,14 @@ def _is_local(path: str) -> bool:
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=COLUMNS)
+    # As objects: beside the nulls of directories numbers would become floats, which do
+    # not hold nanoseconds.
+    frame = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
     frame["path"] = frame["path"].map(_name)
     frame["length"] = frame["length"].astype("Int64")
     for column in ("created", "modified"):
-        frame[column] = pd.to_datetime(frame[column].astype("Int64"), unit="ns", utc=True).dt.floor("us")
+        moments = [None if ns is None else ns // 1000 for ns in frame[column]]
+        frame[column] = pd.Series(np.array(moments, "datetime64[us]")).dt.tz_localize("UTC")
     return frame
 
 

@@ -220,3 +220,29 @@ def test_files_of_negative_and_null_ids(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     compare(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_walk_hands_on_many_folders_beside_files(tmp_path, monkeypatch):
+    import os
+
+    import pandas as pd
+    from tabkit.sources import file_tree
+
+    for i in range(2130):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "f").write_bytes(b"x" * i)
+        os.utime(tmp_path / str(i) / "f", ns=(0, 1_700_000_000_123_456_789 + i * 1_000_000_001))
+    # The folders alone nearly reach the limit: 130 files, then 2000 folders left over.
+    monkeypatch.setattr(file_tree, "WALK_ENTRIES", 2260)
+    pending, rounds, found = pd.DataFrame({"path": [str(tmp_path)]}), 0, []
+    while len(pending):
+        rounds += 1
+        listed = pd.concat(file_tree._walk(iter([pending])))
+        found.append(listed[~listed["is_dir"].astype(bool)])
+        pending = listed[listed["is_dir"].astype(bool)][["path"]]
+    assert rounds == 2 and len(found[0]) == 130
+    files = pd.concat(found)
+    assert len(files) == files["path"].nunique() == 2130
+    for path, length, modified in files[["path", "length", "modified"]].itertuples(index=False):
+        i = int(path.split("/")[-2])
+        assert length == i and modified == pd.Timestamp((1_700_000_000_123_456_789 + i * 1_000_000_001) // 1000, unit="us", tz="UTC")
