@@ -211,3 +211,28 @@ def test_lookups_at_once_do_not_follow_length_or_languages(monkeypatch):
     monkeypatch.setattr(language.Scorer, "_costs", lambda self, *args: seen.append(costs(self, *args)) or seen[-1])
     language.Scorer(small_model()).entropies(["abc def gh " * 1000, "abc"])
     assert max(x.size for x in seen) <= 1000 and sum(len(x) for x in seen) == 11004
+
+
+@pytest.mark.parametrize("most", [1, 60, 250, 400])
+def test_a_model_beyond_memory_leaves_no_gram_out(spark, most):
+    asked = [(-1 - i, text, None) for i, text in enumerate([*ASKED, None, "", "12", "the cat " * 300, "the mat"])]
+    docs = spark.createDataFrame(rows_of(LEARNED) + asked, SCHEMA).repartition(3)
+    whole, model = language.fit(docs), language.fit(docs, most_grams=most)
+    assert (model.temperature, model.least_score, model.ceilings) == (whole.temperature, whole.least_score, whole.ceilings)
+    want = {r["doc_id"]: r for r in language.identify(docs, whole).collect()}
+    got = language.identify(docs, model).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == len(want) == docs.count()
+    for r in got:
+        w = want[r["doc_id"]]
+        assert (r["lang"], r["accepted"]) == (w["lang"], w["accepted"])
+        assert r["score"] == pytest.approx(w["score"], rel=1e-4)
+        assert r["cross_entropy"] == (None if w["cross_entropy"] is None else pytest.approx(w["cross_entropy"], rel=1e-5))
+    plain = {lang: PlainModel(texts, 4) for lang, texts in LEARNED.items()}
+    found = {r["doc_id"]: r["cross_entropy"] for r in got}
+    for i, text in enumerate(ASKED):
+        assert found[-1 - i] == pytest.approx(min(p.entropy(text, model.alphabet) for p in plain.values()), rel=1e-4)
+    assert whole.rest is None and 1 <= model.held < 4
+    held, rest = sum(len(t[0]) for tables in model.tables for t in tables), model.rest.count()
+    assert held <= most or model.held == 1
+    assert held + rest == sum(len(t[0]) for tables in whole.tables for t in tables)
+    assert len(model.frequent[0]) <= max(1, most * 24 // 20)
